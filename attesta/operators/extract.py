@@ -67,12 +67,11 @@ def _anchored(lowered: Column, start: Column, words: list[str]) -> Column:
 def _placed(text: Column, patterns: list[str], ignore_case: bool,
             build: Callable[[Column, Column, Column], Column]) -> Column:
     """Hits of page-wide patterns; matches may run across a line break."""
-    found = []
-    for index, pattern in enumerate(patterns):
+    def of_pattern(index: int, pattern: str) -> Column:
         places = all_matches(text, _java(pattern, ignore_case))
-        found.append(F.transform(
-            places, lambda m, i=index: build(F.lit(i), m["start"], strip(m["text"]))))
-    return F.concat(*found)
+        return F.transform(places, lambda m: build(F.lit(index), m["start"], strip(m["text"])))
+
+    return F.concat(*[of_pattern(i, p) for i, p in enumerate(patterns)])
 
 
 def date_hits(text: Column, lowered: Column) -> Column:
@@ -118,12 +117,13 @@ def insurance_hits(text: Column, lowered: Column) -> Column:
 def labelled_hits(text: Column, patterns: list[str], clean: Callable[[Column], Column],
                   valid: Callable[[Column], Column]) -> Column:
     """Hits of ``label: value`` patterns, the first match of each per line."""
+    def of_pattern(line: Column, number: Column, index: int, pattern: str) -> Column:
+        value = clean(strip(F.regexp_extract(line, _java(pattern, True), 1)))
+        return let(value, lambda raw: _hit(
+            number, F.lit(index), raw, normalize_text(raw), strip(line), F.lit(1.0)))
+
     def of_line(line: Column, number: Column) -> Column:
-        hits = []
-        for index, pattern in enumerate(patterns):
-            value = clean(strip(F.regexp_extract(line, _java(pattern, True), 1)))
-            hits.append(let(value, lambda raw, i=index: _hit(
-                number, F.lit(i), raw, normalize_text(raw), strip(line), F.lit(1.0))))
+        hits = [of_pattern(line, number, i, p) for i, p in enumerate(patterns)]
         kept = F.filter(F.array(*hits), lambda h: valid(h["raw"]) & (h["norm"] != ""))
         return F.when(F.contains(line, F.lit(":")), kept).otherwise(F.array().cast(f"array<{HIT}>"))
 

@@ -198,10 +198,12 @@ def call_model(requests: DataFrame, model: Callable[[list[dict], int], str], att
     ``requests`` has (run_id, field, messages) with messages an array of
     struct(role, content).
     """
+    limit = options.max_model_tokens
+
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [model([{"role": m["role"], "content": m["content"]} for m in messages],
-                           options.max_model_tokens) for messages in batch["messages"]]
+            texts = [model([{"role": m["role"], "content": m["content"]} for m in messages], limit)
+                     for messages in batch["messages"]]
             yield pd.DataFrame({"run_id": batch["run_id"], "field": batch["field"],
                                 "attempt": attempt, "text": texts})
 

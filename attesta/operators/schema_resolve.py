@@ -44,7 +44,10 @@ def parse_user_schemas(user_schemas: DataFrame, options: RunOptions = RunOptions
     parsed = doc.select("run_id", message.alias("message"),
                         F.filter(read, lambda s: s["key"].isNotNull()).alias("given"))
 
-    of_key = {k: F.filter("given", lambda s, k=k: s["key"] == k) for k in FIELD_KEYS}
+    def with_key(key: str) -> Column:
+        return F.filter("given", lambda s: s["key"] == key)
+
+    of_key = {k: with_key(k) for k in FIELD_KEYS}
     specs = ordered_specs({k: F.size(v) > 0 for k, v in of_key.items()},
                           {k: F.try_element_at(v, F.lit(-1))["label"] for k, v in of_key.items()},
                           options.max_fields)

@@ -42,7 +42,7 @@ FROM (@customers) c
 """
 
 NOTES = """
-SELECT c.k, c.run_id, o_orderkey AS ok, concat('doc_', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS doc_id,
+SELECT c.k, c.run_id, o_orderkey AS ok, concat('doc_', lpad(CAST(o_orderkey + 1 AS VARCHAR(20)), 9, '0')) AS doc_id,
   CASE WHEN o_orderkey % 13 = 0 THEN 'parse_error: damaged file' END AS error,
   CASE WHEN o_orderkey % 11 = 0 THEN concat('  ', chr(10), ' ')
        ELSE concat('Visit note ', CAST(o_orderkey AS VARCHAR(20)), chr(10), 'Patient: ', c.nm, chr(10),
@@ -123,13 +123,30 @@ UNION ALL SELECT run_id, 'full_name', nm FROM (@customers) c
 """
 
 
+# Values in the shapes the normal forms are defined for, and some that are not.
+DATE_TEXT = """
+SELECT o_orderkey AS ok, CASE o_orderkey % 10
+  WHEN 0 THEN concat(yy, '-', mm, '-', dd) WHEN 1 THEN concat(mm, '/', dd, '/', yy) WHEN 2 THEN concat('Jan ', dd, ', ', yy)
+  WHEN 3 THEN concat(dd, ' October ', yy) WHEN 4 THEN concat('Sept ', dd, ' ', yy) WHEN 5 THEN concat('99/99/', yy, ' and more')
+  WHEN 6 THEN concat('july', dd, ',', yy) WHEN 7 THEN concat('due ', yy, '-', mm, '-', dd) WHEN 8 THEN concat(yy, '/', mm, '-', dd, 'x')
+  ELSE concat(dd, ' MAY ', yy) END AS t
+FROM (SELECT o_orderkey, CAST(o_orderkey % 12 + 1 AS VARCHAR(20)) AS mm, CAST(o_orderkey % 31 + 1 AS VARCHAR(20)) AS dd,
+             CAST(1900 + o_orderkey % 130 AS VARCHAR(20)) AS yy FROM orders) o
+"""
+PHONE_TEXT = """
+SELECT o_orderkey AS ok, CASE o_orderkey % 5
+  WHEN 0 THEN concat('(613) 555-', d) WHEN 1 THEN concat('+1 613.555.', d) WHEN 2 THEN concat('613555', d, ' ext 9')
+  WHEN 3 THEN d ELSE concat('tel ', d, d, ' 12') END AS t
+FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 10000 AS VARCHAR(20)), 4, '0') AS d FROM orders) o
+"""
+
 TABLES = ("customer", "nation", "orders")
 RENDERINGS = {
     name: sql.replace("@customers", CUSTOMERS)
     for name, sql in {
         "form_docs": FORMS, "note_docs": NOTES, "upload_text": UPLOADS, "user_schema_text": USER_SCHEMAS,
         "form_fields": FORM_FIELDS, "responses": RESPONSES, "overrides": OVERRIDES, "targets": TARGETS,
-        "truth": TRUTH,
+        "truth": TRUTH, "date_text": DATE_TEXT, "phone_text": PHONE_TEXT,
         "runs": "SELECT run_id, k FROM (@customers) c",
     }.items()
 }
