@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import let, strip
 
-_HITS = "array<struct<start:int,text:string>>"
+_PLACES = "array<struct<tag:int,start:int,text:string>>"
 
 
-def all_matches(text: Column, pattern: str) -> Column:
-    """Every non-overlapping match as ``struct(start, text)``, in order.
+def all_matches(text: Column, pattern: str, tag: Column) -> Column:
+    """Every non-overlapping match as ``struct(tag, start, text)``, in order.
 
     The gaps between matches come from splitting on the same pattern, so a
     running sum of gap and match lengths gives each start offset.
@@ -21,21 +21,19 @@ def all_matches(text: Column, pattern: str) -> Column:
     p = F.lit(pattern)
 
     def locate(found: Column) -> Column:
-        parts = F.zip_with(found, F.slice(F.split(text, p, -1), 1, F.size(found)),
-                           lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_HITS).alias("out"))
+        gaps = F.split(text, p, -1)
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"))
 
         def step(acc: Column, part: Column) -> Column:
             start = acc["at"] + F.length(part["gap"])
-            return F.struct(
-                (start + F.length(part["hit"])).alias("at"),
-                F.array_append(acc["out"], F.struct(start.alias("start"), part["hit"].alias("text")))
-                .cast(_HITS).alias("out"))
+            place = F.struct(tag.alias("tag"), start.alias("start"), part["hit"].alias("text"))
+            return F.struct((start + F.length(part["hit"])).alias("at"),
+                            F.array_append(acc["out"], place).cast(_PLACES).alias("out"))
 
-        return F.when(F.size(found) > 0, F.aggregate(parts, zero, step)["out"]).otherwise(
-            F.array().cast(_HITS))
+        parts = F.arrays_zip(found.alias("hit"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+        return F.when(F.size(found) > 0, F.aggregate(parts, zero, step)["out"])
 
-    return let(F.regexp_extract_all(text, p, F.lit(0)), locate)
+    return F.coalesce(let(F.regexp_extract_all(text, p, F.lit(0)), locate), F.array().cast(_PLACES))
 
 
 def line_at(text: Column, offset: Column) -> Column:

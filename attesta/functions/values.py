@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attesta.fields import field_type
-from attesta.functions.text import WS, ascii_digits, digits, let, normalize_text
+from attesta.functions.text import WS, ascii_digits, digits, let, lookup, normalize_text
 
 # Month names; a three-letter form stands for the month as well.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july",
@@ -23,27 +23,28 @@ _SHAPES = [
 
 def month_number(name: Column) -> Column:
     """Two-digit month of an English month name or its first three letters."""
-    pairs = {n: f"{i:02d}" for i, full in enumerate(MONTHS, 1) for n in (full, full[:3])}
-    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    return table[F.lower(name)]
+    table = {n: f"{i:02d}" for i, full in enumerate(MONTHS, 1) for n in (full, full[:3])}
+    return lookup(table)[F.lower(name)]
 
 
-def normalize_date(c: Column) -> Column:
-    """``YYYY-MM-DD`` of a value starting with a date, else NULL.
+def read_date(c: Column, shape: int) -> Column:
+    """``YYYY-MM-DD`` of a value known to start with the given shape.
 
-    The shapes are tried in order. The calendar is not consulted, so month 99
-    passes.
+    NULL only for an unknown month name. The calendar is not consulted, so
+    month 99 passes.
     """
-    def read(index: int) -> Column:
-        pattern, (year, month, day) = _SHAPES[index]
-        part = lambda group: F.regexp_extract(c, pattern, group)
-        two = lambda text: F.lpad(ascii_digits(text), 2, "0")
-        named = index >= 2
-        mm = month_number(part(month)) if named else two(part(month))
-        date = F.concat(part(year), F.lit("-"), mm, F.lit("-"), two(part(day)))
-        return F.when(F.rlike(c, F.lit(pattern)), date)
-
-    return F.coalesce(*[read(i) for i in range(len(_SHAPES))])
+    pattern, (year, month, day) = _SHAPES[shape]
+    part = lambda group: F.regexp_extract(c, pattern, group)
+    two = lambda text: F.lpad(ascii_digits(text), 2, "0")
+    named = shape >= 2
+    mm = month_number(part(month)) if named else two(part(month))
+    return F.concat(part(year), F.lit("-"), mm, F.lit("-"), two(part(day)))
+
+
+def normalize_date(c: Column) -> Column:
+    """``YYYY-MM-DD`` of a value starting with a date, else NULL; shapes in order."""
+    return F.coalesce(*[F.when(F.rlike(c, F.lit(pattern)), read_date(c, i))
+                        for i, (pattern, _) in enumerate(_SHAPES)])
 
 
 def normalize_phone(c: Column) -> Column:

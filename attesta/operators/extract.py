@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from attesta.functions.matches import all_matches, before, line_at, on_lines
 from attesta.functions.text import (
     WS, contains_any, let, normalize_text, strip, wide_digit_count,
 )
-from attesta.functions.values import normalize_date, normalize_phone
+from attesta.functions.values import normalize_date, normalize_phone, read_date
 from attesta.schemas import EVIDENCE, SCORES
 
 HIT = ("struct<seq1:int,seq2:int,raw:string,norm:string,quote:string,anchor:double,"
@@ -67,17 +69,15 @@ def _anchored(lowered: Column, start: Column, words: list[str]) -> Column:
 def _placed(text: Column, patterns: list[str], ignore_case: bool,
             build: Callable[[Column, Column, Column], Column]) -> Column:
     """Hits of page-wide patterns; matches may run across a line break."""
-    def of_pattern(index: int, pattern: str) -> Column:
-        places = all_matches(text, _java(pattern, ignore_case))
-        return F.transform(places, lambda m: build(F.lit(index), m["start"], strip(m["text"])))
-
-    return F.concat(*[of_pattern(i, p) for i, p in enumerate(patterns)])
+    places = [all_matches(text, _java(p, ignore_case), F.lit(i)) for i, p in enumerate(patterns)]
+    return F.transform(F.concat(*places), lambda m: build(m["tag"], m["start"], strip(m["text"])))
 
 
 def date_hits(text: Column, lowered: Column) -> Column:
     def build(index: Column, start: Column, raw: Column) -> Column:
-        return _hit(index, start, raw, normalize_date(raw), line_at(text, start),
-                    _anchored(lowered, start, BIRTH_ANCHORS))
+        # The pattern that found the text tells the shape it starts with.
+        norm = F.coalesce(*[F.when(index == i, read_date(raw, i)) for i in range(len(DATE_PATTERNS))])
+        return _hit(index, start, raw, norm, line_at(text, start), _anchored(lowered, start, BIRTH_ANCHORS))
 
     hits = _placed(text, DATE_PATTERNS, True, build)
     # Every shape holds four digits in a row; other pages need no scan.
@@ -104,11 +104,13 @@ def insurance_hits(text: Column, lowered: Column) -> Column:
     one = F.lit(1.0)
 
     def tokens_of(line: Column, number: Column) -> Column:
-        words = F.regexp_extract_all(line, F.lit(_java(ID_PATTERN, False)), F.lit(0))
-        hits = F.transform(words, lambda w, i: _hit(number, i, w, normalize_text(w), strip(line), one))
-        kept = F.filter(hits, lambda h: ~F.lower(h["raw"]).isin(INSURANCE_NON_VALUES)
-                        & normalize_date(h["raw"]).isNull() & (h["norm"] != ""))
-        return F.when(let(F.lower(line), lambda low: contains_any(low, INSURANCE_WORDS)), kept).otherwise(
+        words = F.transform(F.regexp_extract_all(line, F.lit(_java(ID_PATTERN, False)), F.lit(0)),
+                            lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        kept = F.filter(words, lambda t: ~F.lower(t["w"]).isin(INSURANCE_NON_VALUES)
+                        & normalize_date(t["w"]).isNull())
+        hits = F.filter(F.transform(kept, lambda t: _hit(
+            number, t["i"], t["w"], normalize_text(t["w"]), strip(line), one)), lambda h: h["norm"] != "")
+        return F.when(let(F.lower(line), lambda low: contains_any(low, INSURANCE_WORDS)), hits).otherwise(
             F.array().cast(f"array<{HIT}>"))
 
     return on_lines(text, tokens_of)
@@ -117,15 +119,14 @@ def insurance_hits(text: Column, lowered: Column) -> Column:
 def labelled_hits(text: Column, patterns: list[str], clean: Callable[[Column], Column],
                   valid: Callable[[Column], Column]) -> Column:
     """Hits of ``label: value`` patterns, the first match of each per line."""
-    def of_pattern(line: Column, number: Column, index: int, pattern: str) -> Column:
-        value = clean(strip(F.regexp_extract(line, _java(pattern, True), 1)))
-        return let(value, lambda raw: _hit(
-            number, F.lit(index), raw, normalize_text(raw), strip(line), F.lit(1.0)))
-
     def of_line(line: Column, number: Column) -> Column:
-        hits = [of_pattern(line, number, i, p) for i, p in enumerate(patterns)]
-        kept = F.filter(F.array(*hits), lambda h: valid(h["raw"]) & (h["norm"] != ""))
-        return F.when(F.contains(line, F.lit(":")), kept).otherwise(F.array().cast(f"array<{HIT}>"))
+        values = [F.struct(F.lit(i).alias("i"), clean(strip(F.regexp_extract(line, _java(p, True), 1))).alias("raw"))
+                  for i, p in enumerate(patterns)]
+        kept = F.filter(F.array(*values), lambda v: valid(v["raw"]))
+        hits = F.filter(F.transform(kept, lambda v: _hit(
+            number, v["i"], v["raw"], normalize_text(v["raw"]), strip(line), F.lit(1.0))),
+            lambda h: h["norm"] != "")
+        return F.when(F.contains(line, F.lit(":")), hits).otherwise(F.array().cast(f"array<{HIT}>"))
 
     return on_lines(text, of_line)
 
@@ -166,6 +167,17 @@ def routed_pages(routing: DataFrame, pages: DataFrame) -> DataFrame:
     return routing.join(pages, ["run_id", "doc_id"])
 
 
+@lru_cache(maxsize=8)
+def _hits_by_field(extractors: tuple, context: object) -> Column:
+    """The CASE over all extractors, built once per context: it is a large expression."""
+    hits: Column | None = None
+    for key, extractor in extractors:
+        value = extractor(F.col("full_text"), F.col("lowered"))
+        hits = (F.when(F.col("field") == key, value) if hits is None
+                else hits.when(F.col("field") == key, value))
+    return hits
+
+
 def heuristic_candidates(routing: DataFrame, pages: DataFrame,
                          extractors: dict[str, Callable[[Column, Column], Column]] | None = None,
                          ) -> DataFrame:
@@ -175,14 +187,10 @@ def heuristic_candidates(routing: DataFrame, pages: DataFrame,
     runs the extractor of that field only.
     """
     extractors = EXTRACTORS if extractors is None else extractors
+    hits = _hits_by_field(tuple(extractors.items()), SparkContext._active_spark_context)
     joined = routed_pages(routing, pages).filter(F.col("field").isin(list(extractors))).select(
         "run_id", "field", "doc_rank", "doc_id", "page", "page_ord", "full_text",
         F.when(F.col("field").isin("dob", "phone"), F.lower("full_text")).alias("lowered"))
-    hits: Column | None = None
-    for key, extractor in extractors.items():
-        value = extractor(F.col("full_text"), F.col("lowered"))
-        hits = (F.when(F.col("field") == key, value) if hits is None
-                else hits.when(F.col("field") == key, value))
     rows = joined.select("run_id", "field", "doc_rank", "doc_id", "page", "page_ord", F.inline(hits))
     first = F.min(F.struct("page_ord", "seq1", "seq2", "page", "raw", "quote", "anchor", "flags"))
     kept = rows.groupBy("run_id", "field", "doc_rank", "doc_id", "norm").agg(first.alias("h"))

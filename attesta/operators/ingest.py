@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import is_blank, let, rstrip, strip
+from attesta.functions.text import is_blank, let, lookup, rstrip, strip
 from attesta.operators.numbering import with_position
 from attesta.schemas import PAGE
 
@@ -19,10 +19,6 @@ PDF_MAGIC = "%PDF"
 _MIME = mimetypes.MimeTypes()
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-
-
 def safe_filename(name: Column) -> Column:
     """Last path segment without surrounding whitespace; NULL if none is left."""
     last = strip(F.substring_index(F.translate(name, "\\", "/"), "/", -1))
@@ -39,10 +35,10 @@ def mime_type(name: Column, is_pdf: Column) -> Column:
     def stem(n: Column) -> Column:
         return F.substring(n, F.lit(1), F.length(n) - F.length(_extension(n)))
 
-    longer = _lookup(_MIME.suffix_map)
+    longer = lookup(_MIME.suffix_map)
     spelled = F.coalesce(F.concat(stem(name), longer[F.lower(_extension(name))]), name)
     plain = let(spelled, lambda n: F.when(_extension(n).isin(sorted(_MIME.encodings_map)), stem(n)).otherwise(n))
-    by_name = let(F.lower(let(plain, _extension)), lambda e: _lookup(_MIME.types_map[True])[e])
+    by_name = let(F.lower(let(plain, _extension)), lambda e: lookup(_MIME.types_map[True])[e])
     return F.coalesce(by_name, F.when(is_pdf, PDF), F.lit("application/octet-stream"))
 
 

@@ -17,10 +17,17 @@ RUNTIME_SETTINGS = {
     # partition is worth the extra exchange the following aggregate then needs.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # With coalesced partitions, a union claiming its inputs' partitioning can
+    # meet a join with another number of partitions and fail the job.
+    "spark.sql.unionOutputPartitioning": "false",
     # A repeated JSON key keeps its last value instead of voiding the document.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Settings a session can only be built with. Recording the Python call site of
+# every expression costs more than building the expressions does.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 @dataclass(frozen=True)
 class RunOptions:
@@ -46,7 +53,7 @@ def tune(spark: SparkSession) -> SparkSession:
 def session(app: str = "attesta", **settings: str) -> SparkSession:
     """Get or build a session with the runtime settings."""
     builder = SparkSession.builder.appName(app)
-    for key, value in settings.items():
+    for key, value in {**STATIC_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 

@@ -60,7 +60,7 @@ UPLOADS = """
 SELECT run_id, 0 AS upload_ord, 'forms/intake.pdf' AS filename, concat('%PDF-1.4', chr(10), nm) AS body
 FROM (@customers) c
 UNION ALL
-SELECT c.run_id, CAST(o_orderkey AS INT) AS upload_ord,
+SELECT c.run_id, CAST(o_orderkey + 1 AS INT) AS upload_ord,
   CASE o_orderkey % 9 WHEN 0 THEN 'scan.pdf' WHEN 1 THEN concat('C:', chr(92), 'in', chr(92), 'x', CAST(o_orderkey AS VARCHAR(20)), '.txt')
        WHEN 2 THEN '..' WHEN 3 THEN concat('a..b', CAST(o_orderkey AS VARCHAR(20)), '.PDF') WHEN 4 THEN 'blob'
        WHEN 5 THEN concat(' note ', CAST(o_orderkey AS VARCHAR(20)), '.html ') WHEN 6 THEN 'dir/' WHEN 7 THEN concat('t', CAST(o_orderkey AS VARCHAR(20)), '.tar.gz')

@@ -278,7 +278,7 @@ _RULES = {
     "phone": "length({d}) >= 10", "address": "trim(norm) <> ''", "insurance_member_id": "length(norm) BETWEEN 4 AND 32",
     "allergies": "trim(norm) <> ''", "medications": "trim(norm) <> ''",
 }
-_PASSES = "CASE field " + " ".join(
+_PASSES = "CASE c.field " + " ".join(
     f"WHEN '{k}' THEN coalesce({v.format(d=norm_digits('norm'))}, false)" for k, v in _RULES.items()) + " END"
 
 
@@ -339,7 +339,7 @@ RELATIONS.update({
     "named": ("SELECT *, CASE WHEN last IN ('', '.', '..') THEN NULL ELSE replace(last, '..', '_') END AS safe FROM (SELECT *, " +
               trimmed("regexp_extract(replace(filename, chr(92), '/'), '[^/]*$')") + " AS last, row_number() OVER (PARTITION BY run_id ORDER BY upload_ord) AS position FROM upload_text)", ["upload_text"]),
     "stored": ("SELECT run_id, safe, arg_min(body, upload_ord) AS body, min(upload_ord) AS stored_ord FROM named WHERE safe IS NOT NULL GROUP BY ALL", ["named"]),
-    "indexed": ("SELECT n.run_id, 'doc_' || lpad(CAST(n.position AS VARCHAR), greatest(3, length(CAST(n.position AS VARCHAR))), '0') AS doc_id, n.safe AS filename, s.body, "
+    "indexed": ("SELECT n.run_id, 'doc_' || lpad(CAST(n.position AS VARCHAR), CAST(greatest(3, length(CAST(n.position AS VARCHAR))) AS INT), '0') AS doc_id, n.safe AS filename, s.body, "
                 "CASE WHEN n.safe ILIKE '%.pdf' THEN 'application/pdf' WHEN n.safe LIKE '%.txt' THEN 'text/plain' WHEN n.safe LIKE '%.html' THEN 'text/html' WHEN n.safe LIKE '%.tar.gz' THEN 'application/x-tar' "
                 "WHEN starts_with(s.body, '%PDF') THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime FROM named n JOIN stored s ON s.run_id = n.run_id AND s.safe = n.safe", ["named", "stored"]),
 })
