@@ -90,7 +90,7 @@ def build_prompts(gate: DataFrame, excerpts: DataFrame) -> DataFrame:
     """One prompt per field to ask about; a field without excerpts gets none."""
     block = F.concat(F.lit("[Document: "), "doc_id", F.lit(", Page: "), F.col("page").cast("string"),
                      F.lit("]\n"), "text")
-    context = excerpts.groupBy("run_id", "field").agg(F.array_join(F.array_sort(F.collect_list(
+    context = excerpts.groupBy("run_id", "field").agg(F.array_join(F.sort_array(F.collect_list(
         F.struct("excerpt_ord", block.alias("block"))))["block"], "\n\n").alias("context"))
     kind = field_type(F.col("field"))
     hint = F.create_map(*[F.lit(x) for pair in TYPE_HINTS.items() for x in pair])[kind]

@@ -33,7 +33,7 @@ def doc_text(pages: DataFrame, limit: int) -> DataFrame:
     takes one shuffle.
     """
     def glue(df: DataFrame, keys: list[str]) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("page", "page_ord", "text")))
+        ordered = F.sort_array(F.collect_list(F.struct("page", "page_ord", "text")))
         return df.groupBy(*keys).agg(
             F.min("page").alias("page"),
             F.substring(F.array_join(ordered["text"], ""), 1, limit).alias("text"))
@@ -86,7 +86,7 @@ def route(schema_fields: DataFrame, doc_index: DataFrame, pages: DataFrame,
 
 def nest_routing(schema_fields: DataFrame, routing: DataFrame) -> DataFrame:
     """One row per field: document ids best first and a score map, both maybe empty."""
-    entry = F.array_sort(F.collect_list(F.struct("doc_rank", "doc_id", "score")))
+    entry = F.sort_array(F.collect_list(F.struct("doc_rank", "doc_id", "score")))
     nested = routing.groupBy("run_id", "field").agg(entry.alias("e")).select(
         "run_id", "field", F.col("e")["doc_id"].alias("doc_ids"),
         F.map_from_arrays(F.col("e")["doc_id"], F.col("e")["score"]).alias("scores"))

@@ -44,7 +44,7 @@ def validator_score(field: Column, value: Column, validators: Column, as_of: dat
 def with_relevance(candidates: DataFrame, routing: DataFrame) -> DataFrame:
     """Add the routing score of the document of the first evidence entry."""
     scores = routing.select("run_id", "field", "doc_id", F.col("score").alias("relevance"))
-    return (candidates.withColumn("doc_id", F.try_element_at("evidence", F.lit(1))["doc_id"])
+    return (candidates.withColumn("doc_id", F.get("evidence", F.lit(0))["doc_id"])
             .join(scores, ["run_id", "field", "doc_id"], "left")
             .withColumn("relevance", F.coalesce("relevance", F.lit(0.0))))
 
@@ -95,9 +95,9 @@ def front_runners(scored: DataFrame) -> DataFrame:
         F.col("normalized_value").alias("o3"), F.col("seq").alias("o4"), "accepted", "place", "confidence", "doc_id",
         F.struct("field", "raw_value", "normalized_value", "evidence", "from_method", "validators",
                  "rejected_reasons", "scores").cast(CANDIDATE).alias("candidate"))
-    listed = ranked.groupBy(*FIELD).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    listed = ranked.groupBy(*FIELD).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     wins = lambda e: e["accepted"] & (e["place"] == 1)
-    return listed.select(*FIELD, F.try_element_at(F.filter("entries", wins), F.lit(1)).alias("winner"),
+    return listed.select(*FIELD, F.get(F.filter("entries", wins), F.lit(0)).alias("winner"),
                          F.slice(F.filter("entries", lambda e: ~wins(e)), 1, ALTERNATIVES).alias("others"))
 
 
@@ -158,6 +158,6 @@ def select_final(schema_fields: DataFrame, scored: DataFrame, routing: DataFrame
 def final_map(schemas: DataFrame, final_fields: DataFrame) -> DataFrame:
     """One row per bundle with a map from field key to its final value."""
     columns = ["field", "status", "value", "normalized_value", "confidence", "rationale", "evidence", "alternatives"]
-    entries = final_fields.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
+    entries = final_fields.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct(F.col("field").alias("key"), F.struct(*columns).alias("value"))))).alias("fields"))
     return schemas.select("run_id", "schema_source").join(entries, "run_id")

@@ -17,6 +17,9 @@ RUNTIME_SETTINGS = {
     # partition is worth the extra exchange the following aggregate then needs.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The work per row is heavy, so small shuffles still go to all cores. Large
+    # ones are cut by the advisory size, which this does not touch.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # With coalesced partitions, a union claiming its inputs' partitioning can
     # meet a join with another number of partitions and fail the job.
     "spark.sql.unionOutputPartitioning": "false",

@@ -152,10 +152,21 @@ RENDERINGS = {
 }
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. A file with fewer splits than cores is spread over the cores.
+
+    Tables of any size have more splits than the cluster has cores and are read
+    as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rendered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A rendering over the parquet tables of ``sf_dir``."""
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for name_of_table in TABLES:
+        table(spark, sf_dir, name_of_table).createOrReplaceTempView(name_of_table)
     return spark.sql(RENDERINGS[name])
 
 
@@ -198,6 +209,6 @@ def user_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as bundles: a source is a bundle and a document has one page."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("run_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"),
         F.lit(0).alias("page_ord"), F.col("text").alias("full_text"))

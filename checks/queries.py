@@ -23,7 +23,7 @@ from attesta.operators import scoring as L
 from attesta.operators import steps as O
 from attesta.operators import validate as K
 from attesta.plans import bundle_job as J
-from attesta.settings import RunOptions, tune
+from attesta.settings import RunOptions, tune, written
 from attesta.sources import store
 from checks import bundles as B
 
@@ -34,10 +34,17 @@ MODEL_FIELDS = ["full_name", "dob", "phone", "allergies"]
 
 
 class Bundles:
-    """Tables of the rendered bundles, put together from the operators."""
+    """Tables of the rendered bundles, put together from the operators.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, options: RunOptions = RunOptions()) -> None:
-        self.spark, self.sf_dir, self.options = tune(spark), sf_dir, options
+    With ``stored``, tables that several later stages read are written to the
+    shared folder once, as the whole job does.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
+        self.spark, self.sf_dir, self.stored = tune(spark), sf_dir, stored
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        return written(df, label) if self.stored else df
 
     def rendered(self, name: str) -> DataFrame:
         return B.rendered(self.spark, self.sf_dir, name)
@@ -52,11 +59,11 @@ class Bundles:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return I.page_table(self.extractions)
+        return self.keep(I.page_table(self.extractions), "pages")
 
     @cached_property
     def doc_index(self) -> DataFrame:
-        return I.update_doc_index(B.doc_stubs(self.extractions), self.extractions)
+        return self.keep(I.update_doc_index(B.doc_stubs(self.extractions), self.extractions), "doc_index")
 
     @cached_property
     def schemas(self) -> DataFrame:
@@ -68,7 +75,7 @@ class Bundles:
 
     @cached_property
     def routing(self) -> DataFrame:
-        return R.route(self.schema_fields, self.doc_index, self.pages, self.options)
+        return self.keep(R.route(self.schema_fields, self.doc_index, self.pages), "routing")
 
     @cached_property
     def fields(self) -> DataFrame:
@@ -76,7 +83,7 @@ class Bundles:
 
     @cached_property
     def heuristics(self) -> DataFrame:
-        return G.check_evidence(E.heuristic_candidates(self.routing, self.pages))
+        return self.keep(G.check_evidence(E.heuristic_candidates(self.routing, self.pages)), "heuristics")
 
     @cached_property
     def gate(self) -> DataFrame:
@@ -84,7 +91,7 @@ class Bundles:
 
     @cached_property
     def settled(self) -> DataFrame:
-        return N.settle_attempts(N.parse_responses(self.rendered("responses")))
+        return self.keep(N.settle_attempts(N.parse_responses(self.rendered("responses"))), "settled")
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -92,7 +99,7 @@ class Bundles:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return L.score_candidates(self.candidates, self.routing, AS_OF)
+        return self.keep(L.score_candidates(self.candidates, self.routing, AS_OF), "scored")
 
     @cached_property
     def final(self) -> DataFrame:
@@ -115,7 +122,7 @@ def six(c: str | Column) -> Column:
 
 def flat(candidates: DataFrame) -> DataFrame:
     """Candidates with one evidence entry each, as scalar columns."""
-    ev = F.try_element_at("evidence", F.lit(1))
+    ev = F.get("evidence", F.lit(0))
     return candidates.select(
         "run_id", "field", "raw_value", "normalized_value", ev["doc_id"].alias("doc_id"), long(ev["page"]).alias("page"),
         ev["quoted_text"].alias("quoted_text"), six("scores.anchor_match").alias("anchor_match"),
@@ -123,7 +130,7 @@ def flat(candidates: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return B.table(tune(spark), sf_dir, table)
 
 
 # ---- scalars and routing ------------------------------------------------
@@ -132,7 +139,7 @@ def tokenize_docs(spark, sf):
     tokens = T.tokenize(F.col("text"))
     return read(spark, sf, "documents").select("doc_id", tokens.alias("tokens")).select(
         long("doc_id").alias("doc_id"), long(F.size("tokens")).alias("token_count"),
-        F.md5(F.array_join(F.array_sort("tokens"), " ")).alias("tokens_md5"))
+        F.md5(F.array_join(F.sort_array("tokens"), " ")).alias("tokens_md5"))
 
 
 def normalize_text(spark, sf):
@@ -216,35 +223,35 @@ def evidence_check(spark, sf):
 
 
 def model_gate(spark, sf):
-    return Bundles(spark, sf).gate.select("run_id", "field", six(F.coalesce("best_confidence", F.lit(-1.0))).alias("best_confidence"),
+    return Bundles(spark, sf, stored=True).gate.select("run_id", "field", six(F.coalesce("best_confidence", F.lit(-1.0))).alias("best_confidence"),
                                           long(F.col("call_model").cast("int")).alias("call_model"))
 
 
 def field_stats(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return C.field_stats(b.fields, b.gate, b.candidates).withColumn("llm_used", long(F.col("llm_used").cast("int")))
 
 
 def field_events(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     stats = C.field_stats(b.fields, b.gate, b.candidates).join(b.fields.select("run_id", "field", "routed"), ["run_id", "field"])
     return C.field_events(stats, N.model_errors(b.settled)).select(
         "run_id", "step", "status", F.coalesce("error.kind", F.lit("")).alias("error_kind"))
 
 
 def sorted_candidates(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return flat(C.sort_candidates(b.candidates)).drop("quoted_text", "anchor_match")
 
 
 def excerpts(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return X.build_excerpts(C.resolved(b.schema_fields), b.routing, b.pages, TIGHT).select(
         "run_id", "field", long("excerpt_ord").alias("excerpt_ord"), "doc_id", long("page").alias("page"), "text")
 
 
 def prompts(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     made = N.build_prompts(b.gate, X.build_excerpts(C.resolved(b.schema_fields), b.routing, b.pages, TIGHT))
     return made.select("run_id", "field", long(F.length("prompt")).alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"),
                        F.md5(N.retry_prompt(F.col("field"), F.lit(N.INVALID_JSON))).alias("retry_md5"))
@@ -256,7 +263,7 @@ def parse_responses(spark, sf):
     """Every answer: its error, and its items with valid evidence."""
     parsed = N.parse_responses(Bundles(spark, sf).rendered("responses"))
     item = parsed.select("run_id", "field", "attempt", "parse_error", F.explode_outer("found").alias("f"))
-    ev = F.try_element_at("f.evidence", F.lit(1))
+    ev = F.get("f.evidence", F.lit(0))
     none = F.lit("")
     return item.select(
         "run_id", "field", long("attempt").alias("attempt"), F.coalesce("parse_error", none).alias("parse_error"),
@@ -353,25 +360,25 @@ def page_extract_job(spark, sf):
 # ---- scores and final values --------------------------------------------
 
 def doc_relevance(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return L.with_relevance(b.candidates, b.routing).select(
         "run_id", "field", "normalized_value", "from_method", "doc_id", six("relevance").alias("relevance"))
 
 
 def validators(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     score = L.validator_score(F.col("field"), F.col("normalized_value"), F.col("validators"), AS_OF)
     return b.candidates.select("run_id", "field", "normalized_value", "from_method", six(score).alias("validator"))
 
 
 def confidence(spark, sf):
-    return Bundles(spark, sf).scored.select(
+    return Bundles(spark, sf, stored=True).scored.select(
         "run_id", "field", "normalized_value", "from_method", "doc_id", six("base").alias("base"),
         six("scores.cross_doc_agreement").alias("agreement"), six("confidence").alias("confidence"))
 
 
 def contradictions(spark, sf):
-    return L.contradictions(Bundles(spark, sf).scored)
+    return L.contradictions(Bundles(spark, sf, stored=True).scored)
 
 
 def _final_columns(df: DataFrame) -> DataFrame:
@@ -383,24 +390,24 @@ def _final_columns(df: DataFrame) -> DataFrame:
 
 def final_fields(spark, sf):
     alternatives = F.array_join(F.transform("alternatives", lambda c: c["normalized_value"]), "|")
-    final = Bundles(spark, sf).final
+    final = Bundles(spark, sf, stored=True).final
     return _final_columns(final.withColumn("rationale", F.array_append("rationale", F.concat(F.lit("alt="), alternatives))))
 
 
 def overrides(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return _final_columns(P.apply_overrides(b.final, b.rendered("overrides"))).drop("rationale")
 
 
 def population_report(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return P.population_report(b.final, b.rendered("targets")).select(
         "run_id", "field", "status", F.coalesce("value", F.lit("")).alias("value"),
         long(F.col("population_skipped").cast("int")).alias("population_skipped"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def eval_metrics(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     rate = lambda n: six(F.coalesce(n, F.lit(-1.0))).alias(n)
     return P.eval_metrics(b.final, b.rendered("truth")).select(
         F.coalesce("run_id", F.lit("overall")).alias("run_id"), rate("exact_match"), rate("evidence_coverage"),
@@ -408,7 +415,7 @@ def eval_metrics(spark, sf):
 
 
 def final_map(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     mapped = L.final_map(b.schemas, b.final)
     return mapped.select("run_id", "schema_source", long(F.size("fields")).alias("fields"),
                          F.col("fields")["dob"]["status"].alias("dob_status"),
@@ -441,14 +448,14 @@ def json_violations(spark, sf):
 
 
 def step_status(spark, sf):
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     return O.step_status(b.runs, b.extractions.select("run_id"), b.doc_index, b.pages, b.schema_fields, b.routing,
                          b.candidates, b.final)
 
 
 def artifact_roundtrip(spark, sf):
     """Index, routing and trace rows written to the shared folder and read back."""
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     root = J.fresh_folder(b.spark, "roundtrip")
     store.write_artifact(b.doc_index, "doc_index", root)
     store.write_artifact(R.nest_routing(b.schema_fields, b.routing), "routing", root, "json")
@@ -462,7 +469,7 @@ def artifact_roundtrip(spark, sf):
 
 def bundle_job(spark, sf):
     """The whole job over user schemas, forms and uploads' text, with stored answers."""
-    b = Bundles(spark, sf)
+    b = Bundles(spark, sf, stored=True)
     out = J.extract_fields(b.runs, b.doc_index, b.pages, B.user_schemas(spark, sf), b.rendered("form_fields"),
                            responses=b.rendered("responses"), as_of=AS_OF)
     return _final_columns(out.final).drop("rationale")
