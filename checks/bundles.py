@@ -7,6 +7,8 @@ so both sides of a check start from the same text.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +154,7 @@ RENDERINGS = {
 }
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. A file with fewer splits than cores is spread over the cores.
 
