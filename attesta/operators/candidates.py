@@ -23,8 +23,12 @@ def resolved(schema_fields: DataFrame, options: RunOptions = RunOptions()) -> Da
 
 def routed_fields(schema_fields: DataFrame, routing: DataFrame, pages: DataFrame,
                   options: RunOptions = RunOptions()) -> DataFrame:
-    """Fields of each bundle and whether a document with pages was routed to them."""
-    present = (routing.join(pages.select("run_id", "doc_id"), ["run_id", "doc_id"], "left_semi")
+    """Fields of each bundle and whether a document with pages was routed to them.
+
+    Pages shrink to distinct documents before they move.
+    """
+    documents = pages.select("run_id", "doc_id").distinct()
+    present = (routing.join(documents, ["run_id", "doc_id"], "left_semi")
                .select(*FIELD).distinct().withColumn("routed", F.lit(True)))
     return (resolved(schema_fields, options).join(present, FIELD, "left")
             .withColumn("routed", F.coalesce("routed", F.lit(False))))

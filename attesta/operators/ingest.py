@@ -112,7 +112,7 @@ def extract_pages(uploads: DataFrame, read_pages: Callable[[bytes], list[str]])
     name = safe_filename(F.col("filename"))
     eligible = uploads.filter(name.isNotNull() & flag & (mime_type(name, flag) == PDF))
     return eligible.select("run_id", "upload_ord", "content").mapInPandas(
-        extract, "run_id string, upload_ord int, pages array<string>, page_count int, error string")
+        extract, "run_id string, upload_ord bigint, pages array<string>, page_count int, error string")
 
 
 def extractions_of(index: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _columns(struct_ddl: str) -> str:
     return struct_ddl[len("struct<"):-1]
 
 
-UPLOADS = "run_id string, upload_ord int, filename string, content binary"
+UPLOADS = "run_id string, upload_ord bigint, filename string, content binary"
 EXTRACTIONS = "run_id string, doc_id string, pages array<string>, page_count int, error string"
 DOC_INDEX = ("run_id string, doc_id string, filename string, mime_type string, pages int, "
              "has_text_layer boolean, unreadable_reason string, sha256 string")

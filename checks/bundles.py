@@ -104,11 +104,17 @@ SELECT run_id, field, attempt, CASE (k + fno + attempt) % 6
   WHEN 3 THEN '{"raw_value":"x"}'
   WHEN 4 THEN concat('  [{"raw_value":"', nm, '","normalized_value":"', lower(nm), '","evidence":[{"doc_id":"doc_000000000","page":1,"quoted_text":"Patient: ', nm, '"},"y",{"doc_id":"d","page":"2.7","quoted_text":"q"},{"doc_id":"d","page":0,"quoted_text":"q"}]},{"raw_value":12345,"evidence":[{"doc_id":"doc_000000000","page":1,"quoted_text":"No 12345"}]}]  ')
   ELSE '[] extra' END AS text
-FROM (@customers) c
-CROSS JOIN (SELECT 'full_name' AS field, 0 AS fno UNION ALL SELECT 'dob', 1 UNION ALL SELECT 'phone', 2 UNION ALL SELECT 'allergies', 3) f
-CROSS JOIN (SELECT 1 AS attempt UNION ALL SELECT 2) a
+FROM @asked q
 """
 
+# Every customer with the fields and attempts answers are rendered for: a short
+# constant list per row, which each engine expands in its own words.
+ASKED_DUCK = """(SELECT c.*, f.*, a.* FROM (@customers) c CROSS JOIN (VALUES ('full_name', 0), ('dob', 1), ('phone', 2), ('allergies', 3)) f(field, fno)
+CROSS JOIN (VALUES (1), (2)) a(attempt))"""
+ASKED_SPARK = """(SELECT * FROM (@customers) c
+LATERAL VIEW inline(array(struct('full_name' AS field, 0 AS fno), struct('dob', 1), struct('phone', 2), struct('allergies', 3))) f
+LATERAL VIEW explode(array(1, 2)) a AS attempt)"""
+
 OVERRIDES = """
 SELECT run_id, CASE k % 4 WHEN 0 THEN 'dob' WHEN 1 THEN 'phone' WHEN 2 THEN 'full_name' ELSE 'address' END AS field,
   CASE k % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'override' ELSE 'missing' END AS action,
@@ -144,7 +150,7 @@ FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 10000 AS VARCHAR(20)), 4, '0') A
 
 TABLES = ("customer", "nation", "orders")
 RENDERINGS = {
-    name: sql.replace("@customers", CUSTOMERS)
+    name: sql.replace("@asked", ASKED_DUCK).replace("@customers", CUSTOMERS)
     for name, sql in {
         "form_docs": FORMS, "note_docs": NOTES, "upload_text": UPLOADS, "user_schema_text": USER_SCHEMAS,
         "form_fields": FORM_FIELDS, "responses": RESPONSES, "overrides": OVERRIDES, "targets": TARGETS,
@@ -170,6 +176,8 @@ def rendered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A rendering over the parquet tables of ``sf_dir``."""
     for name_of_table in TABLES:
         table(spark, sf_dir, name_of_table).createOrReplaceTempView(name_of_table)
+    if name == "responses":
+        return spark.sql(RESPONSES.replace("@asked", ASKED_SPARK).replace("@customers", CUSTOMERS))
     return spark.sql(RENDERINGS[name])
 
 

@@ -35,11 +35,14 @@ def test_skewed_bundle_is_split(spark):
             spark.conf.set(key, value)
         hot = spark.range(0, 4000, 1, 8).select(F.lit("r").alias("run_id"), F.lit("hot").alias("doc_id"), (F.col("id") + 1).cast("int").alias("page"),
                                                 F.col("id").cast("int").alias("page_ord"), F.concat(F.lit("Name: Person "), F.sha2(F.col("id").cast("string"), 256)).alias("full_text"))
-        cold = spark.range(40).select(F.lit("r").alias("run_id"), F.concat(F.lit("d"), "id").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("page_ord"), F.lit("Name: A B").alias("full_text"))
+        cold = spark.range(400).select(F.lit("r").alias("run_id"), F.concat(F.lit("d"), "id").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("page_ord"), F.lit("Name: A B").alias("full_text"))
         pages = hot.unionByName(cold)
         routing = pages.select("run_id", F.lit("full_name").alias("field"), F.lit(1).alias("doc_rank"), "doc_id", F.lit(1.0).alias("score")).distinct()
-        out = E.heuristic_candidates(routing, pages)
-        assert len(out.collect()) == 4040
+        whole = lambda text, lowered: F.array(F.struct(
+            F.lit(0).alias("seq1"), F.lit(0).alias("seq2"), text.alias("raw"), text.alias("norm"), text.alias("quote"),
+            F.lit(1.0).alias("anchor"), F.array().cast("array<string>").alias("flags")))
+        out = E.heuristic_candidates(routing, pages, {"full_name": whole})
+        assert len(out.collect()) == 4400
         assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         for key, value in old.items():

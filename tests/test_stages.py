@@ -13,7 +13,7 @@ from attesta.operators import steps as O
 from attesta.operators import validate as K
 from attesta.operators.numbering import with_position
 from attesta.plans.bundle_job import extract_fields
-from attesta.schemas import (ARTIFACTS, DOC_INDEX, EXTRACTIONS, FORM_FIELDS, OVERRIDES, PAGES, RESPONSES, ROUTING_ROWS,
+from attesta.schemas import (ARTIFACTS, DOC_INDEX, EXTRACTIONS, FINAL_FIELD, FORM_FIELDS, OVERRIDES, PAGES, RESPONSES, ROUTING_ROWS,
                              SCHEMA_FIELDS, TRUTH, UPLOADS, USER_SCHEMAS)
 from attesta.settings import RunOptions
 from attesta.sources import store
@@ -216,7 +216,7 @@ def test_validators(spark):
 def test_overrides_population_and_metrics(spark):
     final = final_of(spark, candidates(spark, ("dob", "1990-01-01", "d1", "heuristic", 1.0, True), ("full_name", "jane", "d1", "heuristic", 0.0, True)),
                      [("r", "dob", 1, "d1", 1.0)], ["full_name", "dob", "phone", "address"])
-    table = spark.createDataFrame(list(final.values()))
+    table = spark.createDataFrame(list(final.values()), f"run_id string, {FINAL_FIELD[7:-1]}, contradiction boolean")
     rows = spark.createDataFrame([("r", "dob", "override", "2/3/1991"), ("r", "full_name", "confirm", None), ("r", "phone", "confirm", None)], OVERRIDES)
     got = {r.field: (r.status, r.normalized_value) for r in P.apply_overrides(table, rows).collect()}
     assert got == {"dob": ("filled", "1991-02-03"), "full_name": ("filled", "jane"), "phone": ("missing", None), "address": ("missing", None)}
@@ -269,7 +269,7 @@ def test_artifacts_and_trace(spark, tmp_path):
     for _ in range(2):
         store.append_trace(O.trace_rows(steps, F.lit("2025-01-01 00:00:00").cast("timestamp")), root)
     assert [r.ts for r in store.read_trace(spark, root).filter("status = 'warn'").collect()] == ["2025-01-01T00:00:00.000000Z"] * 2
-    line = next((tmp_path / "trace").glob("*.json")).read_text().splitlines()[0]
+    line = "".join(f.read_text() for f in (tmp_path / "trace").glob("*.json")).splitlines()[0]
     assert list(json.loads(line)) == sorted(json.loads(line))
 
 
@@ -278,8 +278,11 @@ def test_uploads_from_files(spark, tmp_path):
         (tmp_path / run).mkdir(exist_ok=True)
         (tmp_path / run / name).write_bytes(body)
     uploads = store.read_uploads(spark, str(tmp_path))
-    assert sorted((r.run_id, r.upload_ord, r.filename, bytes(r.content)) for r in uploads.collect()) == [
-        ("a", 0, "b.txt", b"t"), ("a", 1, "x.pdf", b"%PDF1"), ("b", 0, "x.pdf", b"%PDF2")]
+    rows = sorted(uploads.collect(), key=lambda r: (r.run_id, r.upload_ord))
+    assert [(r.run_id, r.filename, bytes(r.content)) for r in rows] == [
+        ("a", "b.txt", b"t"), ("a", "x.pdf", b"%PDF1"), ("b", "x.pdf", b"%PDF2")]
+    assert sorted((r.run_id, r.doc_id, r.filename) for r in I.ingest(uploads).collect()) == [
+        ("a", "doc_001", "b.txt"), ("a", "doc_002", "x.pdf"), ("b", "doc_001", "x.pdf")]
 
 
 def test_whole_job_with_a_model(spark):
