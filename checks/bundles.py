@@ -112,7 +112,7 @@ FROM @asked q
 ASKED_DUCK = """(SELECT c.*, f.*, a.* FROM (@customers) c CROSS JOIN (VALUES ('full_name', 0), ('dob', 1), ('phone', 2), ('allergies', 3)) f(field, fno)
 CROSS JOIN (VALUES (1), (2)) a(attempt))"""
 ASKED_SPARK = """(SELECT * FROM (@customers) c
-LATERAL VIEW inline(array(struct('full_name' AS field, 0 AS fno), struct('dob', 1), struct('phone', 2), struct('allergies', 3))) f
+LATERAL VIEW posexplode(array('full_name', 'dob', 'phone', 'allergies')) f AS fno, field
 LATERAL VIEW explode(array(1, 2)) a AS attempt)"""
 
 OVERRIDES = """
