@@ -41,8 +41,8 @@ def extract_fields(runs: DataFrame, doc_index: DataFrame, pages: DataFrame, user
                    options: RunOptions = RunOptions()) -> Extracted:
     """Documents and schema requests to final fields.
 
-    Routing and heuristic candidates each feed several later stages, so they are
-    written once to the shared folder; page text is read for routing, for
+    Routing, heuristic candidates and scores each feed several later stages, so they
+    are written once to the shared folder; page text is read for routing, for
     extraction and for excerpts, and never again. Answers come from ``model``,
     or from a stored ``responses`` table, or there are none.
     """
@@ -65,7 +65,7 @@ def extract_fields(runs: DataFrame, doc_index: DataFrame, pages: DataFrame, user
         settled = written(settled, "settled", folder)
     found = heuristics if settled is None else heuristics.unionByName(
         G.check_evidence(N.response_candidates(settled)))
-    scored = L.score_candidates(found, routing, as_of)
+    scored = written(L.score_candidates(found, routing, as_of), "scored", folder)
     errors = None if settled is None else N.model_errors(settled)
     final = L.select_final(fields, scored, routing, doc_index, errors, options)
     return Extracted(schemas, routing, found, C.field_stats(routed, gate, found), final)

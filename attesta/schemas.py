@@ -11,18 +11,26 @@ SCORES = ("struct<anchor_match:double,validator:double,doc_relevance:double,"
           "cross_doc_agreement:double,contradiction_penalty:double>")
 FIELD_SPEC = "struct<key:string,label:string,type:string>"
 PAGE = "struct<page:int,full_text:string,spans:array<struct<text:string,bbox:array<double>>>>"
-CANDIDATE = (f"struct<field:string,raw_value:string,normalized_value:string,evidence:array<{EVIDENCE}>,"
-             "from_method:string,validators:array<string>,rejected_reasons:array<string>,"
-             f"scores:{SCORES}>")
-FINAL_FIELD = ("struct<field:string,status:string,value:string,normalized_value:string,"
-               f"confidence:double,rationale:array<string>,evidence:array<{EVIDENCE}>,"
-               f"alternatives:array<{CANDIDATE}>>")
 
 
-def _columns(struct_ddl: str) -> str:
-    return struct_ddl[len("struct<"):-1]
+def _struct(columns: dict[str, str]) -> str:
+    return "struct<" + ",".join(f"{name}:{kind}" for name, kind in columns.items()) + ">"
 
 
+def _table(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+_CANDIDATE = {
+    "field": "string", "raw_value": "string", "normalized_value": "string", "evidence": f"array<{EVIDENCE}>",
+    "from_method": "string", "validators": "array<string>", "rejected_reasons": "array<string>", "scores": SCORES,
+}
+CANDIDATE = _struct(_CANDIDATE)
+FINAL_FIELD = _struct({
+    "field": "string", "status": "string", "value": "string", "normalized_value": "string", "confidence": "double",
+    "rationale": "array<string>", "evidence": f"array<{EVIDENCE}>", "alternatives": f"array<{CANDIDATE}>",
+})
+
 UPLOADS = "run_id string, upload_ord bigint, filename string, content binary"
 EXTRACTIONS = "run_id string, doc_id string, pages array<string>, page_count int, error string"
 DOC_INDEX = ("run_id string, doc_id string, filename string, mime_type string, pages int, "
@@ -61,7 +69,7 @@ ARTIFACTS = {
         Artifact("layout", f"run_id string, doc_id string, pages array<{PAGE}>", True),
         Artifact("routing", "run_id string, field string, doc_ids array<string>, "
                             "scores map<string,double>", True),
-        Artifact("candidates", f"run_id string, {_columns(CANDIDATE)}", True),
+        Artifact("candidates", f"run_id string, {_table(_CANDIDATE)}", True),
         Artifact("final", f"run_id string, schema_source string, fields map<string,{FINAL_FIELD}>", False),
     ]
 }

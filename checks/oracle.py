@@ -7,6 +7,8 @@ per field, budgets are recomputed from page lengths.
 
 from __future__ import annotations
 
+import re
+
 from checks.bundles import RENDERINGS
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -374,6 +376,21 @@ RELATIONS.update({
     "no_forms": ("SELECT * FROM doc_scores WHERE doc_id <> 'doc_000000000'", ["doc_scores"]),
 })
 
+# The same chain under the schemas the bundles asked for: names get a suffix,
+# routing, fields and the answers that count differ.
+_CHAIN = ["routing", "routed", "found", "checked", "asked", "answered", "cands", "based", "votes", "scored", "clashes",
+          "winners", "tops", "final"]
+_RENAME = re.compile(r"\b(" + "|".join(_CHAIN) + r")\b")
+for _name in _CHAIN:
+    _sql, _needs = RELATIONS[_name]
+    RELATIONS[f"{_name}_s"] = (_RENAME.sub(r"\1_s", _sql), [f"{n}_s" if n in _CHAIN else n for n in _needs])
+RELATIONS["routing_s"] = (_routed(_LABELLED), ["asked_tokens", "readable", "doc_words"])
+RELATIONS["answered_s"] = (RELATIONS["answered"][0] + " JOIN (SELECT DISTINCT run_id, field FROM routed_s) q ON q.run_id = a.run_id AND q.field = a.field",
+                           ["answers", "settled", "routed_s"])
+RELATIONS["final_s"] = (
+    RELATIONS["final_s"][0].replace("FROM runs r CROSS JOIN fields f ", "FROM asked_keys r JOIN fields f ON f.key = r.key "),
+    ["asked_keys", *[n for n in RELATIONS["final_s"][1] if n != "runs"]])
+
 HINTS = {"full_name": "Return the value as a string.", "dob": "Return the date in YYYY-MM-DD format.",
          "phone": "Return the phone number with digits only (include country code if present).",
          "address": "Return the value as a string.", "insurance_member_id": "Return the value as a string.",
@@ -523,6 +540,7 @@ ORACLES = {
         "coalesce(CASE o.action WHEN 'override' THEN o.value WHEN 'missing' THEN '' ELSE f.value END, '') AS value, "
         f"coalesce(CASE o.action WHEN 'override' THEN {norm_for_field('f.field', 'o.value')} WHEN 'missing' THEN '' ELSE f.normalized_value END, '') AS normalized_value, "
         "round(CAST(f.confidence AS DOUBLE), 6) AS confidence FROM final f LEFT JOIN overrides o ON o.run_id = f.run_id AND o.field = f.field", "final", "overrides"),
+    "bundle_job": statement(f"SELECT {_FINAL} FROM final_s", "final_s"),
     "population_report": statement("SELECT f.run_id, f.field, f.status, coalesce(f.value, '') AS value, CAST(CASE WHEN coalesce(t.fillable, false) THEN 0 ELSE 1 END AS BIGINT) AS population_skipped, "
                                    "CASE WHEN t.fillable IS NULL THEN 'no_target' WHEN NOT t.fillable THEN 'target_not_fillable' ELSE '' END AS reason FROM final f LEFT JOIN targets t ON t.run_id = f.run_id", "final", "targets"),
     "eval_metrics": statement(_METRICS.format(who="run_id", group="GROUP BY run_id") + " UNION ALL " + _METRICS.format(who="'overall'", group=""), "judged"),

@@ -216,7 +216,7 @@ def test_validators(spark):
 def test_overrides_population_and_metrics(spark):
     final = final_of(spark, candidates(spark, ("dob", "1990-01-01", "d1", "heuristic", 1.0, True), ("full_name", "jane", "d1", "heuristic", 0.0, True)),
                      [("r", "dob", 1, "d1", 1.0)], ["full_name", "dob", "phone", "address"])
-    table = spark.createDataFrame(list(final.values()), f"run_id string, {FINAL_FIELD[7:-1]}, contradiction boolean")
+    table = spark.createDataFrame(list(final.values()), f"run_id string, {FINAL_FIELD[7:-1].replace('field:', 'field: ', 1)}, contradiction boolean")
     rows = spark.createDataFrame([("r", "dob", "override", "2/3/1991"), ("r", "full_name", "confirm", None), ("r", "phone", "confirm", None)], OVERRIDES)
     got = {r.field: (r.status, r.normalized_value) for r in P.apply_overrides(table, rows).collect()}
     assert got == {"dob": ("filled", "1991-02-03"), "full_name": ("filled", "jane"), "phone": ("missing", None), "address": ("missing", None)}
@@ -265,6 +265,11 @@ def test_artifacts_and_trace(spark, tmp_path):
     store.replace_bundles(fresh, "doc_index", root)
     back = store.read_artifact(spark, "doc_index", root)
     assert back.count() == 201 and [r.doc_id for r in back.filter("run_id = 'r7'").collect()] == ["e"]
+    row = ("r", "dob", "v", "v", [("d", 1, "q", None)], "llm", [], [], (1.0, 0.0, 0.0, 0.0, 0.0))
+    for name, data in {"candidates": row, "routing": ("r", "dob", ["d"], {"d": 0.5}), "schema": ("r", "fallback_v1", [("dob", None, "date")], [])}.items():
+        for fmt in ("parquet", "json"):
+            store.write_artifact(spark.createDataFrame([data], ARTIFACTS[name].ddl), name, f"{root}/{fmt}", fmt)
+            assert [tuple(r) for r in store.read_artifact(spark, name, f"{root}/{fmt}", fmt).collect()] == [data]
     steps = spark.createDataFrame([("r", "route_docs", "warn")], "run_id string, step string, status string")
     for _ in range(2):
         store.append_trace(O.trace_rows(steps, F.lit("2025-01-01 00:00:00").cast("timestamp")), root)
