@@ -190,7 +190,7 @@ def heuristic_candidates(routing: DataFrame, pages: DataFrame,
     hits = _hits_by_field(tuple(extractors.items()), SparkContext._active_spark_context)
     joined = routed_pages(routing, pages).filter(F.col("field").isin(list(extractors))).select(
         "run_id", "field", "doc_rank", "doc_id", "page", "page_ord", "full_text",
-        F.when(F.col("field").isin("dob", "phone"), F.lower("full_text")).alias("lowered"))
+        F.lower("full_text").alias("lowered"))
     rows = joined.select("run_id", "field", "doc_rank", "doc_id", "page", "page_ord", F.inline(hits))
     first = F.min(F.struct("page_ord", "seq1", "seq2", "page", "raw", "quote", "anchor", "flags"))
     kept = rows.groupBy("run_id", "field", "doc_rank", "doc_id", "norm").agg(first.alias("h"))

@@ -76,6 +76,7 @@ If no value found, return: []
 
 Return ONLY the JSON array, nothing else.'''
 
+# Error texts, which also go into retry prompts.
 INVALID_JSON = "Invalid JSON"
 NOT_AN_ARRAY = "Response must be a JSON array"
 

@@ -34,6 +34,7 @@ def parse_user_schemas(user_schemas: DataFrame, options: RunOptions = RunOptions
     """
     doc = user_schemas.select("run_id", J.parse(J.decode_utf8(F.col("schema_json"))).alias("doc"))
     fields = J.member(F.col("doc"), "fields")
+    # The wording of the three messages.
     message = (F.when(F.col("doc").isNull(), "Failed to parse schema JSON")
                .when(~J.is_object(F.col("doc")) | fields.isNull(),
                      "Schema JSON must be an object with a 'fields' array")

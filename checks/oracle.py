@@ -391,6 +391,11 @@ RELATIONS["final_s"] = (
     RELATIONS["final_s"][0].replace("FROM runs r CROSS JOIN fields f ", "FROM asked_keys r JOIN fields f ON f.key = r.key "),
     ["asked_keys", *[n for n in RELATIONS["final_s"][1] if n != "runs"]])
 
+RELATIONS["routed_c"] = (f"SELECT r.run_id, r.field, r.doc_rank, r.doc_id, 1 AS page, c.full_text FROM ({_routed(_CORPUS_SCORES)}) r JOIN corpus c ON c.doc_id = r.doc_id",
+                         ["corpus", "sizes", "vocab"])
+for _name, _needs in {"page_marks": ["routed_c", "alias"], "picked": ["page_marks_c"]}.items():
+    RELATIONS[f"{_name}_c"] = (re.sub(r"\b(routed|page_marks|picked)\b", r"\1_c", RELATIONS[_name][0]), _needs)
+
 HINTS = {"full_name": "Return the value as a string.", "dob": "Return the date in YYYY-MM-DD format.",
          "phone": "Return the phone number with digits only (include country code if present).",
          "address": "Return the value as a string.", "insurance_member_id": "Return the value as a string.",
@@ -502,6 +507,8 @@ ORACLES = {
                               "FROM asked a LEFT JOIN settled s ON s.run_id = a.run_id AND s.field = a.field WHERE coalesce(a.best, -1) < 0.75", "asked", "settled"),
     "sorted_candidates": statement("SELECT run_id, field, raw AS raw_value, norm AS normalized_value, doc_id, CAST(page AS BIGINT) AS page, flag AS validators FROM cands", "cands"),
     "excerpts": statement("SELECT run_id, field, excerpt_ord, doc_id, CAST(page AS BIGINT) AS page, text FROM (" + excerpts(90, 150, 2) + ")", "picked"),
+    "document_excerpts": statement("SELECT run_id, field, excerpt_ord, doc_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM (" +
+                                   excerpts(4000, 8000, 3).replace("picked", "picked_c") + ")", "picked_c"),
     "prompts": statement(_prompt(), "picked", "fields", "asked"),
     "parse_responses": statement("SELECT t.run_id, t.field, CAST(t.attempt AS BIGINT) AS attempt, coalesce(t.err, '') AS parse_error, coalesce(a.raw, '') AS raw_value, coalesce(a.given, '') AS given_value, "
                                  "coalesce(a.doc_id, '') AS doc_id, coalesce(a.page, 0) AS page, coalesce(a.quote, '') AS quoted_text FROM answer_text t LEFT JOIN answers a ON a.run_id = t.run_id AND a.field = t.field AND a.attempt = t.attempt", "answer_text", "answers"),

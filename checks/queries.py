@@ -167,16 +167,28 @@ def route_topk(spark, sf):
                                              six("score").alias("score"))
 
 
-def route_documents(spark, sf):
+def _corpus_routing(spark, sf):
     """The corpus with its sources as bundles: few, large bundles of long documents."""
     pages = B.document_pages(tune(spark), sf)
     index = pages.select("run_id", "doc_id", F.lit(True).alias("has_text_layer"),
                          F.lit(None).cast("string").alias("unreadable_reason"))
     fields = S.schema_fields(S.fallback_schemas(pages.select("run_id").distinct()))
-    return R.route(fields, index, pages).select("run_id", "field", long("doc_rank").alias("doc_rank"), "doc_id",
+    return fields, R.route(fields, index, pages), pages
+
+
+def route_documents(spark, sf):
+    return _corpus_routing(spark, sf)[1].select("run_id", "field", long("doc_rank").alias("doc_rank"), "doc_id",
                                                 six("score").alias("score"))
 
 
+def document_excerpts(spark, sf):
+    """Excerpts of the corpus under the default budgets."""
+    fields, routing, pages = _corpus_routing(spark, sf)
+    return X.build_excerpts(C.resolved(fields), routing, pages).select(
+        "run_id", "field", long("excerpt_ord").alias("excerpt_ord"), "doc_id", long(F.length("text")).alias("chars"),
+        F.md5("text").alias("text_md5"))
+
+
 def route_nested(spark, sf):
     """Bundles without their forms, so customers without orders have nothing readable."""
     b = Bundles(spark, sf)
@@ -479,7 +491,7 @@ QUERIES = {f.__name__: f for f in [
     tokenize_docs, normalize_text, normalize_date, normalize_phone, score_docs, route_topk, route_documents, route_nested,
     route_labelled, readable_status,
     *[_extracted(k) for k in ["full_name", "dob", "phone", "address", "insurance_member_id", "allergies", "medications"]],
-    phone_in_documents, evidence_check, model_gate, field_stats, field_events, sorted_candidates, excerpts, prompts,
+    phone_in_documents, evidence_check, model_gate, field_stats, field_events, sorted_candidates, excerpts, document_excerpts, prompts,
     parse_responses, retry_responses, response_candidates, schema_user, schema_forms, schema_resolved, schema_warnings,
     ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job,
     doc_relevance, validators, confidence, contradictions, final_fields, overrides, population_report, eval_metrics, final_map,
