@@ -64,11 +64,13 @@ def session(app: str = "attesta", **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test) a temporary one is made.
+    Only a local session that names none gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="attesta-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
