@@ -10,7 +10,8 @@ FAST = ["tokenize_docs", "route_topk", "phone_in_documents", "schema_resolved",
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    own = {name for name, query in entry_module.queries().items() if query.__module__ == "checks.queries"}
+    assert own <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", FAST)
