@@ -81,9 +81,10 @@ def _fs(path: str):
 class Pieces:
     """Encodes texts, keeping the ids of pieces seen before.
 
-    The pre-tokeniser never joins what a single space between two other characters
-    parts, so a text may be cut before each such space. Texts with any other white
-    space around a space are given to the tokenizer whole.
+    The pre-tokeniser never joins what a single space or line end between two other
+    characters parts, so a text may be cut before each such space and around each such
+    line end. Texts with two white-space characters in a row, or white space at an end,
+    are given to the tokenizer whole.
     """
 
     ODD = r"\s{2}|^\s|\s$"
@@ -96,19 +97,30 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.most, self.odd = most, re.compile(self.ODD)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if self.odd.search(t) else [p if not i else " " + p for i, p in enumerate(t.split(" "))] for t in texts]
+        split = [None if self.odd.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in t else None for t in texts]
         if len(self.known) > self.most:
             self.known = {}
-        new = list({p for s in split if s for p in s if p not in self.known})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, np.uint32)
+        known = self.known
+        new = list({p for s in split if s for p in s if p not in known})
+        # Unknown pieces that start with a space are parted by it, so they are encoded as one text and cut at their offsets.
+        joined = [p for p in new if p[:1] == " "]
+        for at in range(0, len(joined), 512):
+            part = joined[at:at + 512]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids, starts = np.array(e.ids, np.uint32), np.array(e.offsets, np.int64)[:, 0]
+            edges = np.searchsorted(starts, np.cumsum([0, *map(len, part)]))
+            raw, edges = ids.tobytes(), (4 * edges).tolist()
+            known.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+        single = [p for p in new if p[:1] != " "]
+        for piece, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
+            known[piece] = np.array(e.ids, np.uint32).tobytes()
         whole = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False))
-        end = np.array([END_ID], np.uint32)
-        return [np.concatenate([*map(self.known.__getitem__, s), end]) if s is not None else np.append(np.array(next(whole).ids, np.uint32), end) for s in split]
+        end = np.array([END_ID], np.uint32).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, s)) + end if s is not None else np.array(next(whole).ids, np.uint32).tobytes() + end, np.uint32) for s in split]
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
