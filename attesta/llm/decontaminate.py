@@ -50,6 +50,7 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.words = np.array([len(h) for _, h in items])
+        self.sizes = np.unique(self.words)
         shingles = [shingle_hashes(h, SHINGLE) for _, h in items]
         self.known, often = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
         self.weight = np.round(16 * (1 + np.log(len(items) / often))).astype(np.int64)
@@ -78,17 +79,21 @@ class Index:
         both = (np.minimum(nx[ix], ny[iy]) * self.weights(x[ix])).sum()
         return float(both / ((nx * self.weights(x)).sum() + (ny * self.weights(y)).sum() - both))
 
-    def search(self, h: np.ndarray, s5: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """item -> (similarity, first word, Hamming distance) of its best window in a document."""
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Where shingles that some item has stand."""
+        hit = np.flatnonzero(self.low[(s & np.uint64(0xFFFFF)).astype(np.int64)])
+        return hit[self.known[np.minimum(np.searchsorted(self.known, s[hit]), len(self.known) - 1)] == s[hit]]
+
+    def search(self, h: np.ndarray, s5: np.ndarray, hit5: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """item -> (similarity, first word, Hamming distance) of its best window in a document; hit5 = places(s5)."""
         best: dict[int, tuple[float, int, int]] = {}
-        for size in np.unique(self.words):
+        for size in self.sizes if len(hit5) else self.sizes[self.sizes < SHINGLE]:
             size = int(size)
             if len(h) < size:
                 continue
-            s = s5 if size >= SHINGLE else shingle_sized(h, size)
+            s = s5 if size >= SHINGLE else shingle_hashes(h, size)
             count = max(1, size - SHINGLE + 1)
-            hit = np.flatnonzero(self.low[(s & np.uint64(0xFFFFF)).astype(np.int64)])
-            hit = hit[np.isin(s[hit], self.known)]
+            hit = hit5 if size >= SHINGLE else self.places(s)
             if not len(hit):
                 continue
             starts = np.unique((hit[:, None] - np.arange(count)[None, :]).ravel())
@@ -122,10 +127,6 @@ class Index:
                 best[item] = (sim, int(starts[w]), int(far))
 
 
-def shingle_sized(h: np.ndarray, k: int) -> np.ndarray:
-    return shingle_hashes(h, k)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFrame:
     """doc_id, item_id, similarity, first_word, distance: the best window of each item in each document."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where("size(h) > 0").orderBy("item_id")
@@ -140,9 +141,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFr
                 col, found = batch.column(batch.num_columns - 1), []
                 flat, off = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.asarray(col.offsets) - col.offsets[0].as_py()
                 every = shingle_hashes(flat, SHINGLE) if len(flat) >= SHINGLE else np.zeros(0, np.uint64)
+                hits = index.places(every)
                 for i, (a, b) in enumerate(zip(off[:-1], off[1:])):
                     s5 = every[a: b - SHINGLE + 1] if b - a >= SHINGLE else every[:0]
-                    for item, (sim, first, far) in index.search(flat[a:b], s5).items():
+                    hit5 = hits[slice(*np.searchsorted(hits, (a, a + len(s5))))] - a
+                    for item, (sim, first, far) in index.search(flat[a:b], s5, hit5).items():
                         found.append((i, index.ids[item], sim, first, far))
                 take = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(len(cols))], pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()),
