@@ -7,8 +7,8 @@ with all values at most ``RADIUS // 4`` bits away: by the pigeonhole principle n
 fingerprint within ``RADIUS`` bits is missed. Candidates are verified by the exact
 weighted Jaccard similarity of their shingles, ``LEAST`` or more.
 
-A window that shares no shingle with any item has similarity 0 with all, so only
-windows over a shared shingle get a fingerprint. Items are taken in blocks of
+A window whose shingles known from any item weigh under ``LEAST`` of its weight has less
+similarity than that with every item, so only the other windows get a fingerprint. Items are taken in blocks of
 ``ITEMS``, each a pass over the documents, so what goes to the tasks is bounded.
 
 Defined cases: null or empty texts and items leak nothing; items of under five words
@@ -96,6 +96,8 @@ class Index:
             hit = hit5 if size >= SHINGLE else self.places(s)
             if not len(hit):
                 continue
+            known = np.zeros(len(s), bool)
+            known[hit] = True
             starts = np.unique((hit[:, None] - np.arange(count)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts <= len(h) - size)]
             for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1):
@@ -104,8 +106,15 @@ class Index:
                     if not len(part):
                         continue
                     local = s[part[0]: part[-1] + count]
-                    sums = simhash(local, self.weights(local))
+                    weight = self.weights(local)
                     i = part - part[0]
+                    # Shared weight is at most that of known shingles, so a window that has too little of it is not similar to any item.
+                    total, shared = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * known[part[0]: part[-1] + count]))
+                    enough = shared[i + count] - shared[i] >= LEAST * (total[i + count] - total[i]) - 1e-6
+                    part, i = part[enough], i[enough]
+                    if not len(part):
+                        continue
+                    sums = simhash(local, weight)
                     prints = fingerprint(sums[i + count] - sums[i])
                     self._probe(prints, part, s, count, size, best)
         return best
