@@ -68,11 +68,16 @@ def sort_candidates(candidates: DataFrame) -> DataFrame:
                               "normalized_value", "seq")
 
 
+def with_kind(errors: DataFrame) -> DataFrame:
+    """Errors with their kind; a table that names none holds invalid answers."""
+    return errors if "kind" in errors.columns else errors.withColumn("kind", F.lit("llm_invalid_json"))
+
+
 def field_events(stats: DataFrame, model_errors: DataFrame | None = None) -> DataFrame:
     """Step rows ``field:<key>:heuristic`` and ``field:<key>:llm`` of routed fields.
 
     ``stats`` carries a ``routed`` column; ``model_errors`` has
-    (run_id, field, message) for fields whose model answer stayed invalid.
+    (run_id, field, message) and maybe a kind for fields without a usable model answer.
     """
     step = lambda kind: F.concat(F.lit("field:"), F.col("field"), F.lit(f":{kind}")).alias("step")
     no_error = F.lit(None).cast("struct<kind:string,message:string>").alias("error")
@@ -82,7 +87,9 @@ def field_events(stats: DataFrame, model_errors: DataFrame | None = None) -> Dat
         second = asked.select("run_id", step("llm"), F.lit("ok").alias("status"), no_error)
     else:
         failed = F.col("message").isNotNull()
-        second = asked.join(model_errors.select(*FIELD, "message"), FIELD, "left").select(
+        # Fixed value: the name of the error of an invalid answer.
+        name = F.when(F.col("kind") == "llm_unavailable", "LLMUnavailableError").otherwise("LLMInvalidJSONError")
+        second = asked.join(with_kind(model_errors).select(*FIELD, "message", "kind"), FIELD, "left").select(
             "run_id", step("llm"), F.when(failed, "error").otherwise("ok").alias("status"),
-            F.when(failed, F.struct(F.lit("LLMInvalidJSONError").alias("kind"), F.col("message"))).alias("error"))
+            F.when(failed, F.struct(name.alias("kind"), F.col("message"))).alias("error"))
     return first.unionByName(second)

@@ -25,9 +25,9 @@ def supports_string(value: Column, evidence: Column) -> Column:
 def supports_date(value: Column, evidence: Column) -> Column:
     """Some quote shows the date in digits, or its year, day and month name."""
     year, month, day = (F.regexp_extract(value, _DATE, i) for i in (1, 2, 3))
-    plain = lambda part: ascii_digits(part).cast("int").cast("string")
+    plain = lambda part: ascii_digits(part).try_cast("int").cast("string")
     name = F.element_at(F.array(*[F.lit(m[:3]) for m in MONTHS]),
-                        F.when(month.between("01", "12"), month.cast("int")))
+                        F.when(F.rlike(month, F.lit("^(0[1-9]|1[0-2])$")), month.try_cast("int")))
     parts = F.struct(
         F.array(F.concat_ws("-", year, month, day), F.concat_ws("-", year, plain(month), plain(day)),
                 F.concat_ws("-", month, day, year), F.concat_ws("-", plain(month), plain(day), year))

@@ -79,6 +79,8 @@ Return ONLY the JSON array, nothing else.'''
 # Error texts, which also go into retry prompts.
 INVALID_JSON = "Invalid JSON"
 NOT_AN_ARRAY = "Response must be a JSON array"
+# Answers a task holds before it passes them on.
+ANSWERS_HELD = 64
 
 
 def _fill(template: str, **values: Column) -> Column:
@@ -134,10 +136,15 @@ def _evidence(item: Column) -> Column:
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """Add ``parse_error`` and the ``found`` items of each response text."""
+    """Add ``parse_error`` and the ``found`` items of each response text.
+
+    A failed call (``call_error``, absent in stored answers) has that error and no items.
+    """
+    if "call_error" not in responses.columns:
+        responses = responses.withColumn("call_error", F.lit(None).cast("string"))
     doc = responses.withColumn("_doc", J.parse(_unfenced(F.col("text"))))
     elements = J.items(F.col("_doc"))
-    error = F.when(F.col("_doc").isNull(), INVALID_JSON).when(elements.isNull(), NOT_AN_ARRAY)
+    error = F.when(F.col("call_error").isNotNull(), F.col("call_error")).when(F.col("_doc").isNull(), INVALID_JSON).when(elements.isNull(), NOT_AN_ARRAY)
     read = F.transform(
         F.filter(elements, lambda v: J.is_object(v) & J.is_given(J.member(v, "raw_value"))),
         lambda v, i: F.struct(
@@ -168,22 +175,26 @@ def response_candidates(parsed: DataFrame) -> DataFrame:
 def settle_attempts(parsed: DataFrame) -> DataFrame:
     """The attempt that counts per field: the first valid one of the first two.
 
-    ``status`` is ok, retried, or invalid_json when both attempts fail.
+    ``status`` is ok, retried, invalid_json when both attempts fail, or unavailable
+    when the last call itself failed.
     """
     rank = F.struct(F.col("parse_error").isNotNull().alias("bad"),
                     F.when(F.col("parse_error").isNull(), F.col("attempt")).otherwise(-F.col("attempt")).alias("a"))
     best = (parsed.filter(F.col("attempt") <= 2).groupBy("run_id", "field")
-            .agg(F.min_by(F.struct("attempt", "parse_error", "found"), rank).alias("s")))
+            .agg(F.min_by(F.struct("attempt", "parse_error", "found", "call_error"), rank).alias("s")))
     return best.select("run_id", "field", "s.attempt", "s.parse_error", "s.found",
-                       F.when(F.col("s.parse_error").isNotNull(), "invalid_json")
+                       F.when(F.col("s.call_error").isNotNull(), "unavailable")
+                       .when(F.col("s.parse_error").isNotNull(), "invalid_json")
                        .when(F.col("s.attempt") > 1, "retried").otherwise("ok").alias("status"))
 
 
 def model_errors(settled: DataFrame) -> DataFrame:
-    """Fields whose second answer was invalid as well; other fields go on."""
-    return settled.filter("status = 'invalid_json'").select(
-        "run_id", "field", F.concat(F.lit("Invalid JSON from LLM for field "), "field", F.lit(": "), "parse_error")
-        .alias("message"))
+    """Fields without a usable answer, and why; other fields go on."""
+    down = F.col("status") == "unavailable"
+    said = F.when(down, "LLM unavailable for field ").otherwise("Invalid JSON from LLM for field ")
+    return settled.filter("status IN ('invalid_json', 'unavailable')").select(
+        "run_id", "field", F.concat(said, "field", F.lit(": "), "parse_error").alias("message"),
+        F.when(down, "llm_unavailable").otherwise("llm_invalid_json").alias("kind"))
 
 
 def replay(prompts: DataFrame, responses: DataFrame, attempt: int) -> DataFrame:
@@ -197,19 +208,27 @@ def call_model(requests: DataFrame, model: Callable[[list[dict], int], str], att
     """Run a caller's ``(messages, max_tokens) -> text`` function over request rows.
 
     ``requests`` has (run_id, field, messages) with messages an array of
-    struct(role, content).
+    struct(role, content). A call that raises leaves its row with ``call_error`` and no
+    text; the others go on. A task that is run again calls the model again for its rows.
     """
     limit = options.max_model_tokens
 
+    def one(messages) -> tuple[str | None, str | None]:
+        try:
+            return model([{"role": m["role"], "content": m["content"]} for m in messages], limit), None
+        except Exception as problem:  # whatever a caller's function raises
+            return None, f"{type(problem).__name__}: {problem}"
+
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [model([{"role": m["role"], "content": m["content"]} for m in messages], limit)
-                     for messages in batch["messages"]]
-            yield pd.DataFrame({"run_id": batch["run_id"], "field": batch["field"],
-                                "attempt": attempt, "text": texts})
+            for at in range(0, len(batch), ANSWERS_HELD):
+                part = batch.iloc[at:at + ANSWERS_HELD]
+                texts, errors = zip(*map(one, part["messages"]))
+                yield pd.DataFrame({"run_id": part["run_id"].array, "field": part["field"].array, "attempt": attempt,
+                                    "text": pd.Series(texts, dtype=object), "call_error": pd.Series(errors, dtype=object)})
 
     return requests.select("run_id", "field", "messages").mapInPandas(
-        answer, "run_id string, field string, attempt int, text string")
+        answer, "run_id string, field string, attempt int, text string, call_error string")
 
 
 def ask(prompts: DataFrame, model: Callable[[list[dict], int], str], options: RunOptions = RunOptions(),
@@ -223,7 +242,7 @@ def ask(prompts: DataFrame, model: Callable[[list[dict], int], str], options: Ru
     first = written(call_model(prompts.withColumn("messages", F.array(message("user", F.col("prompt")))),
                                model, 1, options), "answers-1", folder)
     parsed = parse_responses(first)
-    failed = prompts.join(parsed.filter("parse_error IS NOT NULL"), ["run_id", "field"]).withColumn(
+    failed = prompts.join(parsed.filter("parse_error IS NOT NULL AND call_error IS NULL"), ["run_id", "field"]).withColumn(
         "messages", F.array(message("user", F.col("prompt")), message("assistant", F.col("text")),
                             message("user", retry_prompt(F.col("field"), F.col("parse_error")))))
     second = written(call_model(failed, model, 2, options), "answers-2", folder)

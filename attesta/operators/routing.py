@@ -10,7 +10,7 @@ from attesta.functions.text import tokenize
 from attesta.settings import RunOptions
 
 DOC = ["run_id", "doc_id"]
-# Pages joined into one text per step; see doc_text.
+# Pages joined per step of gluing a document; see doc_text.
 PAGE_SPAN = 1024
 
 
@@ -27,47 +27,80 @@ def is_readable() -> Column:
 def doc_text(pages: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` characters of every document, pages in order, no separator.
 
-    Pages past the first span are first joined span by span, each result cut to
-    ``limit``, so the last grouping gets a bounded number of bounded rows even
-    for a document with a third of all pages. A document of ordinary length
-    takes one shuffle.
+    Pages are joined span by span, each result cut to ``limit``, so a grouping gets a
+    bounded number of bounded rows even for a document with a third of all pages.
     """
-    def glue(df: DataFrame, keys: list[str]) -> DataFrame:
-        ordered = F.sort_array(F.collect_list(F.struct("page", "page_ord", "text")))
-        return df.groupBy(*keys).agg(
-            F.min("page").alias("page"),
-            F.substring(F.array_join(ordered["text"], ""), 1, limit).alias("text"))
-
+    glued = F.array_join(F.sort_array(F.collect_list(F.struct("page", "page_ord", "text")))["text"], "")
     parts = (pages.select(*DOC, "page", "page_ord", F.substring("full_text", 1, limit).alias("text"))
              .filter(F.col("text") != ""))
-    tail = parts.filter(F.col("page") > PAGE_SPAN)
-    for span in (PAGE_SPAN, PAGE_SPAN**2):
-        tail = (glue(tail.withColumn("_span", F.floor((F.col("page") - 1) / span)), [*DOC, "_span"])
-                .select(*DOC, "page", F.lit(0).alias("page_ord"), "text"))
-    head = parts.filter(F.col("page") <= PAGE_SPAN)
-    return glue(head.unionByName(tail), DOC).select(*DOC, "text")
+    for span in (PAGE_SPAN, PAGE_SPAN**2, None):
+        parts = parts.groupBy(*DOC, _span(span)).agg(
+            F.min("page").alias("page"), F.min("page_ord").alias("page_ord"), F.substring(glued, 1, limit).alias("text"))
+    return parts.select(*DOC, "text")
+
+
+def _span(pages: int | None) -> Column:
+    return (F.floor((F.col("page") - 1) / pages) if pages else F.lit(0)).alias("span")
+
+
+def _cut(text: Column) -> tuple[Column, Column]:
+    """Words that surely end inside a piece of text, and its edges: what may go on in a neighbour."""
+    head = F.regexp_extract(text, "^[a-z0-9]+", 0)
+    tail = F.reverse(F.regexp_extract(F.reverse(text), "^[a-z0-9]+", 0))
+    unbroken = F.length(head) == F.length(text)
+    inside = F.substring(text, F.length(head) + 1, F.length(text) - F.length(head) - F.length(tail))
+    return _words(F.when(unbroken, "").otherwise(inside)), F.when(unbroken, text).otherwise(F.concat(head, F.lit(" "), tail))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]{2,}"), F.lit(0)))
+
+
+def _asked(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Documents with the asked words found anywhere in their whole text.
+
+    Pages join without a separator, so a word may run over from page to page. Words
+    inside a page are taken where the page is read; only they and the page's edges
+    are shuffled. Edges are put together span by span, which bounds each group.
+    """
+    low = F.lower(F.coalesce("full_text", F.lit("")))
+    inner, edge = _cut(F.col("text"))
+    both = lambda words, more: F.array_distinct(F.concat(words, more))
+    glued = F.array_join(F.sort_array(F.collect_list(F.struct("page", "page_ord", "edge")))["edge"], "")
+
+    place = [F.min("page").alias("page"), F.min("page_ord").alias("page_ord"), glued.alias("text"),
+             F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")]
+    first = (pages.withColumn("text", low).select(*DOC, "page", "page_ord", inner.alias("words"), edge.alias("edge"))
+             .groupBy(*DOC, _span(PAGE_SPAN)).agg(*place))
+    parts = wanted.join(first, DOC).withColumn("asked", F.array_distinct(F.flatten(F.col("queries")["tokens"])))
+    # From here on a row has no other words than the asked ones.
+    narrow = [*DOC, "asked", "page", "page_ord", F.array_intersect("asked", both(F.col("words"), inner)).alias("words"),
+              edge.alias("edge")]
+    second = parts.select(*narrow).groupBy(*DOC, _span(PAGE_SPAN**2)).agg(F.first("asked").alias("asked"), *place)
+    last = second.select(*narrow).groupBy(*DOC).agg(F.first("asked").alias("asked"), *place)
+    found = last.select(*DOC, F.array_intersect("asked", both(F.col("words"), _words(F.col("text")))).alias("words"))
+    return wanted.join(found, DOC, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 def score_docs(schema_fields: DataFrame, doc_index: DataFrame, pages: DataFrame,
                options: RunOptions = RunOptions()) -> DataFrame:
     """Score of every (field, readable document) pair inside a bundle.
 
-    The fields of a bundle travel as one short array and meet the document
-    index, not the text, so page text is shuffled once, on the document key.
+    The fields of a bundle travel as one short array and meet the document index.
+    Whole texts are scored unless ``routing_chars`` asks for a prefix.
     """
     queries = schema_fields.groupBy("run_id").agg(F.collect_list(
         F.struct("key", query_tokens(F.col("key"), F.col("label")).alias("tokens"))).alias("queries"))
     wanted = doc_index.filter(is_readable()).select(*DOC).join(queries, "run_id")
-    texts = wanted.join(doc_text(pages, options.routing_chars), DOC, "left")
-
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
-    asked = F.flatten(F.col("queries")["tokens"])
-    share = lambda present: F.transform("queries", lambda q: F.struct(
-        q["key"].alias("field"),
-        F.when(F.size(q["tokens"]) == 0, F.lit(0.0)).otherwise(
-            F.size(F.array_intersect(q["tokens"], present)) / F.size(q["tokens"])).alias("score")))
-    scored = F.flatten(F.transform(F.array(F.array_intersect(asked, words)), share))
-    return texts.select(*DOC, F.inline(scored))
+    if options.routing_chars is None:
+        texts = _asked(wanted, pages)
+    else:
+        texts = wanted.join(doc_text(pages, options.routing_chars), DOC, "left").withColumn(
+            "words", _words(F.lower(F.coalesce("text", F.lit("")))))
+
+    share = lambda q: F.struct(q["key"].alias("field"), F.when(F.size(q["tokens"]) == 0, F.lit(0.0)).otherwise(
+        F.size(F.array_intersect(q["tokens"], F.col("words"))) / F.size(q["tokens"])).alias("score"))
+    return texts.select(*DOC, F.inline(F.transform("queries", share)))
 
 
 def route(schema_fields: DataFrame, doc_index: DataFrame, pages: DataFrame,

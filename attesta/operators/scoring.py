@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.fields import per_field
 from attesta.functions.text import digits, is_blank, wide_digit_count
-from attesta.operators.candidates import FIELD, method_rank, resolved
+from attesta.operators.candidates import FIELD, method_rank, resolved, with_kind
 from attesta.operators.evidence import is_accepted
 from attesta.operators.routing import is_readable
 from attesta.schemas import CANDIDATE, EVIDENCE
@@ -121,9 +121,9 @@ def select_final(schema_fields: DataFrame, scored: DataFrame, routing: DataFrame
     joined = (fields.join(front_runners(scored), FIELD, "left").join(clash, FIELD, "left")
               .join(top, FIELD, "left").join(document_state(doc_index), "run_id", "left"))
     if errors is None:
-        joined = joined.withColumn("message", F.lit(None).cast("string"))
+        joined = joined.withColumn("kind", F.lit(None).cast("string"))
     else:
-        joined = joined.join(errors.select(*FIELD, "message"), FIELD, "left")
+        joined = joined.join(with_kind(errors).select(*FIELD, "kind"), FIELD, "left")
 
     won = F.col("winner").isNotNull()
     chosen = F.col("winner.candidate")
@@ -145,7 +145,7 @@ def select_final(schema_fields: DataFrame, scored: DataFrame, routing: DataFrame
         reason(won & (scores["cross_doc_agreement"] > 0), "cross_doc_agreement"),
         reason(~won & (readable == 0), "no_readable_docs"),
         reason(~won & (readable == 0) & (F.col("no_text") > 0), "no_text_layer"),
-        reason(~won & F.col("message").isNotNull(), "llm_invalid_json")))
+        F.when(~won, F.col("kind"))))
     return joined.select(
         *FIELD, F.when(~won, "missing").when(review, "needs_review").otherwise("filled").alias("status"),
         chosen["raw_value"].alias("value"), chosen["normalized_value"].alias("normalized_value"),

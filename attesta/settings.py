@@ -40,7 +40,7 @@ class RunOptions:
     max_fields: int = 7
     max_model_tokens: int = 1200
     autofill_threshold: float = 0.75
-    routing_chars: int = 20000
+    routing_chars: int | None = None  # whole texts; a number scores that many characters only
     excerpt_total_chars: int = 8000
     excerpt_doc_chars: int = 4000
     excerpt_doc_pages: int = 3

@@ -216,7 +216,7 @@ RELATIONS: dict[str, tuple[str, list[str]]] = {
                   "FROM docs d LEFT JOIN (SELECT run_id, doc_id, bool_or(full_text <> '') AS has_text FROM page_rows GROUP BY ALL) t "
                   "ON d.run_id = t.run_id AND d.doc_id = t.doc_id", ["docs", "page_rows"]),
     "readable": ("SELECT run_id, doc_id FROM doc_index WHERE reason IS NULL", ["doc_index"]),
-    "doc_words": ("SELECT DISTINCT run_id, doc_id, w FROM (SELECT run_id, doc_id, unnest(regexp_extract_all(lower(substr(string_agg(full_text, '' ORDER BY page), 1, 20000)), '[a-z0-9]+')) AS w "
+    "doc_words": ("SELECT DISTINCT run_id, doc_id, w FROM (SELECT run_id, doc_id, unnest(regexp_extract_all(lower(string_agg(full_text, '' ORDER BY page)), '[a-z0-9]+')) AS w "
                   "FROM page_rows GROUP BY run_id, doc_id) WHERE length(w) >= 2", ["page_rows"]),
     "sizes": ("SELECT key, count(*) AS n FROM vocab GROUP BY key", ["vocab"]),
     "doc_scores": ("SELECT r.run_id, s.key AS field, r.doc_id, coalesce(h.hits, 0) * 1.0 / s.n AS score FROM readable r CROSS JOIN sizes s "
@@ -357,7 +357,7 @@ def _routed(scores: str, k: int = 3) -> str:
 
 _CORPUS_SCORES = """
 SELECT d.run_id, s.key AS field, d.doc_id, coalesce(h.hits, 0) * 1.0 / s.n AS score FROM corpus d CROSS JOIN sizes s
-LEFT JOIN (SELECT doc_id, key, count(*) AS hits FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substr(full_text, 1, 20000)), '[a-z0-9]+')) AS w FROM corpus)) JOIN vocab ON w = tok GROUP BY ALL) h
+LEFT JOIN (SELECT doc_id, key, count(*) AS hits FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(full_text), '[a-z0-9]+')) AS w FROM corpus)) JOIN vocab ON w = tok GROUP BY ALL) h
 ON h.doc_id = d.doc_id AND h.key = s.key"""
 
 _LABELLED = """

@@ -200,6 +200,24 @@ def test_document_text_joins_pages_without_separator_and_cuts(spark, monkeypatch
         assert got == {"long": "".join(texts)[:limit], "short": "phone"}
 
 
+def test_whole_texts_are_scored_over_page_edges(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAGE_SPAN", 3)
+    rng = random.Random(2)
+    piece = lambda: "".join(rng.choice(["pho", "ne", " ", "Phone", "mo", "bile", ". ", "x", "tel"]) for _ in range(rng.randrange(4)))
+    docs = {("r", f"d{i}"): [piece() for _ in range(rng.randrange(1, 25))] for i in range(40)}
+    docs["r", "end"] = ["word " * 9000 + "pho", "", "ne"]
+    fields = fields_of(spark, "r", "phone", labels={"phone": "Tel Mobile"})
+    asked = set(fields.select(R.query_tokens(F.col("key"), F.col("label"))).first()[0])
+    got = {r.doc_id: r.score for r in R.score_docs(fields, index_of(spark, list(docs)), pages_of(spark, docs).orderBy(F.rand(4))).collect()}
+    want = {d: len(asked & set(re.findall("[a-z0-9]{2,}", "".join(t).lower()))) / len(asked) for (_, d), t in docs.items()}
+    assert got == pytest.approx(want) and got["end"] > 0
+
+
+def test_odd_month_digits_do_not_end_the_job(spark):
+    row = spark.createDataFrame([("2001-0\u0662-03", [("d", 1, "on 2001-02-03")])], "v string, e array<struct<doc_id:string,page:int,quoted_text:string>>")
+    assert row.select(G.supports_date(F.col("v"), F.col("e")).alias("s")).first().s is False
+
+
 def greedy(docs, words, total, per_doc, max_pages):
     """The budgets spent page by page, as the rule is worded."""
     out, left = [], total

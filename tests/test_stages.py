@@ -156,6 +156,19 @@ def test_asking_retries_once(spark, tmp_path):
     assert error.message == "Invalid JSON from LLM for field address: Invalid JSON"
 
 
+def test_a_failed_call_leaves_the_others(spark):
+    def model(messages, limit):
+        if "down" in messages[0]["content"] or len(messages) == 3:
+            raise TimeoutError("no answer")
+        return GOOD if "good" in messages[0]["content"] else "not json"
+
+    prompts = spark.createDataFrame([("r", "phone", "good"), ("r", "dob", "down"), ("r", "address", "odd")], "run_id string, field string, prompt string")
+    settled = N.ask(prompts, model)
+    assert {r.field: (r.status, r.attempt) for r in settled.collect()} == {"phone": ("ok", 1), "dob": ("unavailable", 1), "address": ("unavailable", 2)}
+    assert {(r.field, r.kind, r.message) for r in N.model_errors(settled).collect()} == {
+        (f, "llm_unavailable", f"LLM unavailable for field {f}: TimeoutError: no answer") for f in ("dob", "address")}
+
+
 def test_prompts(spark):
     gate = spark.createDataFrame([("r", "dob", "Birth", None, True), ("r", "phone", None, 0.45, True), ("r", "address", None, 0.9, False)],
                                  "run_id string, field string, label string, best_confidence double, call_model boolean")
