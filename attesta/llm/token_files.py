@@ -21,8 +21,10 @@ their rows next to each other; a null doc_id sorts first; an empty table has no
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,12 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 
 def encode(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """One file: all ids of its documents, and how many each document has."""
-    found, place, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(found), np.uint32)
-    rank[order] = np.arange(len(found), dtype=np.uint32)
-    values = rank[place]
+    often = np.bincount(ids)
+    found = np.flatnonzero(often)
+    order = np.argsort(-often[found], kind="stable")
+    rank = np.zeros(len(often), np.uint32)
+    rank[found[order]] = np.arange(len(found), dtype=np.uint32)
+    values = rank[ids]
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros(-len(values) % 4 + len(values), np.uint8)
     codes[: len(values)] = size - 1
@@ -83,44 +86,53 @@ class Pieces:
 
     The pre-tokeniser never joins what a single space or line end between two other
     characters parts, so a text may be cut before each such space and around each such
-    line end. Texts with two white-space characters in a row, or white space at an end,
-    are given to the tokenizer whole.
+    line end. A text with two white-space characters in a row, or white space at an end,
+    has a piece that shows it (``ODD``); such texts are given to the tokenizer whole.
     """
 
-    ODD = r"\s{2}|^\s|\s$"
-
-    def __init__(self, path: str, most: int = 400_000):
-        import re
+    ODD = r"^ ?$|\s{2}|^[^\S ]|\s$"
 
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
         self.most, self.odd = most, re.compile(self.ODD)
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of new pieces, as bytes; None for those that show that their text must stay whole."""
+        odd = self.odd.search
+        plain = [p for p in new if p == "\n" or not odd(p)]
+        self.known.update(dict.fromkeys(new))
+        for at in range(0, len(plain), 4096):
+            part = plain[at:at + 4096]
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if self.odd.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in t else None for t in texts]
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
-        new = list({p for s in split if s for p in s if p not in known})
-        # Unknown pieces that start with a space are parted by it, so they are encoded as one text and cut at their offsets.
-        joined = [p for p in new if p[:1] == " "]
-        for at in range(0, len(joined), 512):
-            part = joined[at:at + 512]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, starts = np.array(e.ids, np.uint32), np.array(e.offsets, np.int64)[:, 0]
-            edges = np.searchsorted(starts, np.cumsum([0, *map(len, part)]))
-            raw, edges = ids.tobytes(), (4 * edges).tolist()
-            known.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:]))))
-        single = [p for p in new if p[:1] != " "]
-        for piece, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
-            known[piece] = np.array(e.ids, np.uint32).tobytes()
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False))
-        end = np.array([END_ID], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, s)) + end if s is not None else np.array(next(whole).ids, np.uint32).tobytes() + end, np.uint32) for s in split]
+        split = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in t else [""] for t in texts]
+        self.learn(list(set().union(*split).difference(self.known)))
+        end, of, out = array("I", [END_ID]).tobytes(), self.known.__getitem__, []
+        for t, s in zip(texts, split):
+            ids = [*map(of, s)]
+            if None in ids:
+                ids = [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()]
+            ids.append(end)
+            out.append(np.frombuffer(b"".join(ids), np.uint32))
+        return out
+
+
+_OPEN: dict[str, Pieces] = {}
+
+
+def opened(path: str) -> Pieces:
+    """The encoder of this worker process, which serves one task after another."""
+    if path not in _OPEN:
+        _OPEN[path] = Pieces(path)
+    return _OPEN[path]
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
@@ -131,7 +143,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     def task(batches):
         from pyspark import TaskContext
 
-        pieces, part, block = Pieces(tokenizer), TaskContext.get().partitionId(), 0
+        pieces, part, block = opened(tokenizer), TaskContext.get().partitionId(), 0
         fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
         held, docs_held, n = [], [], 0
