@@ -20,6 +20,7 @@ their rows next to each other; a null doc_id sorts first; an empty table has no
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -69,8 +70,9 @@ def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = LENGTHS[control].reshape(-1)[: int(n)].astype(np.int64)
     start = np.cumsum(size) - size
     values = np.zeros(int(n), np.uint32)
-    for byte in range(4):
-        has = size > byte
+    values |= data[start]
+    for byte in range(1, int(size.max(initial=0))):
+        has = np.flatnonzero(size > byte)
         values[has] |= data[start[has] + byte].astype(np.uint32) << (8 * byte)
     return ids[values] if n else np.zeros(0, np.uint32), counts
 
@@ -87,10 +89,12 @@ class Pieces:
     The pre-tokeniser never joins what a single space or line end between two other
     characters parts, so a text may be cut before each such space and around each such
     line end. A text with two white-space characters in a row, or white space at an end,
-    has a piece that shows it (``ODD``); such texts are given to the tokenizer whole.
+    has a piece that shows it: an empty one, a lone space, or one with white space of
+    another kind that matches ``ODD``. Such texts are given to the tokenizer whole.
     """
 
-    ODD = r"^ ?$|\s{2}|^[^\S ]|\s$"
+    OTHER, ODD = r"[^\S \n]", r"\s{2}|^[^\S ]|\s$"
+    NONE = {"": None, " ": None}
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,21 +102,32 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-        self.most, self.odd = most, re.compile(self.ODD)
+        self.known: dict[str, bytes | None] = dict(self.NONE)
+        self.most, self.other, self.odd = most, re.compile(self.OTHER), re.compile(self.ODD)
 
     def learn(self, new: list[str]) -> None:
         """Ids of new pieces, as bytes; None for those that show that their text must stay whole."""
-        odd = self.odd.search
-        plain = [p for p in new if p == "\n" or not odd(p)]
-        self.known.update(dict.fromkeys(new))
-        for at in range(0, len(plain), 4096):
-            part = plain[at:at + 4096]
+        if self.other.search("\x00".join(new)):
+            odd = {p for p in new if p != "\n" and self.odd.search(p)}
+            self.known.update(dict.fromkeys(odd))
+            new = [p for p in new if p not in odd]
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
             self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and the end id. The many short-lived lists hold no cycles, so the collector rests."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
-            self.known = {}
+            self.known = dict(self.NONE)
         split = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in t else [""] for t in texts]
         self.learn(list(set().union(*split).difference(self.known)))
         end, of, out = array("I", [END_ID]).tobytes(), self.known.__getitem__, []
