@@ -9,7 +9,8 @@ occurs in one document only can't repeat and stop there. (2) Equal super-k-mers
 128-bit hash) are folded into one with its least and greatest doc_id, so a passage that
 a third of all documents share is sent once. (3) The packed strings are cut from the
 texts and go to their buckets; a bucket with many different strings is dealt out
-again by the window itself, each window then being its own minimiser. (4) Windows that
+again by the window itself, each window then being its own minimiser: its 128-bit hash
+is counted with partial sums, so a window in very many strings meets in no task. (4) Windows that
 start in a smaller doc_id go back to every document that holds their super-k-mer.
 
 Defined cases: null text has no words; documents of under 50 words keep all; a null
@@ -80,13 +81,13 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def cut_out(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """mini, h1, h2, low, high, packed: the words of the wanted places; hot buckets' strings cut into single windows."""
+    """bucket, h1, h2, low, high, offset, packed, window: the words of the wanted places, packed; a hot bucket's as hashes of single windows."""
     per = wanted.groupBy("row").agg(F.collect_list(F.struct("mini", "h1", "h2", "low", "high", "first", "n", "hot")).alias("cuts"))
     both = per.join(docs.select("row", "text"), "row").select("cuts", words(F.col("text")).alias("w"))
+    names, types = ["bucket", "h1", "h2", "low", "high", "offset", "packed", "window"], [pa.int64()] * 5 + [pa.int32(), pa.string(), pa.binary()]
 
     def task(batches):
-        np.seterr(over="ignore")
-        names = ["bucket", "h1", "h2", "low", "high", "offset", "packed"]
+        shape = lambda out: pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
         for batch in batches:
             out, held = [[] for _ in names], 0
             for row in range(batch.num_rows):
@@ -94,25 +95,30 @@ def cut_out(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 for c in batch.column(0)[row].as_py():
                     part = w[c["first"]: c["first"] + c["n"] + WINDOW - 1]
                     if c["hot"]:
-                        todo = [(i, " ".join(part[i:i + WINDOW])) for i in range(c["n"])]
-                        todo = [(int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True), i, s) for i, s in todo]
+                        todo = [(i, None, hashlib.blake2b(" ".join(part[i:i + WINDOW]).encode(), digest_size=16).digest()) for i in range(c["n"])]
                     else:
-                        todo = [(c["mini"], 0, " ".join(part))]
-                    for bucket, i, s in todo:
-                        held += len(s)
-                        for o, v in zip(out, (bucket, c["h1"], c["h2"], c["low"], c["high"], i, s)):
+                        todo = [(0, " ".join(part), None)]
+                    for i, s, d in todo:
+                        held += len(s or d)
+                        for o, v in zip(out, (c["mini"], c["h1"], c["h2"], c["low"], c["high"], i, s, d)):
                             o.append(v)
                 if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, [pa.int64()] * 5 + [pa.int32(), pa.string()])], names)
+                    yield shape(out)
                     out, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, [pa.int64()] * 5 + [pa.int32(), pa.string()])], names)
+            yield shape(out)
+
+    return both.mapInArrow(task, "bucket long, h1 long, h2 long, low long, high long, offset int, packed string, window binary")
+
 
-    return both.mapInArrow(task, "bucket long, h1 long, h2 long, low long, high long, offset int, packed string")
+def count_hot(cut: DataFrame) -> DataFrame:
+    """h1, h2, offset, least of the windows of hot buckets, as ``count_windows`` gives them for the others."""
+    least = cut.groupBy(F.col("window").alias("of")).agg(F.min("low").alias("least"), F.max("high").alias("top")).where("least < top")
+    return cut.join(least, F.col("window") == F.col("of")).where("least < high").select("h1", "h2", "offset", "least")
 
 
 def count_windows(packed: DataFrame) -> DataFrame:
     """h1, h2, offset, least: windows of a super-k-mer that start in a doc_id under its greatest; buckets arrive sorted."""
-    ready = packed.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    ready = packed.select("bucket", "h1", "h2", "low", "high", "offset", "packed").repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
     def group(rows):
         cut = []
@@ -161,7 +167,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     many = one.groupBy(F.col("mini").alias("m")).agg(F.count("*").alias("kinds"))
     wanted = one.join(many, F.col("mini") == F.col("m")).select("mini", "h1", "h2", "low", "high", "p.row", "p.first", "p.n", (F.col("kinds") > HOT).alias("hot"))
     # Equal rows have one mark: their text is needed once.
-    again = written(count_windows(cut_out(wanted, docs.select("row", "text").dropDuplicates(["row"]))), "sub-windows")
+    cut = written(cut_out(wanted, docs.select("row", "text").dropDuplicates(["row"])), "sub-cuts")
+    again = written(count_windows(cut.where("packed is not null")).unionByName(count_hot(cut.where("packed is null"))), "sub-windows")
     gone = again.groupBy("h1", "h2").agg(F.collect_list(F.struct("offset", "least")).alias("runs")).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "runs")
     hit = shared.join(gone, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     starts = F.transform(F.filter("runs", lambda x: x["least"] < F.col("doc_id")), lambda x: F.col("first") + x["offset"])
