@@ -5,6 +5,7 @@ from attesta.llm.html_text import op1_html_text
 from attesta.llm.licenses import op2_licenses
 from attesta.llm.mixing import op10_mix
 from attesta.llm.neardup import op7_near_duplicates
+from attesta.llm.oracle import ORACLES  # noqa: F401
 from attesta.llm.pseudo_likelihood import op4_pseudo_likelihood
 from attesta.llm.quality import op5_quality
 from attesta.llm.substrings import op3_substrings
@@ -13,5 +14,3 @@ from attesta.llm.warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_licenses, op3_substrings, op4_pseudo_likelihood, op5_quality, op6_decontaminate,
                                    op7_near_duplicates, op8_token_files, op9_warc, op10_mix)}
-# Digests, floating-point models and file formats: each is tested against brute force instead.
-ORACLES: dict[str, str] = {}
