@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLES
@@ -27,7 +28,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, (int, float)) and not isinstance(value, bool) and float(value).is_integer():
         return str(int(value))

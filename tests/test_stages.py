@@ -303,6 +303,17 @@ def test_uploads_from_files(spark, tmp_path):
         ("a", "doc_001", "b.txt"), ("a", "doc_002", "x.pdf"), ("b", "doc_001", "x.pdf")]
 
 
+def test_uploads_in_nested_folders(spark, tmp_path):
+    for name, body in [("a/sub/b.pdf", b"%PDF1"), ("b/sub/b.pdf", b"%PDF2"), ("b/sub/deep/c.txt", b"t"), ("beside.txt", b"x")]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rows = store.read_uploads(spark, f"file://{tmp_path}").orderBy("run_id", "upload_ord").collect()
+    assert [(r.run_id, r.filename, bytes(r.content)) for r in rows] == [
+        ("a", "sub/b.pdf", b"%PDF1"), ("b", "sub/b.pdf", b"%PDF2"), ("b", "sub/deep/c.txt", b"t")]
+    with pytest.raises(ValueError):
+        store.read_uploads(spark, "bundles")
+
+
 def test_whole_job_with_a_model(spark):
     pages = spark.createDataFrame([("r", "d1", 1, 0, "Patient Name: Jane Doe\nDOB: 1990-05-15\nreach her on 555-123-4567"),
                                    ("r", "d2", 1, 0, "Name: Jane Doe")], PAGES)
