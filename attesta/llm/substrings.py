@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,19 +175,22 @@ def dedup(docs: DataFrame) -> DataFrame:
     starts = F.transform(F.filter("runs", lambda x: x["least"] < F.col("doc_id")), lambda x: F.col("first") + x["offset"])
     per = hit.select("row", starts.alias("starts")).where("size(starts) > 0").groupBy(F.col("row").alias("r")).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     out = docs.join(per, F.col("row") == F.col("r"), "left").select("doc_id", words(F.col("text")).alias("w"), "starts")
+    # Only the words of documents that lose some cross over one by one.
+    whole = F.col("starts").isNull()
+    out = out.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(whole, F.array_join("w", " ")).alias("plain"), F.when(~whole, F.col("w")).alias("w"), "starts")
 
     def task(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                w, starts = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
+            lost, kept = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            for row in np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                w, starts = batch.column(3)[row].as_py(), np.array(batch.column(4)[row].as_py(), np.int64)
                 gone = np.zeros(len(w) + 1, np.int64)
-                if starts:
-                    np.add.at(gone, np.array(starts), 1)
-                    np.add.at(gone, np.minimum(np.array(starts) + WINDOW, len(w)), -1)
+                np.add.at(gone, starts, 1)
+                np.add.at(gone, np.minimum(starts + WINDOW, len(w)), -1)
                 keep = np.cumsum(gone)[:-1] == 0
-                kept = " ".join(x for x, k in zip(w, keep) if k) if starts else " ".join(w)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([len(w)], pa.int64()), pa.array([int((~keep).sum())], pa.int64()), pa.array([kept])],
-                                                 ["doc_id", "n_words", "n_removed", "kept"])
+                lost[row], kept[row] = (~keep).sum(), " ".join(x for x, k in zip(w, keep.tolist()) if k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost), pc.coalesce(pa.array(kept, pa.string()), batch.column(2).cast(pa.string()))],
+                                             ["doc_id", "n_words", "n_removed", "kept"])
 
     return out.mapInArrow(task, "doc_id long, n_words long, n_removed long, kept string")
 

@@ -257,3 +257,12 @@ def test_shuffled_words_score_lower(docs):
     flat = np.log(np.full(pseudo_likelihood.CLASSES, 1 / pseudo_likelihood.CLASSES))
     counts = pseudo_likelihood.context_counts(docs, v)
     assert (counts * log.transpose(0, 2, 1)).sum() > counts.sum() * flat[0]
+
+
+@pytest.mark.parametrize("name", ["op3_substrings", "op9_warc", "op10_mix"])
+def test_against_sql(spark, name):
+    from attesta.llm.queries import ORACLES, QUERIES
+    from checks.compare import connect, rows_of
+
+    mine, theirs = QUERIES[name](spark, SF).toPandas(), connect(SF).sql(ORACLES[name]).df()
+    assert sorted(mine.columns) == sorted(theirs.columns) and rows_of(mine) == rows_of(theirs)
