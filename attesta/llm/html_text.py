@@ -7,7 +7,8 @@ small labelled table below, tells main text from the rest.
 
 Defined cases: null html is empty; markup without main text gives an empty text with
 0 characters; an unfinished tag at the end is dropped; unclosed elements end with the
-page; repeated rows are extracted each; an empty table gives no rows. Only page_id,
+page, but of a raw one (a button, say) that is self-closed or never closed only the tag is
+dropped, scripts and styles excepted; repeated rows are extracted each; an empty table gives no rows. Only page_id,
 url and html are read. The whole page is read, whatever its length.
 """
 
@@ -25,6 +26,9 @@ from attesta.llm.common import table
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?:/?[a-zA-Z][^>]*)\Z", re.S)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "option", "button", "math", "object", "canvas"}
+# Where a raw element stops; an option has no end tag of its own where another or the list's end follows.
+STOP = {t: re.compile(rf"(?i)</{t}\b[^>]*(?:>|\Z)" + (r"|(?=<(?:option|optgroup)\b|</(?:select|datalist|optgroup)\b)" if t == "option" else "")) for t in RAW}
+UNQUOTED = re.compile(r"=\s*[^\s\"'=]+$")
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -51,14 +55,8 @@ def blocks(source: str) -> list[tuple[str, int, int, int, int, int]]:
         for kind in stack.pop()[1]:
             marks[kind] -= 1
 
-    at, skip = 0, ""
-    for m in PIECE.finditer(source):
-        if skip:
-            if m[2] is None or not m[1] or m[2].lower() != skip:
-                continue
-            skip = ""
-            at = m.end()
-            continue
+    at, endless = 0, set()
+    while m := PIECE.search(source, at):
         if m.start() > at:
             parts.append(source[at:m.start()])
             if marks["a"]:
@@ -77,11 +75,15 @@ def blocks(source: str) -> list[tuple[str, int, int, int, int, int]]:
                     pop()
                 pop()
         elif tag in RAW:
-            rest = re.compile(rf"(?i)</{tag}\b").search(source, at)
-            skip = tag if rest else ""
-            if not rest:
+            said = m[3].rstrip()
+            alone = said.endswith("/") and not UNQUOTED.search(said) and tag not in {"script", "style"}
+            rest = None if alone or tag in endless else STOP[tag].search(source, at)
+            if rest:
+                at = rest.end()
+            elif tag in {"script", "style"}:
                 at = len(source)
-                break
+            elif not alone:
+                endless.add(tag)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             if tag in {"p", "li", "td", "tr", "dt", "dd", "option"} and any(t == tag for t, _ in stack[-3:]):
                 while stack[-1][0] != tag:
@@ -102,7 +104,7 @@ def blocks(source: str) -> list[tuple[str, int, int, int, int, int]]:
             for kind in kinds:
                 marks[kind] += 1
             stack.append((tag, kinds))
-    if not skip and at < len(source):
+    if at < len(source):
         parts.append(source[at:])
     close()
     return out

@@ -152,6 +152,15 @@ def test_html_cases(page, text):
     assert html_text.main_text(page, html_text.grow(*html_text.labelled())) == text
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<style>a<b{}</style >", "<svg viewBox='0 0 1 1'/>", "<iframe src=http://x/>no frames</iframe>", "<svg><path d='M0'/></svg>", "<button>",
+    "<datalist><option>x<option value='y'></datalist>", "<template/>"])
+@pytest.mark.parametrize("end", ["", "<select><option>z</option></select>"])
+def test_html_after_raw_elements(raw, end):
+    page = f"<body>{raw}<article><h1>T</h1><p>One two</p></article>{end}</body>"
+    assert html_text.main_text(page, html_text.grow(*html_text.labelled())) == "T\nOne two"
+
+
 def test_mixing(rows):
     out = mixing.mix(rows).collect()
     by = defaultdict(int)
