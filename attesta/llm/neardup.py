@@ -1,8 +1,12 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 Equal texts form one class first. Of every distinct text, ``SKETCHES`` times, the
-``LENGTH`` smallest occurrence-labelled five-word shingles are sampled and kept in
-text order; their hash is a bucket key. In a bucket all texts are compared with the
+``LENGTH`` smallest occurrence-labelled two-word shingles are sampled and kept in text
+order; their hash is a bucket key. Texts under ``SHORT`` words have as many keys of single
+words, and those under ``TINY`` a key for all that is left of them after as many deletions
+as a link allows, so no link between two of these is missed.
+
+In a bucket all texts are compared with the
 first one, those left with the next two, then four, and so on until none is left, so no
 bucket is cut short and a bucket of near copies costs one comparison a text. A pair is a
 link if its word-level edit similarity, 1 - distance / longer length, is ``LEAST`` or
@@ -10,12 +14,15 @@ more; the distance comes from alignment within a band that a pair of that simila
 cannot leave. Classes are connected components of links.
 
 Defined cases: a null text is a class of its own; texts without words are equal only if
-the same; texts of under five words have one shingle, the whole; equal rows are copies;
+the same; texts of one word have one shingle, the word; equal rows are copies;
 an empty table gives no rows. Ids may repeat or be null: links join texts, not ids.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,11 +31,12 @@ from pyspark.sql import functions as F
 from attesta.llm.common import table, word_hashes
 from attesta.settings import written
 
-SHINGLE, LENGTH, SKETCHES, LEAST = 5, 6, 24, 0.8
-MIX = np.random.default_rng(11).integers(1, 2 ** 63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
+SHINGLE, LENGTH, SKETCHES, LEAST = 2, 3, 64, 0.8
+SHORT, TINY = 48, 15  # under so many words: sketches of single words too; all that one or two deletions leave
+MIX = np.random.default_rng(11).integers(1, 2 ** 63, (2 * SKETCHES, 2, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k words; of all words where there are fewer."""
     if not len(h):
         return h[:0]
@@ -53,25 +61,45 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray) -> list[int]:
-    """The bucket keys of a text."""
-    if not len(h):
-        return []
-    s = labelled(shingle_hashes(h))
-    keys = []
-    for i, (a, b) in enumerate(MIX):
-        v = (s ^ b) * a
+def folded(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A hash of each row, in order, from a start value."""
+    for i in range(x.shape[1]):
+        key = (key ^ x[:, i]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key = key ^ (key >> np.uint64(31))
+    return key
+
+
+def drawn(s: np.ndarray, first: int) -> np.ndarray:
+    """SKETCHES hashes of the LENGTH smallest by a mix of their own, in text order; none of so few that all would be drawn."""
+    if len(s) <= LENGTH:
+        return s[:0]
+    keys, step = [], max(1, 1_000_000 // len(s))
+    for at in range(first, first + SKETCHES, step):
+        mix = MIX[at:min(at + step, first + SKETCHES)]
+        v = (s ^ mix[:, 1]) * mix[:, 0]
         v ^= v >> np.uint64(32)
-        v *= a
-        low = np.sort(np.argpartition(v, LENGTH)[:LENGTH]) if len(v) > LENGTH else np.arange(len(v))
-        key = np.uint64(i + 1)
-        for x in s[low]:
-            key = (key ^ x) * np.uint64(0xC2B2AE3D27D4EB4F)
-            key ^= key >> np.uint64(31)
-        keys.append(int(key.astype(np.int64)))
-        if len(v) <= LENGTH:
-            break  # all shingles: every sketch is the same
-    return keys
+        v *= mix[:, 0]
+        low = np.sort(np.argpartition(v, LENGTH, axis=1)[:, :LENGTH], axis=1)
+        keys.append(folded(s[low], np.arange(at + 1, at + 1 + len(mix), dtype=np.uint64)))
+    return np.concatenate(keys)
+
+
+@cache
+def stays(n: int, gone: int) -> np.ndarray:
+    return np.array([[i for i in range(n) if i not in c] for c in combinations(range(n), gone)])
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The bucket keys of a text."""
+    n = len(h)
+    keys = [drawn(labelled(shingle_hashes(h, SHINGLE)), 0)] if n else [h[:0]]
+    if 0 < n < SHORT:
+        keys.append(drawn(labelled(h), SKETCHES))
+    if 0 < n < TINY:
+        # Texts d edits apart have a text in common that d deletions at most leave of each.
+        most = int((1 - LEAST) * min(n / LEAST, TINY - 1) + 1e-9)
+        keys += [folded(h[stays(n, gone)], np.uint64(2 * SKETCHES + 1)) for gone in range(most + 1)]
+    return np.unique(np.concatenate(keys)).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:

@@ -227,6 +227,17 @@ def test_near_duplicates_find_what_shingles_find(spark, docs):
     assert all(any(len(x & y) > 0.2 * len(x | y) for y in g if y is not x) for g in groups.values() if len(g) > 1 for x in g)
 
 
+def test_links_of_least_similarity_meet():
+    rng = np.random.default_rng(9)
+    for n in [*range(5, 60), 100, 240, 600]:
+        for _ in range(3):
+            a = rng.integers(1, 2 ** 62, n).astype(np.uint64)
+            most = int(0.2 * n)
+            b, c = a.copy(), np.append(a, np.uint64(5))
+            b[rng.choice(n, most, replace=False)] = rng.integers(1, 2 ** 62, most).astype(np.uint64)
+            assert set(neardup.sketch(a)) & set(neardup.sketch(b)) and set(neardup.sketch(a)) & set(neardup.sketch(c)), n
+
+
 def test_one_of_each_class_stays(rows):
     kept = neardup.keep_one(rows)
     assert kept.columns == rows.columns
