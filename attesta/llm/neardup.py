@@ -1,17 +1,19 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
+The one measure is word-level edit similarity, 1 - distance / longer length: a pair is a
+link at ``LEAST`` or more. The distance comes from alignment within a band that a pair of
+that similarity cannot leave. Classes are connected components of links.
+
 Equal texts form one class first. Of every distinct text, ``SKETCHES`` times, the
 ``LENGTH`` smallest occurrence-labelled two-word shingles are sampled and kept in text
 order; their hash is a bucket key. Texts under ``SHORT`` words have as many keys of single
 words, and those under ``TINY`` a key for all that is left of them after as many deletions
 as a link allows, so no link between two of these is missed.
 
-In a bucket all texts are compared with the
-first one, those left with the next two, then four, and so on until none is left, so no
-bucket is cut short and a bucket of near copies costs one comparison a text. A pair is a
-link if its word-level edit similarity, 1 - distance / longer length, is ``LEAST`` or
-more; the distance comes from alignment within a band that a pair of that similarity
-cannot leave. Classes are connected components of links.
+In a bucket all texts are compared with one of them, in rounds, while that joins texts.
+Then every pair of a bucket that is not in one component yet is compared, unless the
+lengths alone rule it out, so no link of a bucket is lost and a bucket of near copies
+costs about one comparison a text.
 
 Defined cases: a null text is a class of its own; texts without words are equal only if
 the same; texts of one word have one shingle, the word; equal rows are copies;
@@ -25,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.common import table, word_hashes
@@ -103,7 +105,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, bucket keys."""
+    """doc_id, key of the text, its words, bucket keys."""
     rows = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("key"), word_hashes(F.col("text")).alias("h"))
 
     def task(batches):
@@ -112,9 +114,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             col = batch.column(2)
             flat, off = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.asarray(col.offsets) - col.offsets[0].as_py()
             keys = [sketch(flat[a:b]) for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "buckets"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off), pa.int32()), lists], ["doc_id", "key", "n", "buckets"])
 
-    return rows.mapInArrow(task, "doc_id long, key binary, buckets array<long>")
+    return rows.mapInArrow(task, "doc_id long, key binary, n int, buckets array<long>")
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
@@ -208,7 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """Links between different texts: pairs of keys."""
-    rows = sketched.groupBy("key").agg(F.first("buckets").alias("buckets")).select("key", F.explode("buckets").alias("bucket"))
+    rows = sketched.groupBy("key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")).select("key", "n", F.explode("buckets").alias("bucket"))
     often = rows.groupBy(F.col("bucket").alias("shared")).agg(F.count("*").alias("n")).where("n > 1")
     left = written(rows.join(often, F.col("bucket") == F.col("shared"), "left_semi"), "near-buckets")
     wanted = left.select(F.col("key").alias("wanted")).distinct()
@@ -221,23 +224,36 @@ def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())], ["key", "h"])
 
     texts = written(hashed.dropDuplicates(["key"]).select("key", word_hashes(F.col("text")).alias("h")).mapInArrow(pack, "key binary, h binary"), "near-texts")
-    spark, found, leaders = docs.sparkSession, None, 1
-    while left.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        lead = left.withColumn("place", place).where(F.col("place") <= leaders).select(F.col("bucket").alias("of"), F.col("key").alias("a"))
-        met = left.join(lead, (F.col("bucket") == F.col("of")) & (F.col("a") < F.col("key"))).select("bucket", "a", F.col("key").alias("b"))
-        met = written(met, "near-met")
-        ok = written(verified(met.select("a", "b").distinct(), texts), "near-links")
-        found = ok if found is None else found.unionByName(ok)
-        # Left are texts that are no leaders and weren't linked to one of the bucket.
-        linked = met.join(ok, ["a", "b"], "left_semi").select(F.col("bucket").alias("x"), F.col("b").alias("y"))
-        rest = met.select("bucket", F.col("b").alias("key")).distinct()
-        rest = rest.join(linked, (F.col("bucket") == F.col("x")) & (F.col("key") == F.col("y")), "left_anti")
-        rest = rest.join(lead, (F.col("bucket") == F.col("of")) & (F.col("key") == F.col("a")), "left_anti")
-        several = rest.groupBy(F.col("bucket").alias("x")).agg(F.count("*").alias("n")).where("n > 1")
-        left = written(rest.join(several, F.col("bucket") == F.col("x"), "left_semi"), "near-left")
-        leaders *= 2
-    return found if found is not None else spark.createDataFrame([], "a binary, b binary")
+    longest = F.greatest("n", "n2")
+    fits = longest - F.least("n", "n2") <= F.floor((1 - LEAST) * longest + 1e-9)
+    found = tried = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    rounds, more = 0, True
+    while True:
+        label = components(found).select(F.col("key").alias("of"), "label") if rounds else None
+        rows = left.join(label, F.col("key") == F.col("of"), "left").drop("of") if rounds else left.withColumn("label", F.col("key"))
+        rows = rows.withColumn("label", F.coalesce("label", "key"))
+        kinds = rows.groupBy(F.col("bucket").alias("in")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        left = written(rows.join(kinds, F.col("bucket") == F.col("in"), "left_semi"), "near-left")
+        if more:
+            first = F.min_by(F.struct("key", "n", "label"), F.struct(F.xxhash64("key", F.lit(rounds)), "key"))
+            other = left.groupBy(F.col("bucket").alias("in")).agg(first.alias("one")).select("in", F.col("one.key").alias("key2"), F.col("one.n").alias("n2"), F.col("one.label").alias("label2"))
+            met = left.join(other, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("label2")) & fits)
+        else:
+            # Those outside the bucket's largest component with all that aren't in theirs.
+            size = left.groupBy(F.col("bucket").alias("in"), "label").agg(F.count("*").alias("c"))
+            main = size.groupBy("in").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+            apart = left.join(main, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("main"))).select(
+                "in", "main", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+            met = left.join(apart, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("label2")) & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("key2"))) & fits)
+        met = met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+        met = written(met.join(tried, ["a", "b"], "left_anti"), "near-met")
+        ok = written(verified(met, texts), "near-links")
+        found, tried, rounds = found.unionByName(ok), tried.unionByName(met), rounds + 1
+        left = left.drop("label")
+        if not more:
+            return found
+        # A round that joins few is followed by the last one, of all that is left.
+        more = 10 * ok.count() > met.count()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -227,6 +227,37 @@ def test_near_duplicates_find_what_shingles_find(spark, docs):
     assert all(any(len(x & y) > 0.2 * len(x | y) for y in g if y is not x) for g in groups.values() if len(g) > 1 for x in g)
 
 
+def changed(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        k, new = int(rng.integers(0, len(words))), [f"n{rng.integers(10 ** 9)}"]
+        kind = int(rng.integers(0, 3))
+        words[k:k + (kind > 0)] = new if kind < 2 else []
+    return words
+
+
+def test_chains_in_one_bucket(spark):
+    rng, made = np.random.default_rng(7), []
+    for chain in range(8):
+        w = [f"c{chain}x{i}" for i in range(40)]
+        for _ in range(6):
+            made.append(w)
+            w = changed(rng, w, 5 + chain % 4)
+    made = [list(w) for w in {" ".join(w): w for w in made}.values()]
+    near = [[edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9) for y in made] for x in made]
+    label = list(range(len(made)))
+    for _ in made:
+        label = [min(label[j] for j in range(len(made)) if near[i][j]) for i in range(len(made))]
+    want = sorted(sorted(" ".join(made[i]) for i in range(len(made)) if label[i] == c) for c in set(label))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    sketched = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.size(F.split("text", " ")).alias("n"), F.array(F.lit(1).cast("long")).alias("buckets"))
+    at, groups = {r["key"]: r["label"] for r in neardup.components(neardup.links(docs, sketched)).collect()}, defaultdict(list)
+    for w in made:
+        key = bytearray(hashlib.md5(" ".join(w).encode()).digest())
+        groups[bytes(at.get(bytes(key), key))].append(" ".join(w))
+    assert sorted(sorted(g) for g in groups.values()) == want
+
+
 def test_links_of_least_similarity_meet():
     rng = np.random.default_rng(9)
     for n in [*range(5, 60), 100, 240, 600]:
