@@ -4,9 +4,10 @@ Words are counted over all documents. The ``OWN`` most frequent ones are classes
 their own, the others fall into classes by their ending. A network of one hidden layer
 reads the classes left and right of a masked word and predicts its class; it is trained
 in numpy on the counts of (left, word, right) classes of the whole corpus, which bound
-its training data by the number of classes, not of documents. Given its class, a word
-has its share of the class's occurrences (a word seen once or never: an equal share of
-what such words have). A document's score is the sum over its words of
+its training data by the number of classes, not of documents. Given its class, every word
+has its own share of the class's occurrences: the ``WORDS`` most frequent ones are looked up
+in a dictionary, the others of a document are joined with the table of counts. The number of
+classes and the reach of a context (one word on each side) do not grow with the corpus. A document's score is the sum over its words of
 log p(class | left, right) + log p(word | class), and per word.
 
 Defined cases: null or empty texts have 0 words, log_prob 0 and a null per-word score;
@@ -15,6 +16,8 @@ repeated rows are scored each; an empty table gives no rows. Only doc_id, text a
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +29,7 @@ from attesta.settings import written
 OWN, ENDINGS, WORDS, HIDDEN, STEPS = 40, 23, 20_000, 24, 300
 EDGE = OWN + ENDINGS  # what stands beyond the first and last word
 CLASSES = EDGE + 1
+UNIT = 1 << 32
 
 
 def lowered(text: Column) -> Column:
@@ -40,48 +44,52 @@ def ending(word: str) -> int:
 
 
 class Vocabulary:
-    """Class and log p(word | class) of frequent words; for the others what their class has left."""
+    """Class and log p(word | class) of frequent words; of the others the class and what log of their count is to be added to."""
 
-    def __init__(self, frequent: list[tuple[str, int]], others: dict[int, tuple[int, int]]):
+    def __init__(self, frequent: list[tuple[str, int]], others: dict[int, int]):
         total = np.zeros(CLASSES)
         self.of = {w: (i if i < OWN else ending(w)) for i, (w, _) in enumerate(frequent)}
         for w, n in frequent:
             total[self.of[w]] += n
-        for c, (n, _) in others.items():
+        for c, n in others.items():
             total[c] += n
         total += 1
         self.log = {w: float(np.log(n / total[self.of[w]])) for w, n in frequent}
-        self.rest = {c: float(np.log((others.get(c, (0, 0))[0] + 1) / (others.get(c, (0, 0))[1] + 1) / total[c])) for c in range(CLASSES)}
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.rest = -np.log(total)
+        self.memo: dict[str, tuple[int, float, bool]] = {}
 
-    def look(self, word: str) -> tuple[int, float]:
+    def look(self, word: str) -> tuple[int, float, bool]:
+        """Its class, its log probability, and whether the log of its count is still to be added."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > 200_000:
                 self.memo = {}
             c = self.of.get(word, -1)
             c = ending(word) if c < 0 else c
-            got = self.memo[word] = (c, self.log.get(word, self.rest[c]))
+            got = self.memo[word] = (c, self.log[word], False) if word in self.log else (c, float(self.rest[c]), True)
         return got
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def word_counts(docs: DataFrame) -> DataFrame:
+    return written(docs.select(F.explode(lowered(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "lm-words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     """At most WORDS rows and one per class come to the driver."""
-    counts = written(docs.select(F.explode(lowered(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "lm-words")
+    counts = word_counts(docs) if counts is None else counts
     frequent = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()]
 
     def task(batches):
         top = {w for w, _ in frequent}
-        n, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        n = np.zeros(CLASSES, np.int64)
         for batch in batches:
             for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if w not in top:
                     n[ending(w)] += k
-                    kinds[ending(w)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n), pa.array(kinds)], ["c", "n", "kinds"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n)], ["c", "n"])
 
-    rest = counts.mapInArrow(task, "c int, n long, kinds long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
-    return Vocabulary(frequent, {r["c"]: (r["n"], r["kinds"]) for r in rest})
+    rest = counts.mapInArrow(task, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    return Vocabulary(frequent, {r["c"]: r["n"] for r in rest})
 
 
 def context_counts(docs: DataFrame, v: Vocabulary) -> np.ndarray:
@@ -130,21 +138,29 @@ def train(counts: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, seed: in
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob, per_word."""
-    v = vocabulary(docs)
+    counts = word_counts(docs)
+    v = vocabulary(docs, counts)
     log = train(context_counts(docs, v)).astype(np.float32)
 
     def task(batches):
         for batch in batches:
-            n, total = [], []
+            n, total, others = [], [], []
             for text in batch.column(1).to_pylist():
                 got = [v.look(w) for w in text]
                 c = np.array([EDGE, *(g[0] for g in got), EDGE], np.int64)
                 n.append(len(got))
                 total.append(float(log[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64)) + sum(g[1] for g in got))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
-                                              pa.array([x / k if k else None for x, k in zip(total, n)], pa.float64())], ["doc_id", "n_words", "log_prob", "per_word"])
-
-    return docs.select("doc_id", lowered(F.col("text")).alias("w")).mapInArrow(task, "doc_id long, n_words long, log_prob double, per_word double")
+                others.append([*Counter(w for w, g in zip(text, got) if g[2]).items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([[w for w, _ in x] for x in others], pa.list_(pa.string())),
+                                              pa.array([[k for _, k in x] for x in others], pa.list_(pa.int64()))], ["doc_id", "n_words", "part", "others", "times"])
+
+    rows = docs.select("doc_id", lowered(F.col("text")).alias("w")).mapInArrow(task, "doc_id long, n_words long, part double, others array<string>, times array<long>")
+    rows = written(rows.withColumn("row_", F.monotonically_increasing_id()), "lm-rows")
+    other = rows.select("row_", F.explode(F.arrays_zip("others", "times")).alias("x")).select("row_", F.col("x.others").alias("word"), F.col("x.times").alias("k"))
+    # In whole numbers, so that reruns agree.
+    added = other.join(counts, "word").groupBy(F.col("row_").alias("of")).agg(F.sum(F.col("k") * F.round(F.log("n") * UNIT).cast("long")).alias("more"))
+    out = rows.join(added, F.col("row_") == F.col("of"), "left").withColumn("log_prob", F.col("part") + F.coalesce("more", F.lit(0)) / UNIT)
+    return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("per_word"))
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,13 @@ def test_pseudo_likelihood(rows):
     assert len(out) == rows.count() and all((r["n_words"] == 0) == (r["per_word"] is None) and r["log_prob"] <= 0 for r in out)
 
 
+def test_rare_words_have_their_own_share(docs, monkeypatch):
+    want = listed(pseudo_likelihood.score(docs), "doc_id", "n_words", "log_prob")
+    monkeypatch.setattr(pseudo_likelihood, "WORDS", 50)
+    got = listed(pseudo_likelihood.score(docs), "doc_id", "n_words", "log_prob")
+    assert [w[:2] for w in want] == [g[:2] for g in got] and [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6)
+
+
 def test_shuffled_words_score_lower(docs):
     v = pseudo_likelihood.vocabulary(docs)
     log = pseudo_likelihood.train(pseudo_likelihood.context_counts(docs, v))
