@@ -14,7 +14,8 @@ Documents are range-partitioned by doc_id; a task encodes block by block in boun
 memory. File names are unique, and only files named in the written manifest count,
 so lost or repeated tasks leave no trace in the result.
 
-Defined cases: null text is empty and has the end id alone; repeated doc_ids keep
+Defined cases: an added token's content in a text, such as "<|endoftext|>", is that
+token, as the tokenizer has it by default; null text is empty and has the end id alone; repeated doc_ids keep
 their rows next to each other; a null doc_id sorts first; an empty table has no rows.
 """
 
@@ -90,7 +91,9 @@ class Pieces:
     characters parts, so a text may be cut before each such space and around each such
     line end. A text with two white-space characters in a row, or white space at an end,
     has a piece that shows it: an empty one, a lone space, or one with white space of
-    another kind that matches ``ODD``. Such texts are given to the tokenizer whole.
+    another kind that matches ``ODD``. Such texts are given to the tokenizer whole, and so
+    are those that hold the content of an added token, such as the end of text, which
+    the tokenizer takes as that token.
     """
 
     OTHER, ODD = r"[^\S \n]", r"\s{2}|^[^\S ]|\s$"
@@ -101,9 +104,10 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes | None] = dict(self.NONE)
         self.most, self.other, self.odd = most, re.compile(self.OTHER), re.compile(self.ODD)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def learn(self, new: list[str]) -> None:
         """Ids of new pieces, as bytes; None for those that show that their text must stay whole."""
@@ -128,7 +132,10 @@ class Pieces:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
             self.known = dict(self.NONE)
-        split = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in t else [""] for t in texts]
+        whole = [i for i, t in enumerate(texts) if "\x00" in t or self.added and self.added.search(t)]
+        split = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
+        for i in whole:
+            split[i] = [""]
         self.learn(list(set().union(*split).difference(self.known)))
         end, of, out = array("I", [END_ID]).tobytes(), self.known.__getitem__, []
         for t, s in zip(texts, split):

@@ -108,6 +108,16 @@ def test_token_files(rows):
     assert listed(token_files.token_table(rows), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
 
 
+def test_added_tokens_in_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\ny z", "a <|endoftext| > b", "\x00 <|endoftext|>", "plain words"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [2] for t in rows]
+    assert 50256 in want[0] and [x.tolist() for x in token_files.Pieces(path).encode(rows)] == want
+
+
 def test_token_file_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 1000):
