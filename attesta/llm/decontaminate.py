@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-Over every document slide windows of each benchmark item's number of words; a window's
+Over every document slide windows of each benchmark item's number of words; a document
+shorter than an item is one window for it. A window's
 64-bit SimHash is summed from its five-word shingles, each weighted by its rarity among
-items. Fingerprints are cut into four 16-bit blocks and each block of an item is indexed
+all items, counted once. Fingerprints are cut into four 16-bit blocks and each block of an item is indexed
 with all values at most ``RADIUS // 4`` bits away: by the pigeonhole principle no
 fingerprint within ``RADIUS`` bits is missed. Candidates are verified by the exact
 weighted Jaccard similarity of their shingles, ``LEAST`` or more.
 
 A window whose shingles known from any item weigh under ``LEAST`` of its weight has less
 similarity than that with every item, so only the other windows get a fingerprint. Items are taken in blocks of
-``ITEMS``, each a pass over the documents, so what goes to the tasks is bounded.
+``ITEMS``, each a pass over the documents. The table of all items' shingle weights goes to
+every task, so it and the driver's indexes grow with the benchmark.
 
 Defined cases: null or empty texts and items leak nothing; items of under five words
 have one shingle, all their words; repeated rows are reported each; equal items are
@@ -45,15 +47,15 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one block: fingerprints, their blocks' neighbourhoods, shingle weights."""
+    """Items of one block: fingerprints, their blocks' neighbourhoods. ``stats`` are all items' shingles, their weights, and an unknown one's weight."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], stats: tuple[np.ndarray, np.ndarray, int]):
+        self.stats = stats
         self.ids = [i for i, _ in items]
         self.words = np.array([len(h) for _, h in items])
         self.sizes = np.unique(self.words)
         shingles = [shingle_hashes(h, SHINGLE) for _, h in items]
-        self.known, often = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
-        self.weight = np.round(16 * (1 + np.log(len(items) / often))).astype(np.int64)
+        self.known = np.unique(np.concatenate(shingles))
         self.shingles = shingles
         self.low = np.zeros(1 << 20, bool)
         self.low[(self.known & np.uint64(0xFFFFF)).astype(np.int64)] = True
@@ -69,8 +71,9 @@ class Index:
             self.start.append(np.searchsorted(flat[place], np.arange((1 << 16) + 1)))
 
     def weights(self, s: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.weight[at], 16 + int(16 * np.log(len(self.ids) + 1)))
+        known, weight, other = self.stats
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        return np.where(known[at] == s, weight[at], other)
 
     def exact(self, a: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of shingle multisets."""
@@ -87,10 +90,15 @@ class Index:
     def search(self, h: np.ndarray, s5: np.ndarray, hit5: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, Hamming distance) of its best window in a document; hit5 = places(s5)."""
         best: dict[int, tuple[float, int, int]] = {}
-        for size in self.sizes if len(hit5) else self.sizes[self.sizes < SHINGLE]:
+        sizes = self.sizes if len(hit5) else self.sizes[self.sizes < SHINGLE]
+        if len(hit5) and len(h) < sizes[-1]:
+            # Longer items have one window, the whole document.
+            weight, known = self.weights(s5), np.zeros(len(s5), bool)
+            known[hit5] = True
+            if (weight * known).sum() >= LEAST * weight.sum() - 1e-6:
+                self._probe(fingerprint(simhash(s5, weight)[-1:]), np.zeros(1, np.int64), s5, len(s5), self.words > len(h), best)
+        for size in sizes[sizes <= len(h)]:
             size = int(size)
-            if len(h) < size:
-                continue
             s = s5 if size >= SHINGLE else shingle_hashes(h, size)
             count = max(1, size - SHINGLE + 1)
             hit = hit5 if size >= SHINGLE else self.places(s)
@@ -116,10 +124,10 @@ class Index:
                         continue
                     sums = simhash(local, weight)
                     prints = fingerprint(sums[i + count] - sums[i])
-                    self._probe(prints, part, s, count, size, best)
+                    self._probe(prints, part, s, count, self.words == size, best)
         return best
 
-    def _probe(self, prints, starts, s, count, size, best):
+    def _probe(self, prints, starts, s, count, fits, best):
         seen = set()
         for b in range(BLOCKS):
             v = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -128,7 +136,7 @@ class Index:
             w = np.repeat(np.arange(len(v)), n)
             item = self.order[b][np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             far = np.bitwise_count(prints[w] ^ self.prints[item])
-            ok = (far <= RADIUS) & (self.words[item] == size)
+            ok = (far <= RADIUS) & fits[item]
             seen.update(zip(w[ok].tolist(), item[ok].tolist(), far[ok].tolist()))
         for w, item, far in sorted(seen):
             sim = self.exact(s[starts[w]: starts[w] + count], item)
@@ -136,16 +144,37 @@ class Index:
                 best[item] = (sim, int(starts[w]), int(far))
 
 
+def shingle_weights(items: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """All items' shingles in order, the weight of each, and that of a shingle no item has."""
+    def task(batches):
+        np.seterr(over="ignore")
+        for batch in batches:
+            for h in batch.column(0).to_pylist():
+                s = np.unique(shingle_hashes(np.array(h, np.int64).view(np.uint64), SHINGLE))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
+
+    often, n = items.select("h").mapInArrow(task, "s long").groupBy("s").agg(F.count("*").alias("n")).toPandas(), items.count()
+    s = often["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(s)
+    weight = np.round(16 * (1 + np.log(max(n, 1) / often["n"].to_numpy(float)))).astype(np.int64)
+    return s[order], weight[order], 16 + int(16 * np.log(n + 1))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFrame:
     """doc_id, item_id, similarity, first_word, distance: the best window of each item in each document."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where("size(h) > 0").orderBy("item_id")
     cols = [*(["row_"] if row_id else []), "doc_id"]
     rows = docs.select(*cols, word_hashes(F.col("text")).alias("h"))
     out, held = None, []
+    stats = shingle_weights(items)
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
 
     def searched(index):
+        index.stats = None
+
         def task(batches):
             np.seterr(over="ignore")
+            index.stats = shared.value
             for batch in batches:
                 col, found = batch.column(batch.num_columns - 1), []
                 flat, off = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.asarray(col.offsets) - col.offsets[0].as_py()
@@ -165,9 +194,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFr
     for item in items.toLocalIterator():
         held.append((item["item_id"], np.array(item["h"], np.int64).view(np.uint64)))
         if len(held) == ITEMS:
-            out, held = _also(out, rows.mapInArrow(searched(Index(held)), schema)), []
+            out, held = _also(out, rows.mapInArrow(searched(Index(held, stats)), schema)), []
     if held:
-        out = _also(out, rows.mapInArrow(searched(Index(held)), schema))
+        out = _also(out, rows.mapInArrow(searched(Index(held, stats)), schema))
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 

@@ -306,6 +306,23 @@ def test_decontamination_of_odd_rows(odd, spark):
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0 and decontaminate.leaks(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_shortened_items(spark):
+    item = [f"s{i}" for i in range(39)]
+    docs = spark.createDataFrame([(1, " ".join(item[:-1])), (2, " ".join(item[2:])), (3, " ".join(item[:20])), (4, "s1 s2")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, PASSAGE)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == {(1, 1): pytest.approx(34 / 35), (2, 1): pytest.approx(33 / 35)}
+
+
+def test_decontamination_does_not_depend_on_blocks(docs, spark, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(30)
+    rows = bench.selectExpr("item_id as doc_id", "text").unionByName(bench.selectExpr("item_id + 1000 as doc_id", "regexp_replace(text, '[^ ]+$', 'zz') as text")).unionByName(docs.select("doc_id", "text").limit(100))
+    names = "doc_id", "item_id", "similarity", "first_word"
+    want = listed(decontaminate.leaks(rows, bench), *names)
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    assert want and listed(decontaminate.leaks(rows, bench), *names) == want
+
+
 def test_pseudo_likelihood(rows):
     out = pseudo_likelihood.score(rows).collect()
     assert len(out) == rows.count() and all((r["n_words"] == 0) == (r["per_word"] is None) and r["log_prob"] <= 0 for r in out)
