@@ -5,7 +5,9 @@ Every document gets base counts and a vector of transformed statistics, in whole
 by concentration steps: centre and scatter of all rows, then of the half (``core``)
 nearest by Mahalanobis distance, a few times over. The half is cut on a fixed grid of
 distances, so it is counted, not sorted, and a hot source costs partial sums. Documents
-beyond ``limit`` in a bad direction are rejected, as are those that fail the base rule.
+beyond ``limit`` in a bad direction are rejected, as are those that fail the base rule. A
+direction is bad if the word length alone is beyond the limit, or if half of the squared
+distance or more is from word length, either way, and from other statistics above their centre.
 
 Sums are over whole numbers, so reruns agree. A scatter has a floor for each statistic,
 as most clean documents have no symbols or repeats at all.
@@ -122,8 +124,16 @@ def judge(docs: DataFrame, limit: float = LIMIT, least: int = LEAST, packed: boo
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     sizes = fitted.where(F.col("n_pool") >= least * CORE / 2)
     out = distance(stats, sizes)
-    # A document whose statistics are all at or below the centre of the bad ones isn't bad, however far.
-    bad = (F.col("far") > limit) & (F.greatest(F.col("x1") - F.col("m1"), F.col("x2") - F.col("m2"), F.col("x3") - F.col("m3")) > 0)
+    # The parts of the squared distance: each deviation times its row of the inverse scatter, by back substitution.
+    part, k = [], len(STATS)
+    for i in reversed(range(k)):
+        z = F.col(f"y{i}")
+        for j in range(i + 1, k):
+            z = z - F.col(f"l{j}{i}") * F.col(f"z{j}")
+        out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
+        off = F.col(f"x{i}") - F.col(f"m{i}")
+        part.append(F.when((off > 0) | F.lit(i == 0), off * F.col(f"z{i}")).otherwise(0.0))
+    bad = (F.col("far") > limit) & ((F.abs("y0") > limit) | (2 * sum(part[1:], part[0]) >= F.col("far") * F.col("far")))
     return out.withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(bad, F.lit(False)))
 
 

@@ -95,6 +95,37 @@ def test_quality(rows):
     assert quality.filter_quality(rows).columns == rows.columns
 
 
+def test_quality_verdicts(docs, spark):
+    least, floor, k = 30, np.array(quality.FLOOR) * quality.SCALE, len(quality.STATS)
+    lang, source = docs.groupBy("lang", "source").count().orderBy(F.desc("count"), "lang", "source").first()[:2]
+    made = [(9001, " ".join(f"{i:x<60}" for i in range(80))), (9002, " ".join(chr(97 + i % 26) if i % 3 else chr(0x4E00 + i) for i in range(80))), (9003, " ".join(f"#{i:*<5}" for i in range(80)))]
+    rows = docs.select("doc_id", "lang", "source", "text").unionByName(spark.createDataFrame([(i, lang, source, t) for i, t in made], "doc_id long, lang string, source string, text string"))
+    got = quality.judge(rows, least=least).collect()
+    by, rest = Counter((r["lang"], r["source"]) for r in got), Counter()
+    for (a, _), n in by.items():
+        rest[a] += n * (n < least)
+    pools = defaultdict(list)
+    for r in got:
+        n = by[r["lang"], r["source"]]
+        pools[(r["lang"], r["source"]) if n >= least else (r["lang"],) if rest[r["lang"]] >= least else ()].append(r)
+    for pool in pools.values():
+        x = np.array([[r[f"x{i}"] for i in range(k)] for r in pool], float)
+        core = full = x[[r["n_words"] > 0 for r in pool]]
+        for step in range(quality.STEPS + 1):
+            m, inverse = core.mean(0), np.linalg.inv(np.cov(core.T, bias=True) + np.diag(floor ** 2))
+            if step < quality.STEPS:
+                bins = np.floor(np.sqrt(np.einsum("ni,ij,nj->n", full - m, inverse, full - m)) * quality.GRID)
+                core = full[bins <= np.sort(bins)[int(np.ceil(quality.CORE * len(bins))) - 1]]
+        scatter = np.linalg.inv(inverse)
+        for r, v in zip(pool, x - m):
+            part = v * (inverse @ v)
+            bad = part.sum() > quality.LIMIT ** 2 and (abs(v[0]) > quality.LIMIT * scatter[0, 0] ** 0.5 or 2 * (part[0] + part[1:][v[1:] > 0].sum()) >= part.sum())
+            bad &= len(core) >= least * quality.CORE / 2
+            assert r["kept"] == (not r["base_failed"] and not bad), (r, part)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not kept[9001] and not kept[9003] and any(kept.values())
+
+
 def test_token_files(rows):
     import public_tokenizers
     from tokenizers import Tokenizer
