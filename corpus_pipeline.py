@@ -34,7 +34,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix_sources), ("token ids", token_ids)]
-# Outlier estimates, sketches and tokens have no SQL; the stages are tested against brute force.
+# Outlier estimates, sketches and tokens have no SQL; tests compare the stages with plain Python, mixing by bounds only.
 ORACLE_SQL = None
 
 

@@ -375,6 +375,44 @@ def test_shuffled_words_score_lower(docs):
     assert (counts * log.transpose(0, 2, 1)).sum() > counts.sum() * flat[0]
 
 
+def test_pipeline_stage_by_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng, data = np.random.default_rng(4), []
+    item = [f"s{i}" for i in range(39)]
+    for i in range(12):
+        w = [f"d{i}x{k}" for k in range(40)]
+        data += [(10 * i + 1, " ".join(w), "ab"[i % 2]), (10 * i + 2, " ".join(changed(rng, w, 3)), "a"), (10 * i + 3, " ".join(w), None)]
+    data += [(501, "few words", "a"), (502, None, "a"), (503, "", None), (504, "r s t u v " * 9, "b"), (601, " ".join(item[:-1]), "a"), (602, "x y " + " ".join(item) + " " + " ".join(f"z{i}" for i in range(30)), "b"),
+             (701, "a <|endoftext|> b " + " ".join(f"e{i}" for i in range(20)), "a")]
+    spark.createDataFrame([(i, t, "en", c) for i, t, c in data], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    note = lambda stage: lambda s, d, f: seen.append(sorted(texts(d))) or stage(s, d, f)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, note(stage)) for n, stage in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    # Quality: the groups are too small for the estimate, so the base rule only.
+    want = [(i, t) for i, t, _ in data if t and len(t.split()) >= 10 and i != 504]
+    assert seen[1] == sorted(want)
+    left = []
+    for i, t in sorted(want):
+        w = t.split()
+        if not any(edit_distance(w, x.split()) <= int(0.2 * max(len(w), len(x.split())) + 1e-9) for _, x in left):
+            left.append((i, t))
+    assert seen[2] == left and len(left) < len(want)
+    left = [x for x in left if x[0] not in (601, 602)]
+    assert seen[3] == left
+    assert set(seen[4]) <= set(left) and max(Counter(seen[4]).values()) <= 3
+    tok, ids, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [], 0
+    for i, t in seen[4]:
+        x = np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        ids.append((i, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert listed(out, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(ids, key=repr)
+
+
 @pytest.mark.parametrize("name", ["op3_substrings", "op9_warc", "op10_mix"])
 def test_against_sql(spark, name):
     from attesta.llm.queries import ORACLES, QUERIES
