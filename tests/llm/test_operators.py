@@ -413,7 +413,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path, monkeypatch):
     assert listed(out, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(ids, key=repr)
 
 
-@pytest.mark.parametrize("name", ["op3_substrings", "op9_warc", "op10_mix"])
+@pytest.mark.parametrize("name", ["op3_substrings", "op9_warc", "op10_mix", "op13_resample"])
 def test_against_sql(spark, name):
     from attesta.llm.queries import ORACLES, QUERIES
     from checks.compare import connect, rows_of
