@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from attesta.fields import (
     ALLERGY_LABELS, BIRTH_ANCHORS, INSURANCE_NON_VALUES, INSURANCE_WORDS,
     MEDICATION_LABELS, PHONE_ANCHORS,
 )
-from attesta.functions.matches import all_matches, before, line_at, on_lines
+from attesta.functions.matches import on_lines, page_matches
 from attesta.functions.text import (
     WS, contains_any, let, normalize_text, strip, wide_digit_count,
 )
@@ -61,43 +59,38 @@ def _hit(seq1: Column, seq2: Column, raw: Column, norm: Column, quote: Column,
         (none if flags is None else flags).alias("flags"))
 
 
-def _anchored(lowered: Column, start: Column, words: list[str]) -> Column:
-    near = before(lowered, start, ANCHOR_WIDTH)
-    return F.when(let(near, lambda s: contains_any(s, words)), 1.0).otherwise(0.0)
+def _placed(found: Column, valued: Callable[[Column], Column], keep: Callable[[Column], Column]) -> Column:
+    """Hits of page-wide patterns. ``valued`` gives the normal form of a match and its flags, or NULL."""
+    none = F.array().cast("array<string>")
+    hits = let(found, lambda page: F.transform(page["found"], lambda m, i: let(valued(m), lambda v: _hit(
+        m["tag"], i, m["raw"], v["norm"], F.get(page["lines"], m["line"]), F.when(m["anchored"], 1.0).otherwise(0.0), F.coalesce(v["flags"], none)))))
+    return F.filter(hits, lambda h: keep(h["norm"]) & (h["quote"] != ""))
+
 
+def _with_digits(text: Column) -> Column:
+    """Every shape holds four digits in a row; other pages need no scan."""
+    return F.when(F.rlike(text, F.lit(r"(?U)\d{4}")), text)
 
-def _placed(text: Column, patterns: list[str], ignore_case: bool,
-            build: Callable[[Column, Column, Column], Column]) -> Column:
-    """Hits of page-wide patterns; matches may run across a line break."""
-    places = [all_matches(text, _java(p, ignore_case), F.lit(i)) for i, p in enumerate(patterns)]
-    return F.transform(F.concat(*places), lambda m: build(m["tag"], m["start"], strip(m["text"])))
+
+_dates = page_matches(DATE_PATTERNS, True, BIRTH_ANCHORS, ANCHOR_WIDTH)
+_phones = page_matches(PHONE_PATTERNS, False, PHONE_ANCHORS, ANCHOR_WIDTH)
 
 
 def date_hits(text: Column, lowered: Column) -> Column:
-    def build(index: Column, start: Column, raw: Column) -> Column:
+    def valued(m: Column) -> Column:
         # The pattern that found the text tells the shape it starts with.
-        norm = F.coalesce(*[F.when(index == i, read_date(raw, i)) for i in range(len(DATE_PATTERNS))])
-        return _hit(index, start, raw, norm, line_at(text, start), _anchored(lowered, start, BIRTH_ANCHORS))
+        norm = F.coalesce(*[F.when(m["tag"] == i, read_date(m["raw"], i)) for i in range(len(DATE_PATTERNS))])
+        return F.struct(norm.alias("norm"), F.lit(None).cast("array<string>").alias("flags"))
 
-    hits = _placed(text, DATE_PATTERNS, True, build)
-    # Every shape holds four digits in a row; other pages need no scan.
-    return F.when(F.rlike(text, F.lit(r"(?U)\d{4}")),
-                  F.filter(hits, lambda h: h["norm"].isNotNull() & (h["quote"] != "")))
+    return _placed(_dates(_with_digits(text)), valued, lambda norm: norm.isNotNull())
 
 
 def phone_hits(text: Column, lowered: Column) -> Column:
-    def build(index: Column, start: Column, raw: Column) -> Column:
-        def with_digits(p: Column) -> Column:
-            flags = F.when(p["assumed"], F.array(F.lit("default_country_assumed"))).otherwise(
-                F.array().cast("array<string>"))
-            return _hit(index, start, raw, p["digits"], line_at(text, start),
-                        _anchored(lowered, start, PHONE_ANCHORS), flags)
-
-        return let(normalize_phone(raw), with_digits)
+    def valued(m: Column) -> Column:
+        return let(normalize_phone(m["raw"]), lambda p: F.struct(
+            p["digits"].alias("norm"), F.when(p["assumed"], F.array(F.lit("default_country_assumed"))).alias("flags")))
 
-    hits = _placed(text, PHONE_PATTERNS, False, build)
-    return F.when(F.rlike(text, F.lit(r"(?U)\d{4}")),
-                  F.filter(hits, lambda h: (F.length(h["norm"]) >= 10) & (h["quote"] != "")))
+    return _placed(_phones(_with_digits(text)), valued, lambda norm: F.length(norm) >= 10)
 
 
 def insurance_hits(text: Column, lowered: Column) -> Column:
@@ -167,14 +160,13 @@ def routed_pages(routing: DataFrame, pages: DataFrame) -> DataFrame:
     return routing.join(pages, ["run_id", "doc_id"])
 
 
-@lru_cache(maxsize=8)
-def _hits_by_field(extractors: tuple, context: object) -> Column:
-    """The CASE over all extractors, built once per context: it is a large expression."""
+def _hits_by_field(extractors: dict[str, Callable[[Column, Column], Column]]) -> Column:
+    """The CASE over all extractors. Each sees the text of its own field's rows only, as Python functions run for every row."""
     hits: Column | None = None
-    for key, extractor in extractors:
-        value = extractor(F.col("full_text"), F.col("lowered"))
-        hits = (F.when(F.col("field") == key, value) if hits is None
-                else hits.when(F.col("field") == key, value))
+    for key, extractor in extractors.items():
+        own = F.col("field") == key
+        value = extractor(F.when(own, F.col("full_text")), F.when(own, F.col("lowered")))
+        hits = F.when(own, value) if hits is None else hits.when(own, value)
     return hits
 
 
@@ -187,7 +179,7 @@ def heuristic_candidates(routing: DataFrame, pages: DataFrame,
     runs the extractor of that field only.
     """
     extractors = EXTRACTORS if extractors is None else extractors
-    hits = _hits_by_field(tuple(extractors.items()), SparkContext._active_spark_context)
+    hits = _hits_by_field(extractors)
     joined = routed_pages(routing, pages).filter(F.col("field").isin(list(extractors))).select(
         "run_id", "field", "doc_rank", "doc_id", "page", "page_ord", "full_text",
         F.lower("full_text").alias("lowered"))

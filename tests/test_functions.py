@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from attesta.functions import json as J
 from attesta.functions import text as T
 from attesta.functions import values as V
-from attesta.functions.matches import all_matches, line_at
+from attesta.functions.matches import find_all, page_matches
+from attesta.operators.extract import PHONE_PATTERNS
 
 
 def apply(spark, values, make):
@@ -47,18 +49,36 @@ def test_normalize_phone(spark):
     assert [(p.digits, p.assumed) for p in apply(spark, list(cases), V.normalize_phone)] == list(cases.values())
 
 
-@pytest.mark.parametrize("pattern", [r"\d+", r"[a-c]\s?\d", r"\b\w\w\b"])
+@pytest.mark.parametrize("pattern", [r"\d+", r"[a-c]\s?\d", r"\b\w\w\b", r"\d\s+\d"])
 def test_matches_and_lines_agree_with_a_plain_scan(spark, pattern):
     rng = random.Random(7)
-    texts = ["".join(rng.choice("ab1 2\nc") for _ in range(rng.randrange(60))) for _ in range(60)]
-    make = lambda t: F.transform(all_matches(t, pattern, F.lit(0)),
-                                 lambda m: F.struct(m["start"].alias("s"), m["text"].alias("m"), line_at(t, m["start"]).alias("l")))
-    for text, found in zip(texts, apply(spark, texts, make)):
-        want = []
-        for m in re.finditer(pattern, text):
-            left, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-            want.append((m.start(), m.group(0), text[left:len(text) if end < 0 else end].strip()))
-        assert [(r.s, r.m, r.l) for r in found] == want
+    texts = ["".join(rng.choice("aB1 2\nc\u0130") for _ in range(rng.randrange(60))) for _ in range(60)] + [""]
+    scan = page_matches([pattern, "b"], True, ["c1", "b"], 5)
+    want, got = [], apply(spark, texts + [None], scan)
+    for text in texts:
+        rows = []
+        for tag, p in enumerate([pattern, "b"]):
+            for m in re.finditer(p, text, re.I):
+                left, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+                near = text.lower()[max(0, m.start() - 5):m.start()]
+                rows.append((tag, m.group(0).strip(), text[left:len(text) if end < 0 else end].strip(), "c1" in near or "b" in near))
+        want.append(rows)
+    assert [[(m.tag, m.raw, r.lines[m.line], m.anchored) for m in r.found] for r in got] == want + [[]]
+
+
+def test_a_page_twice_as_long_costs_about_twice():
+    shapes = [re.compile(p) for p in PHONE_PATTERNS]
+    spent = []
+    for n in (2000, 4000, 8000):
+        page = "\n".join(f"Tel: 613-555-{i % 10000:04d} and 5551234567, cell" for i in range(n))
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            found = find_all(page, shapes, ["tel", "cell"], 50)[0]
+            times.append(time.perf_counter() - start)
+        assert len(found) >= 2 * n
+        spent.append(min(times))
+    assert spent[1] < 3 * spent[0] and spent[2] < 3 * spent[1]
 
 
 def test_json_needs_one_whole_value(spark):
