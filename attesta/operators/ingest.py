@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import is_blank, let, lookup, rstrip, strip
 from attesta.operators.numbering import with_position
-from attesta.schemas import PAGE
+from attesta.schemas import PAGE, PAGE_TEXTS
+from attesta.settings import written
+from attesta.sources.store import keep_contents, open_files
 
 PDF = "application/pdf"
 PDF_MAGIC = "%PDF"
@@ -46,10 +48,20 @@ def is_pdf(content: Column) -> Column:
     return F.startswith(content, F.lit(PDF_MAGIC.encode()))
 
 
+def describe(uploads: DataFrame, root: str | None = None) -> DataFrame:
+    """Uploads without their bytes: name, hash and signature of each, known from its own row.
+
+    Uploads that name a ``path`` are opened for it here, in the task that holds the row. With
+    ``root``, contents are kept below it under their hash, and ``path`` leads there. Write
+    the result before using it twice, or the files are read twice.
+    """
+    opened = uploads if "content" in uploads.columns else open_files(uploads)
+    rows = opened.withColumn("sha256", F.sha2("content", 256)).withColumn("is_pdf", is_pdf(F.col("content")))
+    return keep_contents(rows, root) if root else rows.drop("content")
+
+
 def _described(uploads: DataFrame) -> DataFrame:
-    """Uploads without their bytes: everything known from one row."""
-    return uploads.select("run_id", "upload_ord", "filename", safe_filename(F.col("filename")).alias("safe_name"),
-                          F.sha2("content", 256).alias("sha256"), is_pdf(F.col("content")).alias("is_pdf"))
+    return (uploads if "sha256" in uploads.columns else describe(uploads)).withColumn("safe_name", safe_filename(F.col("filename")))
 
 
 def rejected_uploads(uploads: DataFrame) -> DataFrame:
@@ -62,9 +74,11 @@ def stored_files(uploads: DataFrame) -> DataFrame:
 
     Only hashes and flags are shuffled, never file bytes.
     """
-    first = F.min(F.struct("upload_ord", "sha256", "is_pdf")).alias("s")
-    return (_described(uploads).filter(F.col("safe_name").isNotNull()).groupBy("run_id", "safe_name").agg(first)
-            .select("run_id", "safe_name", F.col("s.upload_ord").alias("stored_ord"), "s.sha256", "s.is_pdf"))
+    rows = _described(uploads)
+    path = ["path"] if "path" in rows.columns else []
+    first = F.min(F.struct("upload_ord", "sha256", "is_pdf", *path)).alias("s")
+    return (rows.filter(F.col("safe_name").isNotNull()).groupBy("run_id", "safe_name").agg(first)
+            .select("run_id", "safe_name", F.col("s.upload_ord").alias("stored_ord"), "s.sha256", "s.is_pdf", *[f"s.{c}" for c in path]))
 
 
 def new_files(uploads: DataFrame, already: DataFrame) -> DataFrame:
@@ -91,34 +105,43 @@ def ingest(uploads: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("unreadable_reason"), "sha256", "stored_ord", "is_pdf")
 
 
-def extract_pages(uploads: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """Run a caller's ``bytes -> page texts`` function over the PDF uploads.
+def extract_pages(files: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """Run a caller's ``bytes -> page texts`` function over (sha256, content) rows.
 
     A failure becomes the row's error, so one damaged file never fails the job.
-    Only files that can be read at all reach Python.
     """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for run_id, ord_, content in zip(batch["run_id"], batch["upload_ord"], batch["content"]):
+            for sha256, content in zip(batch["sha256"], batch["content"]):
                 try:
                     pages = [page or "" for page in read_pages(bytes(content))]
-                    rows.append((run_id, ord_, pages, len(pages), None))
+                    rows.append((sha256, pages, len(pages), None))
                 except Exception as problem:  # noqa: BLE001 - any parser failure is data here
-                    rows.append((run_id, ord_, [], 0, f"parse_error: {problem}"))
-            yield pd.DataFrame(rows, columns=["run_id", "upload_ord", "pages", "page_count", "error"])
+                    rows.append((sha256, [], 0, f"parse_error: {problem}"))
+            yield pd.DataFrame(rows, columns=["sha256", "pages", "page_count", "error"])
+
+    return files.select("sha256", "content").mapInPandas(extract, PAGE_TEXTS)
 
-    flag = is_pdf(F.col("content"))
-    name = safe_filename(F.col("filename"))
-    eligible = uploads.filter(name.isNotNull() & flag & (mime_type(name, flag) == PDF))
-    return eligible.select("run_id", "upload_ord", "content").mapInPandas(
-        extract, "run_id string, upload_ord bigint, pages array<string>, page_count int, error string")
 
+def page_texts(stored: DataFrame, read_pages: Callable[[bytes], list[str]], known: DataFrame | None = None) -> DataFrame:
+    """Page texts of stored files by content hash, each content parsed once.
 
-def extractions_of(index: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Extraction results by document id, each document reading its stored file."""
-    read = extracted.withColumnRenamed("upload_ord", "stored_ord")
-    return index.select("run_id", "doc_id", "stored_ord").join(read, ["run_id", "stored_ord"]).select(
+    ``stored`` names a ``path`` for each file. Hashes that ``known`` (an earlier page text table)
+    holds are left out before anything is opened, and so are repeated contents, files that
+    another of the same name kept out, and files that are no PDF: only paths are grouped and joined.
+    """
+    wanted = stored.filter(F.col("is_pdf") & (mime_type(F.col("safe_name"), F.col("is_pdf")) == PDF))
+    once = wanted.groupBy("sha256").agg(F.min("path").alias("path"))
+    if known is not None:
+        once = once.join(known.select("sha256"), "sha256", "left_anti")
+    return extract_pages(open_files(once), read_pages)
+
+
+def extractions_by_content(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """Extraction results by document id, each document reading the text of its stored content."""
+    readable = index.filter(F.col("is_pdf") & (F.col("mime_type") == PDF))
+    return readable.select("run_id", "doc_id", "sha256").join(texts, "sha256").select(
         "run_id", "doc_id", "pages", "page_count", "error")
 
 
@@ -152,5 +175,9 @@ def layout(extractions: DataFrame) -> DataFrame:
 
 
 def stored_listing(uploads: DataFrame) -> DataFrame:
-    """Stored files by name inside each bundle."""
-    return stored_files(uploads).orderBy("run_id", "safe_name")
+    """Stored files by name inside each bundle, with their place in that order.
+
+    Names of a bundle are ranked behind one sort of all names, so a hot bundle is ranked by many tasks.
+    """
+    ordered = stored_files(uploads).orderBy("run_id", "safe_name").withColumn("_row", F.monotonically_increasing_id())
+    return with_position(written(ordered, "listing"), "run_id", "_row", "place").drop("_row")

@@ -33,6 +33,7 @@ FINAL_FIELD = _struct({
 
 UPLOADS = "run_id string, upload_ord bigint, filename string, content binary"
 EXTRACTIONS = "run_id string, doc_id string, pages array<string>, page_count int, error string"
+PAGE_TEXTS = "sha256 string, pages array<string>, page_count int, error string"
 DOC_INDEX = ("run_id string, doc_id string, filename string, mime_type string, pages int, "
              "has_text_layer boolean, unreadable_reason string, sha256 string")
 PAGES = "run_id string, doc_id string, page int, page_ord int, full_text string"

@@ -535,6 +535,14 @@ ORACLES = {
     "nested_layout": statement("SELECT d.run_id, d.doc_id, count(p.page) AS pages, md5(coalesce(string_agg(p.full_text, '|' ORDER BY p.page), '')) AS text_md5 FROM docs d LEFT JOIN page_rows p ON p.run_id = d.run_id AND p.doc_id = d.doc_id GROUP BY ALL", "docs", "page_rows"),
     "page_extract_job": statement("SELECT run_id, doc_id, CAST(CASE WHEN mime <> 'application/pdf' OR NOT starts_with(body, '%PDF') OR contains(body, 'damaged') THEN -1 ELSE len(string_split(body, chr(12))) END AS BIGINT) AS pages, "
                                   f"CASE WHEN mime <> 'application/pdf' OR NOT starts_with(body, '%PDF') THEN 'no_text_layer' WHEN contains(body, 'damaged') THEN 'parse_error' WHEN trim(substr(body, 5), {BLANKS}) = '' THEN 'no_text_layer' ELSE '' END AS reason FROM indexed", "indexed"),
+    "page_text_hashes": statement("SELECT run_id, doc_id, CAST(i + 1 AS BIGINT) AS page, md5(rtrim(string_split(substr(body, 5), chr(12))[i + 1], " + BLANKS + ")) AS text_md5 FROM indexed, "
+                                  "unnest(range(len(string_split(substr(body, 5), chr(12))))) AS u(i) WHERE mime = 'application/pdf' AND starts_with(body, '%PDF') AND NOT contains(body, 'damaged')", "indexed"),
+    "new_files": statement("SELECT run_id, safe AS safe_name, CAST(min(upload_ord) AS BIGINT) AS stored_ord, sha256(arg_min(body, upload_ord)) AS sha256 FROM named n WHERE safe IS NOT NULL AND upload_ord % 2 = 1 "
+                           "AND NOT EXISTS (SELECT 1 FROM named e WHERE e.run_id = n.run_id AND e.safe = n.safe AND e.upload_ord % 2 = 0) GROUP BY run_id, safe", "named"),
+    "stored_listing": statement("SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY safe) AS place, safe AS safe_name, sha256(body) AS sha256 FROM stored", "stored"),
+    "file_uploads": "SELECT run_id, 'doc_' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS doc_id, filename, 'text/html' AS mime_type, sha256 FROM ("
+                    "SELECT 'site_' || lpad(CAST(page_id % 7 AS VARCHAR), 3, '0') AS run_id, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS n, "
+                    "'p ' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.html' AS filename, sha256(coalesce(html, '')) AS sha256 FROM pages)",
     "doc_relevance": statement("SELECT run_id, field, norm AS normalized_value, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, doc_id, round(CAST(relevance AS DOUBLE), 6) AS relevance FROM based", "based"),
     "validators": statement("SELECT run_id, field, norm AS normalized_value, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, round(CAST(valid AS DOUBLE), 6) AS validator FROM based", "based"),
     "confidence": statement("SELECT run_id, field, norm AS normalized_value, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, doc_id, round(CAST(base AS DOUBLE), 6) AS base, round(CAST(bonus AS DOUBLE), 6) AS agreement, "

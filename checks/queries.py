@@ -353,20 +353,55 @@ def nested_layout(spark, sf):
         F.md5(F.array_join(F.transform("pages", lambda p: p["full_text"]), "|")).alias("text_md5"))
 
 
+def split_pages(content: bytes) -> list[str]:
+    """Stand-in reader for the rendered files: form feeds part the pages."""
+    text = content.decode("utf-8")
+    if "damaged" in text:
+        raise ValueError("damaged file")
+    return text[4:].split("\f")
+
+
+def _kept(spark, sf):
+    """The rendered uploads with their contents kept by hash, in two batches of page texts: the second parses what is new."""
+    root = J.fresh_folder(tune(spark), "contents")
+    kept = written(I.describe(B.uploads(spark, sf), root), "kept")
+    for batch in (kept.filter("upload_ord % 2 = 0"), kept):
+        store.add_page_texts(I.page_texts(I.stored_files(batch), split_pages, store.read_page_texts(spark, root)), root)
+    index = I.ingest(kept)
+    return kept, index, I.extractions_by_content(index, store.read_page_texts(spark, root))
+
+
 def page_extract_job(spark, sf):
     """Uploads to readable documents, with a caller's page reader in Python workers."""
-    def split_pages(content: bytes) -> list[str]:
-        """Stand-in reader for the rendered files: form feeds part the pages."""
-        text = content.decode("utf-8")
-        if "damaged" in text:
-            raise ValueError("damaged file")
-        return text[4:].split("\f")
+    _, index, extractions = _kept(spark, sf)
+    return I.update_doc_index(index, extractions).select("run_id", "doc_id", long(F.coalesce("pages", F.lit(-1))).alias("pages"),
+                                                         F.coalesce("unreadable_reason", F.lit("")).alias("reason"))
+
+
+def page_text_hashes(spark, sf):
+    """The text of every page that job reads."""
+    return I.page_table(_kept(spark, sf)[2]).select("run_id", "doc_id", long("page").alias("page"), F.md5("full_text").alias("text_md5"))
 
+
+def new_files(spark, sf):
+    """Files of uploads with odd numbers whose names no upload with an even number has taken."""
     uploads = B.uploads(tune(spark), sf)
-    index = I.ingest(uploads)
-    read_out = I.update_doc_index(index, I.extractions_of(index, I.extract_pages(uploads, split_pages)))
-    return read_out.select("run_id", "doc_id", long(F.coalesce("pages", F.lit(-1))).alias("pages"),
-                           F.coalesce("unreadable_reason", F.lit("")).alias("reason"))
+    return I.new_files(uploads.filter("upload_ord % 2 = 1"), I.stored_files(uploads.filter("upload_ord % 2 = 0"))).select(
+        "run_id", "safe_name", long("stored_ord").alias("stored_ord"), "sha256")
+
+
+def stored_listing(spark, sf):
+    return I.stored_listing(B.uploads(tune(spark), sf)).select("run_id", long("place").alias("place"), "safe_name", "sha256")
+
+
+def file_uploads(spark, sf):
+    """The pages' html written as files of a few bundles, then listed, opened once for their hash, and indexed."""
+    root = J.fresh_folder(tune(spark), "files")
+    name = F.concat(F.lit("site_"), F.lpad((F.col("page_id") % 7).cast("string"), 3, "0"), F.lit("/in/p "), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".html"))
+    files = read(spark, sf, "pages").select(name.alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    written(store.write_files(files, root, "name"), "names")
+    described = written(I.describe(store.spread_files(store.list_uploads(spark, root))), "described")
+    return I.ingest(described).select("run_id", "doc_id", "filename", "mime_type", "sha256")
 
 
 # ---- scores and final values --------------------------------------------
@@ -493,7 +528,7 @@ QUERIES = {f.__name__: f for f in [
     *[_extracted(k) for k in ["full_name", "dob", "phone", "address", "insurance_member_id", "allergies", "medications"]],
     phone_in_documents, evidence_check, model_gate, field_stats, field_events, sorted_candidates, excerpts, document_excerpts, prompts,
     parse_responses, retry_responses, response_candidates, schema_user, schema_forms, schema_resolved, schema_warnings,
-    ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job,
+    ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job, page_text_hashes, new_files, stored_listing, file_uploads,
     doc_relevance, validators, confidence, contradictions, final_fields, overrides, population_report, eval_metrics, final_map,
     violations, json_violations, step_status, artifact_roundtrip, bundle_job,
 ]}

@@ -15,7 +15,7 @@ from attesta.operators.numbering import with_position
 from attesta.plans.bundle_job import extract_fields
 from attesta.schemas import (ARTIFACTS, DOC_INDEX, EXTRACTIONS, FINAL_FIELD, FORM_FIELDS, OVERRIDES, PAGES, RESPONSES, ROUTING_ROWS,
                              SCHEMA_FIELDS, TRUTH, UPLOADS, USER_SCHEMAS)
-from attesta.settings import RunOptions
+from attesta.settings import RunOptions, written
 from attesta.sources import store
 
 AS_OF = datetime.date(2025, 1, 1)
@@ -76,19 +76,19 @@ def test_positions_across_blocks(spark, monkeypatch):
 
 
 def test_filenames_and_types(spark):
-    cases = [("C:\\Windows\\System32\\file.exe", "file.exe"), ("file..name.pdf", "file_name.pdf"), ("..", None), ("dir/", None),
-             ("  a.txt ", "a.txt"), ("", None), (".", None), ("a/b/../c.PDF", "c.PDF")]
+    cases = [("D:\\scans\\2024\\intake form.tif", "intake form.tif"), ("visit...notes..txt", "visit_.notes_txt"), (" .. ", None), ("inbox\\", None),
+             ("\tlabs.csv\n", "labs.csv"), ("  ", None), ("./.", None), ("2023/../q4/Summary.PDF", "Summary.PDF")]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n string, want string")
     assert all(r.got == r.want for r in df.select("want", I.safe_filename(F.col("n")).alias("got")).collect())
-    types = [("unknown_file", True, "application/pdf"), ("test.txt", False, "text/plain"), ("unknown", False, "application/octet-stream"),
-             ("x.PDF", False, "application/pdf"), ("a.tar.gz", False, "application/x-tar"), ("a.tgz", False, "application/x-tar"),
-             (".pdf", False, "application/octet-stream"), ("a.zzz", True, "application/pdf")]
+    types = [("scan0001", True, "application/pdf"), ("labs.csv", False, "text/csv"), ("scan0002", False, "application/octet-stream"),
+             ("Summary.PDF", False, "application/pdf"), ("old.tar.gz", False, "application/x-tar"), ("old.tgz", False, "application/x-tar"),
+             (".html", False, "application/octet-stream"), ("chart.qqq", True, "application/pdf")]
     df = spark.createDataFrame(types, "n string, p boolean, want string")
     for r in df.select("n", "want", I.mime_type(F.col("n"), F.col("p")).alias("got")).collect():
         assert r.got == r.want, r
 
 
-def test_ingest_extract_and_index(spark):
+def test_ingest_extract_and_index(spark, tmp_path):
     def reader(content):
         if b"bad" in content:
             raise ValueError("broken")
@@ -98,8 +98,9 @@ def test_ingest_extract_and_index(spark):
         ("r", 0, "a.pdf", bytearray(b"%PDFone |two\n  \n")), ("r", 1, "x/a.pdf", bytearray(b"other")), ("r", 2, "n.txt", bytearray(b"%PDFtext")),
         ("r", 3, "bad.pdf", bytearray(b"%PDFbad")), ("r", 4, "blank.pdf", bytearray(b"%PDF  | ")), ("r", 5, "fake.pdf", bytearray(b"no")),
         ("r", 6, "..", bytearray(b"z"))], UPLOADS)
-    index = I.ingest(uploads)
-    extractions = I.extractions_of(index, I.extract_pages(uploads, reader))
+    kept = written(I.describe(uploads, f"{tmp_path}/contents"), "kept")
+    index = I.ingest(kept)
+    extractions = I.extractions_by_content(index, I.page_texts(I.stored_files(kept), reader))
     got = {r.doc_id: (r.filename, r.pages, r.has_text_layer, r.unreadable_reason) for r in I.update_doc_index(index, extractions).collect()}
     assert got == {"doc_001": ("a.pdf", 2, True, None), "doc_002": ("a.pdf", 2, True, None), "doc_003": ("n.txt", None, False, "no_text_layer"),
                    "doc_004": ("bad.pdf", None, False, "parse_error"), "doc_005": ("blank.pdf", 2, False, "no_text_layer"),
@@ -303,6 +304,49 @@ def test_uploads_from_files(spark, tmp_path):
         ("a", "doc_001", "b.txt"), ("a", "doc_002", "x.pdf"), ("b", "doc_001", "x.pdf")]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contents_stay_out_of_exchanges_and_joins(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / "in" / f"r{i % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"r{i % 2}" / f"f {i}%20.pdf").write_bytes(b"%PDF" + b"xyz"[i % 3:i % 3 + 1] * 10)
+    listed = store.list_uploads(spark, str(tmp_path / "in"))
+    assert "content" not in listed.columns
+    uploads = store.open_files(store.spread_files(listed))
+    assert {(r.filename, bytes(r.content)) for r in uploads.collect()} == {(f"f {i}%20.pdf", b"%PDF" + b"xyz"[i % 3:i % 3 + 1] * 10) for i in range(6)}
+    calls = tmp_path / "calls"
+
+    def reader(content):
+        with open(calls, "a") as log:
+            log.write(content.decode() + "\n")
+        return [content.decode()[4:]]
+
+    kept = written(I.describe(listed), "kept")
+    root, stored = f"{tmp_path}/store", I.stored_files(kept)
+    first = I.page_texts(stored.filter("run_id = 'r0'"), reader, store.read_page_texts(spark, root))
+    lines = plan_of(first).split("\n")
+    above = [line for line in lines[: next(i for i, line in enumerate(lines) if "MapInArrow" in line)] if "Join" in line or "Aggregate" in line or "Repartition" in line]
+    assert not above and plan_of(first).count("MapInPandas") == 1
+    store.add_page_texts(first, root)
+    texts = store.add_page_texts(I.page_texts(stored, reader, store.read_page_texts(spark, root)), root)
+    assert texts.count() == 3 and sorted(calls.read_text().split()) == sorted("%PDF" + c * 10 for c in "xyz")
+    index = I.ingest(kept)
+    got = {(r.run_id, r.doc_id): r.pages for r in I.extractions_by_content(index, texts).collect()}
+    assert got == {(f"r{i % 2}", f"doc_00{i // 2 + 1}"): ["xyz"[i % 3] * 10] for i in range(6)}
+
+
+def test_written_files_appear_once_and_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x", bytearray(b"one")), ("a/x", bytearray(b"one")), ("b/y z", bytearray(b""))], "name string, content binary")
+    for _ in range(2):
+        assert sorted(r.path for r in store.write_files(rows, str(tmp_path), "name").collect()) == [f"{tmp_path}/a/x"] * 2 + [f"{tmp_path}/b/y z"]
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"a/x": b"one", "b/y z": b""}
+    with pytest.raises(ValueError):
+        store.read_file("ftp://host/x")
+
+
 def test_uploads_in_nested_folders(spark, tmp_path):
     for name, body in [("a/sub/b.pdf", b"%PDF1"), ("b/sub/b.pdf", b"%PDF2"), ("b/sub/deep/c.txt", b"t"), ("beside.txt", b"x")]:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
