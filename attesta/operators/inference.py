@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import hashlib
+import time
+import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.fields import field_type
 from attesta.functions import json as J
 from attesta.functions.text import is_blank, let, strip
 from attesta.functions.values import normalize_for_field, normalize_phone
-from attesta.schemas import EVIDENCE, SCORES
-from attesta.settings import RunOptions, written
+from attesta.schemas import ANSWERS, EVIDENCE, SCORES
+from attesta.settings import RunOptions, shared_folder, written
+from attesta.sources.store import located, read_if_there, write_once
 
 # The wording of prompts, so that equal input gives equal prompts.
 TYPE_HINTS = {
@@ -79,8 +84,8 @@ Return ONLY the JSON array, nothing else.'''
 # Error texts, which also go into retry prompts.
 INVALID_JSON = "Invalid JSON"
 NOT_AN_ARRAY = "Response must be a JSON array"
-# Answers a task holds before it passes them on.
-ANSWERS_HELD = 64
+# Answers a task holds before it writes them: what a lost task has to ask again at most.
+ANSWERS_HELD = 16
 
 
 def _fill(template: str, **values: Column) -> Column:
@@ -203,15 +208,36 @@ def replay(prompts: DataFrame, responses: DataFrame, attempt: int) -> DataFrame:
     return prompts.select("run_id", "field").join(stored, ["run_id", "field"])
 
 
+KEY = ["run_id", "field", "attempt", "prompt_hash"]
+
+
+def read_answers(spark: SparkSession, ledger: str) -> DataFrame:
+    """The answers of a ledger, one a key: a text before a failed call, then the first one written."""
+    rows = read_if_there(spark, ledger, ANSWERS)
+    order = F.struct(F.col("call_error").isNotNull().alias("failed"), "at")
+    return rows.groupBy(*KEY).agg(F.min_by(F.struct("text", "call_error"), order).alias("a")).select(*KEY, "a.text", "a.call_error")
+
+
 def call_model(requests: DataFrame, model: Callable[[list[dict], int], str], attempt: int,
-               options: RunOptions = RunOptions()) -> DataFrame:
+               options: RunOptions = RunOptions(), ledger: str | None = None) -> DataFrame:
     """Run a caller's ``(messages, max_tokens) -> text`` function over request rows.
 
     ``requests`` has (run_id, field, messages) with messages an array of
     struct(role, content). A call that raises leaves its row with ``call_error`` and no
-    text; the others go on. A task that is run again calls the model again for its rows.
+    text; the others go on.
+
+    Answers are appended to the table in ``ledger``, by bundle, field, attempt and hash of the
+    messages. Only requests without an answer there are asked, so a job that is run again with
+    its ledger pays for what it did not get; a failed call counts as not answered then. Tasks
+    write as they go, ``ANSWERS_HELD`` answers a file, named by the keys in it: a task that runs
+    again finds the files of its earlier run, and of two that run at once the first file stays.
     """
+    spark = requests.sparkSession
+    ledger = ledger or f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
     limit = options.max_model_tokens
+    keyed = requests.select("run_id", "field", F.lit(attempt).alias("attempt"), F.sha2(F.to_json("messages"), 256).alias("prompt_hash"), "messages")
+    had = read_answers(spark, ledger).filter("call_error IS NULL").select(*KEY)
+    todo = written(keyed.join(had, KEY, "left_anti"), "requests")
 
     def one(messages) -> tuple[str | None, str | None]:
         try:
@@ -219,31 +245,38 @@ def call_model(requests: DataFrame, model: Callable[[list[dict], int], str], att
         except Exception as problem:  # whatever a caller's function raises
             return None, f"{type(problem).__name__}: {problem}"
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # The requests of a job have a name of their own, so that a failed call of an earlier job is asked again.
+    job = uuid.uuid4().hex
+
+    def answer(batches):
         for batch in batches:
             for at in range(0, len(batch), ANSWERS_HELD):
-                part = batch.iloc[at:at + ANSWERS_HELD]
-                texts, errors = zip(*map(one, part["messages"]))
-                yield pd.DataFrame({"run_id": part["run_id"].array, "field": part["field"].array, "attempt": attempt,
-                                    "text": pd.Series(texts, dtype=object), "call_error": pd.Series(errors, dtype=object)})
+                part = batch.slice(at, ANSWERS_HELD)
+                keys = part.select(KEY)
+                name = hashlib.sha256(repr((job, keys.to_pylist())).encode()).hexdigest()
 
-    return requests.select("run_id", "field", "messages").mapInPandas(
-        answer, "run_id string, field string, attempt int, text string, call_error string")
+                def fill(stream):
+                    texts, errors = zip(*map(one, part.column("messages").to_pylist()))
+                    pq.write_table(pa.table([*keys.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array([time.time()] * len(part))],
+                                            names=[*KEY, "text", "call_error", "at"]), stream)
 
+                system, target = located(f"{ledger}/{name}.parquet")
+                write_once(system, target, fill)
+                yield pa.RecordBatch.from_pydict({"file": [target], "answers": pa.array([len(part)], pa.int64())})
 
-def ask(prompts: DataFrame, model: Callable[[list[dict], int], str], options: RunOptions = RunOptions(),
-        folder: str | None = None) -> DataFrame:
-    """Ask once, ask again where the answer was invalid, and settle.
+    written(todo.mapInArrow(answer, "file string, answers long"), "answered")
+    return keyed.drop("messages").join(read_answers(spark, ledger), KEY).select("run_id", "field", "attempt", "text", "call_error")
 
-    Each round of answers is written before it is read, so a lost executor or a
-    repeated stage reads them back instead of calling the model again.
-    """
+
+def ask(prompts: DataFrame, model: Callable[[list[dict], int], str], options: RunOptions = RunOptions(),
+        ledger: str | None = None) -> DataFrame:
+    """Ask once, ask again where the answer was invalid, and settle; answers are read back from the ledger."""
+    ledger = ledger or f"{shared_folder(prompts.sparkSession)}/answers-{uuid.uuid4().hex}"
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    first = written(call_model(prompts.withColumn("messages", F.array(message("user", F.col("prompt")))),
-                               model, 1, options), "answers-1", folder)
+    first = call_model(prompts.withColumn("messages", F.array(message("user", F.col("prompt")))), model, 1, options, ledger)
     parsed = parse_responses(first)
     failed = prompts.join(parsed.filter("parse_error IS NOT NULL AND call_error IS NULL"), ["run_id", "field"]).withColumn(
         "messages", F.array(message("user", F.col("prompt")), message("assistant", F.col("text")),
                             message("user", retry_prompt(F.col("field"), F.col("parse_error")))))
-    second = written(call_model(failed, model, 2, options), "answers-2", folder)
+    second = call_model(failed, model, 2, options, ledger)
     return settle_attempts(parsed.unionByName(parse_responses(second)))

@@ -38,13 +38,14 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 def extract_fields(runs: DataFrame, doc_index: DataFrame, pages: DataFrame, user_schemas: DataFrame,
                    form_fields: DataFrame, *, as_of: datetime.date, responses: DataFrame | None = None,
                    model: Callable[[list[dict], int], str] | None = None,
-                   options: RunOptions = RunOptions()) -> Extracted:
+                   options: RunOptions = RunOptions(), ledger: str | None = None) -> Extracted:
     """Documents and schema requests to final fields.
 
     Routing, heuristic candidates and scores each feed several later stages, so they
     are written once to the shared folder; page text is read for routing, for
     extraction and for excerpts, and never again. Answers come from ``model``,
-    or from a stored ``responses`` table, or there are none.
+    or from a stored ``responses`` table, or there are none. ``ledger`` names the folder of
+    model answers; a job run again with it asks only for those it did not get.
     """
     folder = fresh_folder(runs.sparkSession, "job")
     schemas = S.resolve_schemas(runs, user_schemas, form_fields, options)
@@ -58,7 +59,7 @@ def extract_fields(runs: DataFrame, doc_index: DataFrame, pages: DataFrame, user
     if model is not None or responses is not None:
         prompts = N.build_prompts(gate, X.build_excerpts(gate.filter("call_model"), routing, pages, options))
         if model is not None:
-            settled = N.ask(written(prompts, "prompts", folder), model, options, folder)
+            settled = N.ask(written(prompts, "prompts", folder), model, options, ledger or f"{folder}/answers")
         else:
             answers = N.replay(prompts, responses, 1).unionByName(N.replay(prompts, responses, 2))
             settled = N.settle_attempts(N.parse_responses(answers))

@@ -510,6 +510,10 @@ ORACLES = {
     "document_excerpts": statement("SELECT run_id, field, excerpt_ord, doc_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM (" +
                                    excerpts(4000, 8000, 3).replace("picked", "picked_c") + ")", "picked_c"),
     "prompts": statement(_prompt(), "picked", "fields", "asked"),
+    "model_job": statement(
+        "SELECT run_id, field, CAST(CASE k WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS attempt, CASE k WHEN 0 THEN 'unavailable' WHEN 1 THEN 'retried' ELSE 'ok' END AS status, "
+        "CAST(CASE k WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS found, CASE k WHEN 0 THEN 'ConnectionError: down' ELSE '' END AS error "
+        f"FROM (SELECT run_id, field, CAST('0x' || substr(prompt_md5, 1, 2) AS INT) % 4 AS k FROM ({_prompt()}))", "picked", "fields", "asked"),
     "parse_responses": statement("SELECT t.run_id, t.field, CAST(t.attempt AS BIGINT) AS attempt, coalesce(t.err, '') AS parse_error, coalesce(a.raw, '') AS raw_value, coalesce(a.given, '') AS given_value, "
                                  "coalesce(a.doc_id, '') AS doc_id, coalesce(a.page, 0) AS page, coalesce(a.quote, '') AS quoted_text FROM answer_text t LEFT JOIN answers a ON a.run_id = t.run_id AND a.field = t.field AND a.attempt = t.attempt", "answer_text", "answers"),
     "retry_responses": statement("SELECT s.run_id, s.field, CAST(s.attempt AS BIGINT) AS attempt, s.status, count(a.item) AS found FROM settled s LEFT JOIN answers a ON a.run_id = s.run_id AND a.field = s.field AND a.attempt = s.attempt GROUP BY ALL", "settled", "answers"),

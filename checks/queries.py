@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -293,6 +294,27 @@ def response_candidates(spark, sf):
     return flat(N.response_candidates(Bundles(spark, sf).settled))
 
 
+def answering(messages: list[dict], limit: int) -> str:
+    """A caller's model for the check: by the hash of the prompt it raises, answers badly at first, finds something or nothing."""
+    kind = int(hashlib.md5(messages[0]["content"].encode()).hexdigest()[:2], 16) % 4
+    if kind == 0:
+        raise ConnectionError("down")
+    if kind == 1 and len(messages) == 1:
+        return "no json"
+    return '[{"raw_value":"x","evidence":[{"doc_id":"d","page":1,"quoted_text":"q"}]}]' if kind == 2 else "[]"
+
+
+def model_job(spark, sf):
+    """The fields the gate lets through, asked of a model that sometimes fails; asked twice with one ledger."""
+    b = Bundles(spark, sf, stored=True)
+    ledger = J.fresh_folder(b.spark, "ledger")
+    made = b.keep(N.build_prompts(b.gate, X.build_excerpts(C.resolved(b.schema_fields), b.routing, b.pages, TIGHT)), "prompts")
+    N.ask(made, answering, ledger=ledger)
+    return N.ask(made, answering, ledger=ledger).select(
+        "run_id", "field", long("attempt").alias("attempt"), "status", long(F.coalesce(F.size("found"), F.lit(0))).alias("found"),
+        F.coalesce("parse_error", F.lit("")).alias("error"))
+
+
 # ---- schemas ------------------------------------------------------------
 
 def _specs(c: str) -> Column:
@@ -527,7 +549,7 @@ QUERIES = {f.__name__: f for f in [
     route_labelled, readable_status,
     *[_extracted(k) for k in ["full_name", "dob", "phone", "address", "insurance_member_id", "allergies", "medications"]],
     phone_in_documents, evidence_check, model_gate, field_stats, field_events, sorted_candidates, excerpts, document_excerpts, prompts,
-    parse_responses, retry_responses, response_candidates, schema_user, schema_forms, schema_resolved, schema_warnings,
+    parse_responses, retry_responses, response_candidates, model_job, schema_user, schema_forms, schema_resolved, schema_warnings,
     ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job, page_text_hashes, new_files, stored_listing, file_uploads,
     doc_relevance, validators, confidence, contradictions, final_fields, overrides, population_report, eval_metrics, final_map,
     violations, json_violations, step_status, artifact_roundtrip, bundle_job,

@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,39 @@ def test_a_failed_call_leaves_the_others(spark):
         (f, "llm_unavailable", f"LLM unavailable for field {f}: TimeoutError: no answer") for f in ("dob", "address")}
 
 
+def test_a_killed_task_asks_only_for_what_it_did_not_write(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "ANSWERS_HELD", 4)
+    log, fuse = tmp_path / "calls", tmp_path / "fuse"
+    fuse.write_text("lit")
+
+    def model(messages, limit):
+        text = messages[0]["content"]
+        with open(log, "a") as f:
+            f.write(f"{text}\n")
+        if text == "p30" and fuse.exists():
+            fuse.unlink()
+            os._exit(1)
+        if text == "p7":
+            raise TimeoutError("slow")
+        return "[]"
+
+    prompts = spark.createDataFrame([(f"r{i:02d}", "phone", f"p{i}") for i in range(60)], "run_id string, field string, prompt string").coalesce(1)
+    ledger = f"{tmp_path}/ledger"
+    with pytest.raises(Exception):
+        N.ask(prompts, model, ledger=ledger).collect()
+    before = log.read_text().split()
+    got = {r.run_id: r.status for r in N.ask(prompts, model, ledger=ledger).collect()}
+    calls = log.read_text().split()
+    assert got == {f"r{i:02d}": "unavailable" if i == 7 else "ok" for i in range(60)}
+    again = [p for p in set(calls) if calls.count(p) > 1]
+    # Besides the failed call, at most the answers that the killed task had not written yet.
+    assert "p30" in before and len(set(before)) < 60 and len(set(calls)) == 60 and len(again) <= 4 * 4 + 1
+    calls_of = len(calls)
+    assert N.ask(prompts.filter("prompt <> 'p7'"), model, ledger=ledger).count() == 59 and len(log.read_text().split()) == calls_of
+    other = N.ask(prompts.filter("prompt = 'p1'").withColumn("prompt", F.lit("p1 other")), model, ledger=ledger)
+    assert other.count() == 1 and log.read_text().split("\n").count("p1 other") == 1
+
+
 def test_prompts(spark):
     gate = spark.createDataFrame([("r", "dob", "Birth", None, True), ("r", "phone", None, 0.45, True), ("r", "address", None, 0.9, False)],
                                  "run_id string, field string, label string, best_confidence double, call_model boolean")
