@@ -107,6 +107,21 @@ SELECT run_id, field, attempt, CASE (k + fno + attempt) % 6
 FROM @asked q
 """
 
+# One stored document of each artifact per customer, with faults put in by rule.
+FAULTY = """
+SELECT run_id, k, 'schema' AS artifact, concat('{"schema_source":"', CASE WHEN k % 3 = 0 THEN 'other' ELSE 'user_schema' END, '","resolved_fields":[{"key":"dob","type":"date"},{"key":"',
+  CASE WHEN k % 5 = 0 THEN 'ssn' ELSE 'phone' END, '","label":null,"type":"phone"}],"unsupported_fields":["a",', CASE WHEN k % 7 = 0 THEN '1' ELSE '"b"' END, ']}') AS doc FROM (@customers) c
+UNION ALL SELECT run_id, k, 'doc_index', concat('[{"doc_id":"d","filename":"f","mime_type":"m","pages":', CASE WHEN k % 3 = 0 THEN '2.5' ELSE '"2"' END, ',"has_text_layer":"', CASE WHEN k % 5 = 0 THEN 'maybe' ELSE 'yes' END,
+  '","unreadable_reason":', CASE WHEN k % 7 = 0 THEN '"odd"' ELSE 'null' END, ',"sha256":"s"}]') FROM (@customers) c
+UNION ALL SELECT run_id, k, 'layout', concat('[{"doc_id":"d","pages":[{"page":1,"full_text":"t"},{"page":', CASE WHEN k % 3 = 0 THEN '0' ELSE '2' END, ',"full_text":"t","spans":[{"text":"x","bbox":[1,',
+  CASE WHEN k % 5 = 0 THEN '"n"' ELSE '"1.5"' END, ']}]}]},', CASE WHEN k % 7 = 0 THEN '5' ELSE '{"doc_id":"e","pages":[]}' END, ']') FROM (@customers) c
+UNION ALL SELECT run_id, k, 'routing', concat('[{"field":"', CASE WHEN k % 3 = 0 THEN 'ssn' ELSE 'dob' END, '","doc_ids":["d"],"scores":{"d":', CASE WHEN k % 5 = 0 THEN 'null' ELSE '0.5' END, '}}]') FROM (@customers) c
+UNION ALL SELECT run_id, k, 'candidates', concat('[{"field":"dob","raw_value":"v","normalized_value":"v","evidence":[{"doc_id":"', CASE WHEN k % 3 = 0 THEN ' ' ELSE 'd' END, '","page":"1","quoted_text":"q"}],"from_method":"llm","scores":{"anchor_match":1,"validator":',
+  CASE WHEN k % 5 = 0 THEN '1.5' ELSE '1' END, CASE WHEN k % 7 = 0 THEN '' ELSE ',"doc_relevance":0' END, '}}]') FROM (@customers) c
+UNION ALL SELECT run_id, k, 'final', concat('{"run_id":"r","schema_source":"fallback_v1","fields":{"dob":{"field":"dob","status":"', CASE WHEN k % 3 = 0 THEN 'done' ELSE 'filled' END, '","value":null,"confidence":', CASE WHEN k % 5 = 0 THEN '-0.5' ELSE '0.5' END,
+  ',"rationale":[],"alternatives":[{"field":"dob","raw_value":"v","normalized_value":"v","evidence":[{"doc_id":"d","page":', CASE WHEN k % 7 = 0 THEN '0' ELSE '1' END, ',"quoted_text":"q"}],"from_method":"llm","scores":{"anchor_match":1,"validator":1,"doc_relevance":0}}]}}}') FROM (@customers) c
+"""
+
 # Every customer with the fields and attempts answers are rendered for: a short
 # constant list per row, which each engine expands in its own words.
 ASKED_DUCK = """(SELECT c.*, f.*, a.* FROM (@customers) c CROSS JOIN (VALUES ('full_name', 0), ('dob', 1), ('phone', 2), ('allergies', 3)) f(field, fno)
@@ -154,7 +169,7 @@ RENDERINGS = {
     for name, sql in {
         "form_docs": FORMS, "note_docs": NOTES, "upload_text": UPLOADS, "user_schema_text": USER_SCHEMAS,
         "form_fields": FORM_FIELDS, "responses": RESPONSES, "overrides": OVERRIDES, "targets": TARGETS,
-        "truth": TRUTH, "date_text": DATE_TEXT, "phone_text": PHONE_TEXT,
+        "truth": TRUTH, "faulty": FAULTY, "date_text": DATE_TEXT, "phone_text": PHONE_TEXT,
         "runs": "SELECT run_id, k FROM (@customers) c",
     }.items()
 }

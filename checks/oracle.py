@@ -464,7 +464,29 @@ _JSON_ARMS = " UNION ALL ".join(
     ["SELECT run_id, row_id, '' AS loc, err AS msg FROM raw_answers WHERE err IS NOT NULL",
      "SELECT run_id, row_id, CAST(pos AS VARCHAR), 'Input should be an object' FROM raw_items WHERE json_type(it) <> 'OBJECT'"]
     + [f"SELECT run_id, row_id, pos || '.{n}', CASE WHEN json_type(it, '$.{n}') IS NULL THEN 'Field required' ELSE '{_WANTED[t]}' END FROM raw_items "
-       f"WHERE json_type(it) = 'OBJECT' AND (json_type(it, '$.{n}') IS NULL OR json_type(it, '$.{n}') <> '{t}')" for n, t in _REQUIRED.items()])
+       f"WHERE json_type(it) = 'OBJECT' AND (json_type(it, '$.{n}') IS NULL OR json_type(it, '$.{n}') <> '{t}')" for n, t in _REQUIRED.items()]
+    + ["SELECT run_id, row_id, pos || '.evidence', 'evidence must not be empty' FROM raw_items WHERE json_type(it, '$.evidence') = 'ARRAY' AND json_array_length(it, '$.evidence') = 0",
+       "SELECT run_id, row_id, place, 'Input should be an object' FROM raw_entries WHERE json_type(e) <> 'OBJECT'",
+       "SELECT run_id, row_id, place || '.doc_id', 'doc_id must not be empty' FROM raw_entries WHERE json_type(e) = 'OBJECT' AND trim(e->>'doc_id') = ''",
+       "SELECT run_id, row_id, place || '.page', CASE WHEN json_type(e, '$.page') = 'DOUBLE' THEN 'Input should be a valid integer, got a number with a fractional part' "
+       "WHEN json_type(e, '$.page') = 'VARCHAR' THEN 'Input should be a valid integer, unable to parse string as an integer' ELSE 'Page must be >= 1, got ' || (e->>'page') END FROM raw_entries "
+       "WHERE json_type(e) = 'OBJECT' AND (contains(e->>'page', '.') OR CAST(e->>'page' AS DOUBLE) < 1)"])
+# Evidence entries of the answers, which have all three members.
+RELATIONS["raw_entries"] = ("SELECT run_id, row_id, pos || '.evidence.' || (i - 1) AS place, json_extract(it, '$.evidence[' || (i - 1) || ']') AS e FROM raw_items, "
+                            "unnest(range(1, CAST(coalesce(json_array_length(it, '$.evidence'), 0) AS BIGINT) + 1)) AS u(i) WHERE json_type(it) = 'OBJECT' AND json_type(it, '$.evidence') = 'ARRAY'", ["raw_items"])
+# Artifact, every how many customers, location and message of each fault.
+_FAULTS = [
+    ("schema", 3, "schema_source", "Input should be 'user_schema', 'fillable_pdf' or 'fallback_v1'"), ("schema", 5, "resolved_fields.1.key", "Unsupported field key: ssn"),
+    ("schema", 7, "unsupported_fields.1", "Input should be a valid string"),
+    ("doc_index", 3, "0.pages", "Input should be a valid integer, got a number with a fractional part"),
+    ("doc_index", 5, "0.has_text_layer", "Input should be a valid boolean, unable to interpret input"), ("doc_index", 7, "0.unreadable_reason", "Input should be 'no_text_layer' or 'parse_error'"),
+    ("layout", 3, "0.pages.1.page", "Page must be >= 1, got 0"), ("layout", 5, "0.pages.1.spans.0.bbox.1", "Input should be a valid number, unable to parse string as a number"), ("layout", 7, "1", "Input should be an object"),
+    ("routing", 3, "0.field", "Unsupported field key: ssn"), ("routing", 5, "0.scores.d", "Input should be a valid number"),
+    ("candidates", 3, "0.evidence.0.doc_id", "doc_id must not be empty"), ("candidates", 5, "0.scores.validator", "validator must be in [0, 1], got 1.5"), ("candidates", 7, "0.scores.doc_relevance", "Field required"),
+    ("final", 3, "fields.dob.status", "Input should be 'filled', 'needs_review' or 'missing'"), ("final", 5, "fields.dob.confidence", "confidence must be in [0, 1], got -0.5"),
+    ("final", 7, "fields.dob.alternatives.0.evidence.0.page", "Page must be >= 1, got 0"),
+]
+_FAULT_ARMS = " UNION ALL ".join(f"SELECT run_id, '{a}' AS artifact, '{loc}' AS loc, '" + msg.replace("'", "''") + f"' AS msg FROM runs WHERE {_K} % {n} = 0" for a, n, loc, msg in _FAULTS)
 
 
 def _steps() -> str:
@@ -565,7 +587,8 @@ ORACLES = {
     "eval_metrics": statement(_METRICS.format(who="run_id", group="GROUP BY run_id") + " UNION ALL " + _METRICS.format(who="'overall'", group=""), "judged"),
     "final_map": statement("SELECT run_id, 'fallback_v1' AS schema_source, count(*) AS fields, max(CASE WHEN field = 'dob' THEN status END) AS dob_status, coalesce(max(CASE WHEN field = 'dob' THEN normalized_value END), '') AS dob FROM final GROUP BY run_id", "final"),
     "violations": statement(_VIOLATION_ARMS, "named_cands"),
-    "json_violations": statement(_JSON_ARMS, "raw_answers", "raw_items"),
+    "json_violations": statement(_JSON_ARMS, "raw_answers", "raw_items", "raw_entries"),
+    "artifact_faults": statement(_FAULT_ARMS, "runs"),
     "step_status": statement(_steps(), "runs", "docs", "doc_index", "run_fields", "page_rows", "routing", "cands", "final", "readable"),
     "artifact_roundtrip": statement("SELECT d.run_id, d.docs, r.routed, '2025-12-12T11:40:12.123456Z' AS ts, 'ok' AS status FROM (SELECT run_id, count(*) AS docs FROM doc_index GROUP BY run_id) d "
                                     "JOIN (SELECT run_id, count(*) AS routed FROM routing GROUP BY run_id) r ON r.run_id = d.run_id", "doc_index", "routing"),

@@ -516,6 +516,16 @@ def json_violations(spark, sf):
     return K.json_violations(K.decode_json(rows), "candidates").select("run_id", "row_id", "loc", "msg")
 
 
+def artifact_faults(spark, sf):
+    """Stored documents of all six artifacts with faults at every depth."""
+    docs = Bundles(spark, sf).rendered("faulty").select("run_id", "artifact", F.col("doc").cast("binary").alias("content"))
+    parts = [K.json_violations(K.decode_json(docs.filter(F.col("artifact") == name)), name) for name in K.SHAPES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("run_id", "artifact", "loc", "msg")
+
+
 def step_status(spark, sf):
     b = Bundles(spark, sf, stored=True)
     return O.step_status(b.runs, b.extractions.select("run_id"), b.doc_index, b.pages, b.schema_fields, b.routing,
@@ -552,5 +562,5 @@ QUERIES = {f.__name__: f for f in [
     parse_responses, retry_responses, response_candidates, model_job, schema_user, schema_forms, schema_resolved, schema_warnings,
     ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job, page_text_hashes, new_files, stored_listing, file_uploads,
     doc_relevance, validators, confidence, contradictions, final_fields, overrides, population_report, eval_metrics, final_map,
-    violations, json_violations, step_status, artifact_roundtrip, bundle_job,
+    violations, json_violations, artifact_faults, step_status, artifact_roundtrip, bundle_job,
 ]}

@@ -287,7 +287,7 @@ def test_row_violations(spark):
     assert found == ["evidence", "evidence.0.doc_id", "evidence.0.page", "evidence.0.quoted_text", "field", "from_method", "scores.anchor_match", "scores.validator"]
     assert K.sound_rows(df, "candidates").count() == 1
     message = [r.message for r in K.summary(df, "candidates").collect() if r.field == "ssn"][0]
-    assert message.startswith("field: Unsupported field key: ssn; from_method: Input should be 'heuristic' or 'llm'")
+    assert message.startswith("field: Unsupported field key: ssn; evidence.0.doc_id: doc_id must not be empty; ") and "; from_method: Input should be 'heuristic' or 'llm'; " in message
     with pytest.raises(ValueError):
         K.violations_of("unknown")
 
@@ -305,6 +305,52 @@ def test_json_documents(spark):
     assert ("0.doc_id", "Input should be a valid string") in found[5] and ("0.sha256", "Field required") in found[5] and ("1", "Input should be an object") in found[5]
 
 
+FAULTS = {
+    "schema": ('{"run_id":"r","schema_source":"odd","resolved_fields":[{"key":"dob","type":"date"},{"key":"ssn","label":null,"type":"blob"}]}',
+               [("schema_source", "Input should be 'user_schema', 'fillable_pdf' or 'fallback_v1'"), ("resolved_fields.1.key", "Unsupported field key: ssn"),
+                ("resolved_fields.1.type", "Input should be 'date', 'phone', 'string' or 'string_or_list'")]),
+    "doc_index": ('{"doc_id":"d","filename":"f","mime_type":"m","has_text_layer":true,"unreadable_reason":"torn","sha256":"s"}',
+                  [("unreadable_reason", "Input should be 'no_text_layer' or 'parse_error'")]),
+    "layout": ('{"doc_id":"d","pages":[{"page":1,"full_text":""},{"page":-2,"full_text":"t","spans":[{"text":"x","bbox":[1,2]}]}]}', [("pages.1.page", "Page must be >= 1, got -2")]),
+    "routing": ('{"field":"ssn","doc_ids":["d"],"scores":{"d":0.5}}', [("field", "Unsupported field key: ssn")]),
+    "candidates": ('{"field":"dob","raw_value":"v","normalized_value":"v","evidence":[{"doc_id":"d","page":0,"quoted_text":" "}],"from_method":"llm","scores":{"anchor_match":1,"validator":2,"doc_relevance":0}}',
+                   [("evidence.0.page", "Page must be >= 1, got 0"), ("evidence.0.quoted_text", "quoted_text must not be empty"), ("scores.validator", "validator must be in [0, 1], got 2.0")]),
+    "final": ('{"run_id":"r","schema_source":"fallback_v1","fields":{"dob":{"field":"dob","status":"done","confidence":-0.5,"rationale":[],"alternatives":[{"field":"ssn","raw_value":"v","normalized_value":"v",'
+              '"evidence":[],"from_method":"guess","scores":{"anchor_match":1,"validator":1,"doc_relevance":0}}]}}}',
+              [("fields.dob.status", "Input should be 'filled', 'needs_review' or 'missing'"), ("fields.dob.confidence", "confidence must be in [0, 1], got -0.5"),
+               ("fields.dob.alternatives.0.field", "Unsupported field key: ssn"), ("fields.dob.alternatives.0.evidence", "evidence must not be empty"),
+               ("fields.dob.alternatives.0.from_method", "Input should be 'heuristic' or 'llm'")]),
+}
+
+
+@pytest.mark.parametrize("artifact", list(FAULTS))
+def test_rows_and_json_of_an_artifact_have_the_same_nested_faults(spark, artifact):
+    text, want = FAULTS[artifact]
+    spec = ARTIFACTS[artifact]
+    df = spark.createDataFrame([(f"[{text}]" if spec.is_list else text,)], "t string")
+    deep = sorted((r.loc.removeprefix("0."), r.msg) for r in K.json_violations(K.decode_json(df.select(F.col("t").cast("binary").alias("content"))), artifact).collect())
+    rows = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", spec.ddl).alias("r")).select("r.*")
+    assert deep == sorted((r.loc, r.msg) for r in K.violations(rows, artifact).collect()) == sorted(want)
+
+
+def test_kinds_of_json_scalars(spark):
+    def doc(**members):
+        return {"doc_id": "d", "filename": "f", "mime_type": "m", "pages": 1, "has_text_layer": True, "sha256": "s", **members}
+
+    valid, whole, real = (f"Input should be a valid {k}" for k in ("boolean", "integer", "number"))
+    cases = [(doc(pages=v), None) for v in (None, 3, 3.0, "3", " 4 ", "5.0", True)] + [(doc(has_text_layer=v), None) for v in ("yes", "OFF", 0, 1.0, False)]
+    cases += [(doc(pages=2.5), f"{whole}, got a number with a fractional part"), (doc(pages="x"), f"{whole}, unable to parse string as an integer"), (doc(pages=[1]), whole),
+              (doc(has_text_layer="maybe"), f"{valid}, unable to interpret input"), (doc(has_text_layer=2), f"{valid}, unable to interpret input"), (doc(has_text_layer=None), valid), (doc(has_text_layer={}), valid),
+              (doc(sha256=5), "Input should be a valid string"), (doc(sha256=None), "Input should be a valid string")]
+    df = spark.createDataFrame([(i, bytearray(json.dumps([c]).encode())) for i, (c, _) in enumerate(cases)], "row_id int, content binary")
+    found = {r.row_id: r.msg for r in K.json_violations(K.decode_json(df), "doc_index").collect()}
+    assert [found.get(i) for i in range(len(cases))] == [w for _, w in cases]
+    scores = [("1e3", None), ('"0.5"', None), ("true", None), ('"x"', f"{real}, unable to parse string as a number"), ("null", real), ("[]", real)]
+    df = spark.createDataFrame([(i, bytearray(f'[{{"field":"dob","doc_ids":[],"scores":{{"a.b":{v}}}}}]'.encode())) for i, (v, _) in enumerate(scores)], "row_id int, content binary")
+    found = {r.row_id: (r.loc, r.msg) for r in K.json_violations(K.decode_json(df), "routing").collect()}
+    assert [found.get(i, (0, None))[1] for i in range(len(scores))] == [w for _, w in scores] and found[3][0] == "0.scores.a.b"
+
+
 def test_artifacts_and_trace(spark, tmp_path):
     root = str(tmp_path)
     rows = [(f"r{i}", "d", "f.pdf", "application/pdf", 1, True, None, "0") for i in range(200)]
