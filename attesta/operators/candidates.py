@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.evidence import is_accepted
-from attesta.settings import RunOptions
+from attesta.operators.numbering import with_position
+from attesta.settings import RunOptions, written
 
 FIELD = ["run_id", "field"]
 
@@ -21,13 +22,13 @@ def resolved(schema_fields: DataFrame, options: RunOptions = RunOptions()) -> Da
             .select("run_id", F.col("key").alias("field"), "label"))
 
 
-def routed_fields(schema_fields: DataFrame, routing: DataFrame, pages: DataFrame,
+def routed_fields(schema_fields: DataFrame, routing: DataFrame, doc_index: DataFrame,
                   options: RunOptions = RunOptions()) -> DataFrame:
     """Fields of each bundle and whether a document with pages was routed to them.
 
-    Pages shrink to distinct documents before they move.
+    The document index says which ones have pages, so no page is looked at.
     """
-    documents = pages.select("run_id", "doc_id").distinct()
+    documents = doc_index.filter("pages > 0").select("run_id", "doc_id")
     present = (routing.join(documents, ["run_id", "doc_id"], "left_semi")
                .select(*FIELD).distinct().withColumn("routed", F.lit(True)))
     return (resolved(schema_fields, options).join(present, FIELD, "left")
@@ -63,9 +64,12 @@ def method_rank(method: Column) -> Column:
 
 
 def sort_candidates(candidates: DataFrame) -> DataFrame:
-    """Field, heuristic before model, value; ties keep the order of finding."""
-    return candidates.orderBy("run_id", "field", method_rank(F.col("from_method")),
-                              "normalized_value", "seq")
+    """Each candidate's ``place`` in its bundle: field, heuristic before model, value; ties keep the order of finding.
+
+    Places are counted behind one sort of all candidates, so a hot bundle is ranked by many tasks.
+    """
+    ordered = candidates.orderBy("run_id", "field", method_rank(F.col("from_method")), "normalized_value", "seq")
+    return with_position(written(ordered.withColumn("_row", F.monotonically_increasing_id()), "ordered"), "run_id", "_row", "place").drop("_row")
 
 
 def with_kind(errors: DataFrame) -> DataFrame:

@@ -49,35 +49,61 @@ def with_relevance(candidates: DataFrame, routing: DataFrame) -> DataFrame:
             .withColumn("relevance", F.coalesce("relevance", F.lit(0.0))))
 
 
+def _clamped(c: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+def value_summary(based: DataFrame) -> DataFrame:
+    """Per accepted value of a field: whether two documents agree on it, its base, and its best candidate's place in the order.
+
+    Agreement needs two documents with one value. The least and the greatest document id differ
+    exactly then, so no set of documents is gathered. All measures are least or greatest ones,
+    which tasks take of their own rows first: a value that a third of all rows share stays small.
+    """
+    place = lambda bonus: F.min(F.struct((-_clamped(F.col("base") + bonus)).alias("o1"), method_rank(F.col("from_method")).alias("o2"), F.col("seq").alias("o3")))
+    agrees = F.col("low") != F.col("high")
+    return (based.filter(is_accepted()).groupBy(*FIELD, "normalized_value")
+            .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("base").alias("base"),
+                 place(F.lit(0.0)).alias("alone"), place(F.lit(AGREEMENT_BONUS)).alias("shared"))
+            .select(*FIELD, "normalized_value", agrees.alias("agrees"), "base", F.when(agrees, F.col("shared")).otherwise(F.col("alone")).alias("place")))
+
+
+def field_summary(values: DataFrame) -> DataFrame:
+    """Per field with an accepted value: the winner, and whether two different strong values contradict each other."""
+    strong = F.when(F.round("base", 9) >= CONTRADICTION_FLOOR, F.col("normalized_value"))
+    first = F.min(F.struct("place.o1", "place.o2", "normalized_value", "place.o3"))
+    return (values.groupBy(*FIELD).agg(first.alias("w"), F.min(strong).alias("low"), F.max(strong).alias("high"))
+            .select(*FIELD, F.struct(F.col("w.o2").alias("method"), F.col("w.normalized_value").alias("value"), F.col("w.o3").alias("seq")).alias("winner"),
+                    F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("clash")))
+
+
 def score_candidates(candidates: DataFrame, routing: DataFrame, as_of: datetime.date) -> DataFrame:
     """Fill in the scores and add ``base`` and ``confidence`` (before any penalty).
 
-    Agreement needs two documents with one value. The least and the greatest
-    document id differ exactly then, so no set of documents is gathered.
+    Values and then fields are summed up from narrow rows; only values that documents agree on
+    and fields with a contradiction are joined back. The penalty stands with the winner.
     """
-    same = Window.partitionBy("run_id", "field", "normalized_value")
-    voter = F.when(is_accepted(), F.col("doc_id"))
-    agrees = is_accepted() & (F.min(voter).over(same) != F.max(voter).over(same))
-    anchor = F.col("scores.anchor_match")
-    return (with_relevance(candidates, routing)
-            .withColumn("validator", validator_score(F.col("field"), F.col("normalized_value"),
-                                                     F.col("validators"), as_of))
-            .withColumn("agreement", F.when(F.coalesce(agrees, F.lit(False)), AGREEMENT_BONUS).otherwise(0.0))
-            .withColumn("base", anchor * ANCHOR_WEIGHT + F.col("validator") * VALIDATOR_WEIGHT
-                        + F.col("relevance") * RELEVANCE_WEIGHT)
-            .withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") + F.col("agreement"))))
+    based = (with_relevance(candidates, routing)
+             .withColumn("validator", validator_score(F.col("field"), F.col("normalized_value"), F.col("validators"), as_of))
+             .withColumn("base", F.col("scores.anchor_match") * ANCHOR_WEIGHT + F.col("validator") * VALIDATOR_WEIGHT
+                         + F.col("relevance") * RELEVANCE_WEIGHT))
+    values = value_summary(based)
+    agreed = values.filter("agrees").select(*FIELD, "normalized_value", F.lit(True).alias("agrees"))
+    clashes = field_summary(values).filter("clash").select(*FIELD, "winner")
+    own = F.struct(method_rank(F.col("from_method")).alias("method"), F.col("normalized_value").alias("value"), F.col("seq").alias("seq"))
+    return (based.join(agreed, [*FIELD, "normalized_value"], "left").join(clashes, FIELD, "left")
+            .withColumn("agreement", F.when(is_accepted() & F.col("agrees"), AGREEMENT_BONUS).otherwise(0.0))
+            .withColumn("confidence", _clamped(F.col("base") + F.col("agreement")))
             .withColumn("scores", F.struct(
-                anchor.alias("anchor_match"), F.col("validator").alias("validator"),
+                F.col("scores.anchor_match").alias("anchor_match"), F.col("validator").alias("validator"),
                 F.col("relevance").alias("doc_relevance"), F.col("agreement").alias("cross_doc_agreement"),
-                F.lit(0.0).alias("contradiction_penalty")))
-            .drop("validator", "agreement", "relevance"))
+                F.when(is_accepted() & (own == F.col("winner")), CONTRADICTION_PENALTY).otherwise(0.0).alias("contradiction_penalty")))
+            .drop("validator", "agreement", "relevance", "agrees", "winner"))
 
 
 def contradictions(scored: DataFrame) -> DataFrame:
-    """Fields with two or more different strong accepted values."""
-    strong = F.when(is_accepted() & (F.round("base", 9) >= CONTRADICTION_FLOOR), F.col("normalized_value"))
-    return (scored.groupBy(*FIELD).agg(F.min(strong).alias("low"), F.max(strong).alias("high"))
-            .filter("low <> high").select(*FIELD))
+    """Fields whose winner has the penalty: they have two or more different strong accepted values."""
+    return scored.filter("scores.contradiction_penalty > 0").select(*FIELD)
 
 
 def front_runners(scored: DataFrame) -> DataFrame:
@@ -117,9 +143,8 @@ def select_final(schema_fields: DataFrame, scored: DataFrame, routing: DataFrame
     """
     fields = resolved(schema_fields, options).select(*FIELD)
     top = routing.groupBy(*FIELD).agg(F.max("score").alias("top_score"))
-    clash = contradictions(scored).withColumn("clash", F.lit(True))
-    joined = (fields.join(front_runners(scored), FIELD, "left").join(clash, FIELD, "left")
-              .join(top, FIELD, "left").join(document_state(doc_index), "run_id", "left"))
+    joined = (fields.join(front_runners(scored), FIELD, "left").join(top, FIELD, "left")
+              .join(document_state(doc_index), "run_id", "left"))
     if errors is None:
         joined = joined.withColumn("kind", F.lit(None).cast("string"))
     else:
@@ -127,13 +152,12 @@ def select_final(schema_fields: DataFrame, scored: DataFrame, routing: DataFrame
 
     won = F.col("winner").isNotNull()
     chosen = F.col("winner.candidate")
-    clashed = F.coalesce("clash", F.lit(False))
     assumed = F.array_contains(chosen["validators"], ASSUMED)
-    penalty = F.when(clashed, CONTRADICTION_PENALTY).otherwise(0.0)
     scores = chosen["scores"]
-    confidence = F.coalesce(F.least(F.lit(1.0), F.greatest(
-        F.lit(0.0), scores["anchor_match"] * ANCHOR_WEIGHT + scores["validator"] * VALIDATOR_WEIGHT
-        + scores["doc_relevance"] * RELEVANCE_WEIGHT + scores["cross_doc_agreement"] - penalty)), F.lit(0.0))
+    clashed = F.coalesce(scores["contradiction_penalty"] > 0, F.lit(False))
+    confidence = F.coalesce(_clamped(
+        scores["anchor_match"] * ANCHOR_WEIGHT + scores["validator"] * VALIDATOR_WEIGHT + scores["doc_relevance"] * RELEVANCE_WEIGHT
+        + scores["cross_doc_agreement"] - scores["contradiction_penalty"]), F.lit(0.0))
     review = clashed | assumed | (F.round(confidence, 9) < options.autofill_threshold)
     reason = lambda test, name: F.when(test, F.lit(name))
     readable = F.coalesce("readable", F.lit(0).cast("long"))

@@ -52,7 +52,7 @@ def extract_fields(runs: DataFrame, doc_index: DataFrame, pages: DataFrame, user
     fields = S.schema_fields(schemas)
     routing = written(R.route(fields, doc_index, pages, options), "routing", folder)
     heuristics = written(G.check_evidence(E.heuristic_candidates(routing, pages)), "heuristics", folder)
-    routed = C.routed_fields(fields, routing, pages, options)
+    routed = C.routed_fields(fields, routing, doc_index, options)
     gate = C.model_gate(routed, heuristics, options)
 
     settled = None

@@ -45,7 +45,7 @@ RESPONSES = "run_id string, field string, attempt int, text string"
 ANSWERS = "run_id string, field string, attempt int, prompt_hash string, text string, call_error string, at double"
 TRACE = ("ts string, run_id string, step string, status string, duration_ms long, "
          "inputs_ref array<string>, outputs_ref array<string>, error struct<kind:string,message:string>")
-OVERRIDES = "run_id string, field string, action string, value string"
+OVERRIDES = "run_id string, field string, action string, value string, ord bigint"
 TRUTH = "run_id string, field string, value string"
 
 

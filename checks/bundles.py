@@ -133,8 +133,10 @@ LATERAL VIEW explode(array(1, 2)) a AS attempt)"""
 OVERRIDES = """
 SELECT run_id, CASE k % 4 WHEN 0 THEN 'dob' WHEN 1 THEN 'phone' WHEN 2 THEN 'full_name' ELSE 'address' END AS field,
   CASE k % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'override' ELSE 'missing' END AS action,
-  CASE WHEN k % 3 = 1 THEN CASE k % 4 WHEN 0 THEN concat('2/3/', yy) WHEN 1 THEN concat('613 555 ', d4) ELSE concat('New, ', nm) END END AS value
+  CASE WHEN k % 3 = 1 THEN CASE k % 4 WHEN 0 THEN concat('2/3/', yy) WHEN 1 THEN concat('613 555 ', d4) ELSE concat('New, ', nm) END END AS value, 1 AS ord
 FROM (@customers) c
+UNION ALL SELECT run_id, 'dob', 'missing', CAST(NULL AS VARCHAR(20)), 2 FROM (@customers) c WHERE k % 12 = 0
+UNION ALL SELECT run_id, 'phone', 'override', '1 613 555 0000', 0 FROM (@customers) c WHERE k % 8 = 1
 """
 
 TARGETS = "SELECT run_id, k % 2 = 0 AS fillable FROM (@customers) c WHERE k % 3 <> 0"

@@ -527,7 +527,7 @@ ORACLES = {
     "field_events": statement("SELECT run_id, 'field:' || field || ':heuristic' AS step, 'ok' AS status, '' AS error_kind FROM asked UNION ALL "
                               "SELECT a.run_id, 'field:' || a.field || ':llm', CASE WHEN s.status = 'invalid_json' THEN 'error' ELSE 'ok' END, CASE WHEN s.status = 'invalid_json' THEN 'LLMInvalidJSONError' ELSE '' END "
                               "FROM asked a LEFT JOIN settled s ON s.run_id = a.run_id AND s.field = a.field WHERE coalesce(a.best, -1) < 0.75", "asked", "settled"),
-    "sorted_candidates": statement("SELECT run_id, field, raw AS raw_value, norm AS normalized_value, doc_id, CAST(page AS BIGINT) AS page, flag AS validators FROM cands", "cands"),
+    "sorted_candidates": statement("SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY field, m, norm, t) AS place, field, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, norm AS normalized_value, doc_id FROM cands", "cands"),
     "excerpts": statement("SELECT run_id, field, excerpt_ord, doc_id, CAST(page AS BIGINT) AS page, text FROM (" + excerpts(90, 150, 2) + ")", "picked"),
     "document_excerpts": statement("SELECT run_id, field, excerpt_ord, doc_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM (" +
                                    excerpts(4000, 8000, 3).replace("picked", "picked_c") + ")", "picked_c"),
@@ -571,16 +571,20 @@ ORACLES = {
                     "'p ' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.html' AS filename, sha256(coalesce(html, '')) AS sha256 FROM pages)",
     "doc_relevance": statement("SELECT run_id, field, norm AS normalized_value, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, doc_id, round(CAST(relevance AS DOUBLE), 6) AS relevance FROM based", "based"),
     "validators": statement("SELECT run_id, field, norm AS normalized_value, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, round(CAST(valid AS DOUBLE), 6) AS validator FROM based", "based"),
-    "confidence": statement("SELECT run_id, field, norm AS normalized_value, CASE m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, doc_id, round(CAST(base AS DOUBLE), 6) AS base, round(CAST(bonus AS DOUBLE), 6) AS agreement, "
-                            "round(CAST(least(1, base + bonus) AS DOUBLE), 6) AS confidence FROM scored", "scored"),
+    "confidence": statement("SELECT s.run_id, s.field, s.norm AS normalized_value, CASE s.m WHEN 0 THEN 'heuristic' ELSE 'llm' END AS from_method, s.doc_id, round(CAST(s.base AS DOUBLE), 6) AS base, round(CAST(s.bonus AS DOUBLE), 6) AS agreement, "
+                            "CASE WHEN c.run_id IS NULL THEN 0.0 ELSE 0.3 END::DOUBLE AS penalty, round(CAST(least(1, s.base + s.bonus) AS DOUBLE), 6) AS confidence FROM scored s "
+                            "LEFT JOIN winners w ON s.ok AND w.run_id = s.run_id AND w.field = s.field AND w.m = s.m AND w.norm = s.norm AND w.t = s.t LEFT JOIN clashes c ON c.run_id = w.run_id AND c.field = w.field", "scored", "winners", "clashes"),
+    "final_unavailable": statement(f"SELECT run_id, field, status, CAST(CASE WHEN status = 'missing' AND {_K} % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS unavailable FROM final", "final"),
     "contradictions": statement("SELECT run_id, field FROM clashes", "clashes"),
     "final_fields": statement(f"SELECT {', '.join('f.' + c.strip() if ' ' not in c.strip() else c.strip() for c in ['run_id', 'field', 'status'])}, coalesce(f.value, '') AS value, coalesce(f.normalized_value, '') AS normalized_value, "
                               f"round(CAST(f.confidence AS DOUBLE), 6) AS confidence, {_RATIONALE} AS rationale FROM final f LEFT JOIN runners_up u ON u.run_id = f.run_id AND u.field = f.field", "final", "runners_up"),
     "overrides": statement(
-        "SELECT f.run_id, f.field, CASE WHEN o.action = 'missing' THEN 'missing' WHEN o.action = 'override' OR (o.action = 'confirm' AND f.status <> 'missing') THEN 'filled' ELSE f.status END AS status, "
+        "SELECT f.run_id, f.field, CASE WHEN o.action = 'missing' THEN 'missing/0/override' WHEN o.action = 'override' THEN 'filled/0/override' "
+        "ELSE CASE WHEN o.action = 'confirm' AND f.status <> 'missing' THEN 'filled' ELSE f.status END || CASE WHEN f.status = 'missing' THEN '/0' ELSE '/1' END END AS status, "
         "coalesce(CASE o.action WHEN 'override' THEN o.value WHEN 'missing' THEN '' ELSE f.value END, '') AS value, "
         f"coalesce(CASE o.action WHEN 'override' THEN {norm_for_field('f.field', 'o.value')} WHEN 'missing' THEN '' ELSE f.normalized_value END, '') AS normalized_value, "
-        "round(CAST(f.confidence AS DOUBLE), 6) AS confidence FROM final f LEFT JOIN overrides o ON o.run_id = f.run_id AND o.field = f.field", "final", "overrides"),
+        "round(CAST(CASE WHEN o.action IN ('override', 'missing') THEN 0 ELSE f.confidence END AS DOUBLE), 6) AS confidence FROM final f "
+        "LEFT JOIN (SELECT * FROM overrides QUALIFY row_number() OVER (PARTITION BY run_id, field ORDER BY ord DESC) = 1) o ON o.run_id = f.run_id AND o.field = f.field", "final", "overrides"),
     "bundle_job": statement(f"SELECT {_FINAL} FROM final_s", "final_s"),
     "population_report": statement("SELECT f.run_id, f.field, f.status, coalesce(f.value, '') AS value, CAST(CASE WHEN coalesce(t.fillable, false) THEN 0 ELSE 1 END AS BIGINT) AS population_skipped, "
                                    "CASE WHEN t.fillable IS NULL THEN 'no_target' WHEN NOT t.fillable THEN 'target_not_fillable' ELSE '' END AS reason FROM final f LEFT JOIN targets t ON t.run_id = f.run_id", "final", "targets"),

@@ -80,7 +80,7 @@ class Bundles:
 
     @cached_property
     def fields(self) -> DataFrame:
-        return C.routed_fields(self.schema_fields, self.routing, self.pages)
+        return C.routed_fields(self.schema_fields, self.routing, self.doc_index)
 
     @cached_property
     def heuristics(self) -> DataFrame:
@@ -254,7 +254,8 @@ def field_events(spark, sf):
 
 def sorted_candidates(spark, sf):
     b = Bundles(spark, sf, stored=True)
-    return flat(C.sort_candidates(b.candidates)).drop("quoted_text", "anchor_match")
+    placed = C.sort_candidates(b.candidates)
+    return placed.select("run_id", long("place").alias("place"), "field", "from_method", "normalized_value", F.get("evidence", F.lit(0))["doc_id"].alias("doc_id"))
 
 
 def excerpts(spark, sf):
@@ -443,7 +444,7 @@ def validators(spark, sf):
 def confidence(spark, sf):
     return Bundles(spark, sf, stored=True).scored.select(
         "run_id", "field", "normalized_value", "from_method", "doc_id", six("base").alias("base"),
-        six("scores.cross_doc_agreement").alias("agreement"), six("confidence").alias("confidence"))
+        six("scores.cross_doc_agreement").alias("agreement"), six("scores.contradiction_penalty").alias("penalty"), six("confidence").alias("confidence"))
 
 
 def contradictions(spark, sf):
@@ -465,7 +466,17 @@ def final_fields(spark, sf):
 
 def overrides(spark, sf):
     b = Bundles(spark, sf, stored=True)
-    return _final_columns(P.apply_overrides(b.final, b.rendered("overrides"))).drop("rationale")
+    done = P.apply_overrides(b.final, b.rendered("overrides"))
+    return _final_columns(done.withColumn("status", F.concat_ws("/", "status", F.size("evidence").cast("string"), F.when(F.array_contains("rationale", "override"), "override")))).drop("rationale")
+
+
+def final_unavailable(spark, sf):
+    """Final fields where the model failed for every field of every second bundle."""
+    b = Bundles(spark, sf, stored=True)
+    down = b.schema_fields.filter(F.substring("run_id", 5, 9).cast("int") % 2 == 0).select(
+        "run_id", F.col("key").alias("field"), F.lit("down").alias("message"), F.lit("llm_unavailable").alias("kind"))
+    final = L.select_final(b.schema_fields, b.scored, b.routing, b.doc_index, down)
+    return final.select("run_id", "field", "status", long(F.array_contains("rationale", "llm_unavailable").cast("int")).alias("unavailable"))
 
 
 def population_report(spark, sf):
@@ -561,6 +572,6 @@ QUERIES = {f.__name__: f for f in [
     phone_in_documents, evidence_check, model_gate, field_stats, field_events, sorted_candidates, excerpts, document_excerpts, prompts,
     parse_responses, retry_responses, response_candidates, model_job, schema_user, schema_forms, schema_resolved, schema_warnings,
     ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job, page_text_hashes, new_files, stored_listing, file_uploads,
-    doc_relevance, validators, confidence, contradictions, final_fields, overrides, population_report, eval_metrics, final_map,
+    doc_relevance, validators, confidence, contradictions, final_fields, final_unavailable, overrides, population_report, eval_metrics, final_map,
     violations, json_violations, artifact_faults, step_status, artifact_roundtrip, bundle_job,
 ]}

@@ -260,7 +260,8 @@ def test_gate_stats_and_order(spark):
     pages = pages_of(spark, docs)
     fields = fields_of(spark, "r", "full_name", "dob", "phone")
     routing = spark.createDataFrame([("r", "full_name", 1, "d2", 1.0), ("r", "full_name", 2, "d1", 0.5), ("r", "dob", 1, "d1", 1.0)], ROUTING_ROWS)
-    routed = C.routed_fields(fields, routing, pages)
+    index = index_of(spark, docs)
+    routed = C.routed_fields(fields, routing, index)
     found = G.check_evidence(E.heuristic_candidates(routing, pages))
     gate = C.model_gate(routed, found)
     assert {(r.field, r.best_confidence, r.call_model) for r in gate.collect()} == {("full_name", 0.45, True), ("dob", None, True)}
@@ -268,9 +269,9 @@ def test_gate_stats_and_order(spark):
     assert {(r.field, r.call_model) for r in low.collect()} == {("full_name", False), ("dob", True)}
     stats = {r.field: (r.heuristic_count, r.llm_used, r.accepted_count, r.rejected_count) for r in C.field_stats(routed, gate, found).collect()}
     assert stats == {"full_name": (3, True, 3, 0), "dob": (1, True, 0, 1), "phone": (0, False, 0, 0)}
-    order = [(r.field, r.normalized_value, r.evidence[0].doc_id) for r in C.sort_candidates(found).collect()]
+    order = [(r.field, r.normalized_value, r.evidence[0].doc_id) for r in sorted(C.sort_candidates(found).collect(), key=lambda r: r.place)]
     assert order == [("dob", "1980-05-05", "d1"), ("full_name", "amy poe", "d2"), ("full_name", "zed moe", "d2"), ("full_name", "zed moe", "d1")]
-    assert C.routed_fields(fields, routing, pages, RunOptions(max_fields=1)).count() == 1
+    assert C.routed_fields(fields, routing, index, RunOptions(max_fields=1)).count() == 1
 
 
 def test_own_extractor(spark):

@@ -240,6 +240,7 @@ def test_contradiction_agreement_and_alternatives(spark):
     assert (dob.status, dob.normalized_value, round(dob.confidence, 6)) == ("needs_review", "1990-01-01", 0.7)
     assert [a.normalized_value for a in dob.alternatives] == ["1970-01-01", "1980-01-01"] or [a.normalized_value for a in dob.alternatives] == ["1980-01-01", "1970-01-01"]
     assert (name.status, name.confidence, name.evidence[0].doc_id) == ("filled", 1.0, "d2")
+    assert dob.contradiction and not name.contradiction
     assert name.rationale == ["literal_anchor", "validator_passed", "best_doc_relevance", "cross_doc_agreement"]
     assert [(a.normalized_value, a.rejected_reasons) for a in name.alternatives] == [("jane doe", []), ("12", ["unsupported_by_evidence"])]
     assert (got["phone"].status, got["phone"].value, got["phone"].confidence, got["phone"].rationale) == ("missing", None, 0.0, [])
@@ -265,8 +266,12 @@ def test_overrides_population_and_metrics(spark):
     final = final_of(spark, candidates(spark, ("dob", "1990-01-01", "d1", "heuristic", 1.0, True), ("full_name", "jane", "d1", "heuristic", 0.0, True)),
                      [("r", "dob", 1, "d1", 1.0)], ["full_name", "dob", "phone", "address"])
     table = spark.createDataFrame(list(final.values()), f"run_id string, {FINAL_FIELD[7:-1].replace('field:', 'field: ', 1)}, contradiction boolean")
-    rows = spark.createDataFrame([("r", "dob", "override", "2/3/1991"), ("r", "full_name", "confirm", None), ("r", "phone", "confirm", None)], OVERRIDES)
-    got = {r.field: (r.status, r.normalized_value) for r in P.apply_overrides(table, rows).collect()}
+    rows = spark.createDataFrame([("r", "dob", "missing", None, 1), ("r", "dob", "override", "2/3/1991", 2), ("r", "full_name", "confirm", None, 1), ("r", "phone", "confirm", None, 1)], OVERRIDES)
+    done = {r.field: r for r in P.apply_overrides(table, rows).collect()}
+    assert len(done) == 4 and (done["dob"].evidence, done["dob"].confidence, done["dob"].rationale) == ([], 0.0, ["override"]) and len(done["full_name"].evidence) == 1
+    after = [r for r in P.eval_metrics(P.apply_overrides(table, rows), spark.createDataFrame([("r", "dob", "2/3/1991")], TRUTH)).collect() if r.overall][0]
+    assert (after.exact_match, after.hallucination_rate, after.evidence_coverage) == (1.0, 0.0, 1.0)
+    got = {r.field: (r.status, r.normalized_value) for r in done.values()}
     assert got == {"dob": ("filled", "1991-02-03"), "full_name": ("filled", "jane"), "phone": ("missing", None), "address": ("missing", None)}
     report = P.population_report(table, spark.createDataFrame([("r", False)], "run_id string, fillable boolean")).collect()
     assert {(r.population_skipped, r.reason) for r in report} == {(True, "target_not_fillable")}
