@@ -43,43 +43,73 @@ def _span(pages: int | None) -> Column:
     return (F.floor((F.col("page") - 1) / pages) if pages else F.lit(0)).alias("span")
 
 
+# Every word a fixed query has, each with a bit of its own in a page's bitmap.
+VOCABULARY = sorted({token for tokens in QUERY_TOKENS.values() for token in tokens})
+_KNOWN = rf"(?<![a-z0-9])(?:{'|'.join(VOCABULARY)})(?![a-z0-9])"
+
+
+def bitmap(words: Column) -> Column:
+    """The words of the vocabulary among ``words``, as bits; others have none."""
+    powers = F.create_map(*[F.lit(x) for i, w in enumerate(VOCABULARY) for x in (w, 1 << i)])
+    bit = lambda w: F.coalesce(powers[w].cast("bigint"), F.lit(0).cast("bigint"))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(bit(w)))
+
+
+def _bits(text: Column) -> Column:
+    return bitmap(F.regexp_extract_all(text, F.lit(_KNOWN), F.lit(0)))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]{2,}"), F.lit(0)))
+
+
 def _cut(text: Column) -> tuple[Column, Column]:
-    """Words that surely end inside a piece of text, and its edges: what may go on in a neighbour."""
+    """The part of a text whose words surely end in it, and its edges: what may go on in a neighbour."""
     head = F.regexp_extract(text, "^[a-z0-9]+", 0)
     tail = F.reverse(F.regexp_extract(F.reverse(text), "^[a-z0-9]+", 0))
     unbroken = F.length(head) == F.length(text)
     inside = F.substring(text, F.length(head) + 1, F.length(text) - F.length(head) - F.length(tail))
-    return _words(F.when(unbroken, "").otherwise(inside)), F.when(unbroken, text).otherwise(F.concat(head, F.lit(" "), tail))
+    return F.when(unbroken, "").otherwise(inside), F.when(unbroken, text).otherwise(F.concat(head, F.lit(" "), tail))
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]{2,}"), F.lit(0)))
+_GLUED = ["page", "page_ord", "edge"]
+
+
+def _glue() -> list[Column]:
+    """What a span of pages keeps of their edges, in order."""
+    glued = F.array_join(F.sort_array(F.collect_list(F.struct(*_GLUED)))["edge"], "")
+    return [F.min("page").alias("page"), F.min("page_ord").alias("page_ord"), glued.alias("text")]
+
+
+def _vocabulary_in(texts: DataFrame) -> DataFrame:
+    """Documents with a bitmap of the vocabulary words anywhere in their whole text.
 
+    Pages join without a separator, so a word may run over from page to page. A page gives
+    one number and its edges; numbers are merged by bitwise or, in each task first, and edges
+    are put together span by span, which bounds each group.
+    """
+    inner, edge = _cut(F.col("text"))
+    parts = texts.withColumn("bits", F.lit(0).cast("bigint"))
+    for span in (PAGE_SPAN, PAGE_SPAN**2, None):
+        parts = (parts.select(*DOC, "page", "page_ord", F.col("bits").bitwiseOR(_bits(inner)).alias("bits"), edge.alias("edge"))
+                 .groupBy(*DOC, _span(span)).agg(*_glue(), F.bit_or("bits").alias("bits")))
+    return parts.select(*DOC, F.col("bits").bitwiseOR(_bits(F.col("text"))).alias("bits"))
 
-def _asked(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """Documents with the asked words found anywhere in their whole text.
 
-    Pages join without a separator, so a word may run over from page to page. Words
-    inside a page are taken where the page is read; only they and the page's edges
-    are shuffled. Edges are put together span by span, which bounds each group.
+def _others_in(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Documents with the further words their bundle asks for, found anywhere in their whole text.
+
+    ``asked`` is (run_id, others). Such words come from labels only. Words of a page are cut down to
+    those of its bundle as soon as both meet, so later groups gather no others.
     """
-    low = F.lower(F.coalesce("full_text", F.lit("")))
     inner, edge = _cut(F.col("text"))
-    both = lambda words, more: F.array_distinct(F.concat(words, more))
-    glued = F.array_join(F.sort_array(F.collect_list(F.struct("page", "page_ord", "edge")))["edge"], "")
-
-    place = [F.min("page").alias("page"), F.min("page_ord").alias("page_ord"), glued.alias("text"),
-             F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")]
-    first = (pages.withColumn("text", low).select(*DOC, "page", "page_ord", inner.alias("words"), edge.alias("edge"))
-             .groupBy(*DOC, _span(PAGE_SPAN)).agg(*place))
-    parts = wanted.join(first, DOC).withColumn("asked", F.array_distinct(F.flatten(F.col("queries")["tokens"])))
-    # From here on a row has no other words than the asked ones.
-    narrow = [*DOC, "asked", "page", "page_ord", F.array_intersect("asked", both(F.col("words"), inner)).alias("words"),
-              edge.alias("edge")]
-    second = parts.select(*narrow).groupBy(*DOC, _span(PAGE_SPAN**2)).agg(F.first("asked").alias("asked"), *place)
-    last = second.select(*narrow).groupBy(*DOC).agg(F.first("asked").alias("asked"), *place)
-    found = last.select(*DOC, F.array_intersect("asked", both(F.col("words"), _words(F.col("text")))).alias("words"))
-    return wanted.join(found, DOC, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    parts = (texts.select(*DOC, "page", "page_ord", _words(inner).alias("words"), edge.alias("edge")).join(asked, "run_id")
+             .withColumn("words", F.array_intersect("others", "words")))
+    for i, span in enumerate((PAGE_SPAN, PAGE_SPAN**2, None)):
+        if i:
+            parts = parts.select(*DOC, "others", "page", "page_ord", F.array_intersect("others", F.concat("words", _words(inner))).alias("words"), edge.alias("edge"))
+        parts = parts.groupBy(*DOC, _span(span)).agg(*_glue(), F.first("others").alias("others"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    return parts.select(*DOC, F.array_intersect("others", F.concat("words", _words(F.col("text")))).alias("words"))
 
 
 def score_docs(schema_fields: DataFrame, doc_index: DataFrame, pages: DataFrame,
@@ -89,18 +119,27 @@ def score_docs(schema_fields: DataFrame, doc_index: DataFrame, pages: DataFrame,
     The fields of a bundle travel as one short array and meet the document index.
     Whole texts are scored unless ``routing_chars`` asks for a prefix.
     """
-    queries = schema_fields.groupBy("run_id").agg(F.collect_list(
-        F.struct("key", query_tokens(F.col("key"), F.col("label")).alias("tokens"))).alias("queries"))
+    tokens = query_tokens(F.col("key"), F.col("label"))
+    others = lambda t: F.array_except(t, literal_words(VOCABULARY))
+    queries = schema_fields.select("run_id", "key", tokens.alias("tokens")).groupBy("run_id").agg(F.collect_list(F.struct(
+        "key", F.size("tokens").alias("size"), bitmap(F.col("tokens")).alias("bits"), others(F.col("tokens")).alias("others"))).alias("queries"))
+    asked = F.array_distinct(F.flatten(F.col("queries")["others"]))
     wanted = doc_index.filter(is_readable()).select(*DOC).join(queries, "run_id")
     if options.routing_chars is None:
-        texts = _asked(wanted, pages)
+        texts = pages.select(*DOC, "page", "page_ord", F.lower(F.coalesce("full_text", F.lit(""))).alias("text"))
+    else:
+        texts = doc_text(pages, options.routing_chars).select(*DOC, F.lit(1).alias("page"), F.lit(0).alias("page_ord"), F.lower("text").alias("text"))
+    found = wanted.join(_vocabulary_in(texts), DOC, "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("bigint")))
+    # Only labels bring words beyond the vocabulary; without one, no page word is asked for or moved.
+    if schema_fields.filter("label <> ''").isEmpty():
+        found = found.withColumn("words", F.array().cast("array<string>"))
     else:
-        texts = wanted.join(doc_text(pages, options.routing_chars), DOC, "left").withColumn(
-            "words", _words(F.lower(F.coalesce("text", F.lit("")))))
+        labelled = queries.select("run_id", asked.alias("others")).filter(F.size("others") > 0)
+        found = found.join(_others_in(texts, labelled), DOC, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
-    share = lambda q: F.struct(q["key"].alias("field"), F.when(F.size(q["tokens"]) == 0, F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(q["tokens"], F.col("words"))) / F.size(q["tokens"])).alias("score"))
-    return texts.select(*DOC, F.inline(F.transform("queries", share)))
+    hits = lambda q: F.bit_count(q["bits"].bitwiseAND(F.col("bits"))) + F.size(F.array_intersect(q["others"], F.col("words")))
+    share = lambda q: F.struct(q["key"].alias("field"), F.when(q["size"] == 0, F.lit(0.0)).otherwise(hits(q) / q["size"]).alias("score"))
+    return found.select(*DOC, F.inline(F.transform("queries", share)))
 
 
 def route(schema_fields: DataFrame, doc_index: DataFrame, pages: DataFrame,

@@ -213,6 +213,15 @@ def test_whole_texts_are_scored_over_page_edges(spark, monkeypatch):
     assert got == pytest.approx(want) and got["end"] > 0
 
 
+def test_no_page_words_are_shuffled_without_labels(spark):
+    docs = {("r", "d"): ["Phone 1 ", "mobile"], ("r", "e"): ["street address"]}
+    scores = R.score_docs(fields_of(spark, "r", "phone", "address"), index_of(spark, docs), pages_of(spark, docs))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect(others" not in plan and "bit_or" in plan and "words" not in [c for line in plan.split("\n") if "Exchange" in line for c in line.split()]
+    assert {(r.doc_id, r.field): round(r.score, 3) for r in scores.collect()} == {("d", "phone"): 0.667, ("d", "address"): 0.0, ("e", "phone"): 0.0, ("e", "address"): 1.0}
+    assert len(R.VOCABULARY) < 63
+
+
 def test_odd_month_digits_do_not_end_the_job(spark):
     row = spark.createDataFrame([("2001-0\u0662-03", [("d", 1, "on 2001-02-03")])], "v string, e array<struct<doc_id:string,page:int,quoted_text:string>>")
     assert row.select(G.supports_date(F.col("v"), F.col("e")).alias("s")).first().s is False
