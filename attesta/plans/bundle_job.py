@@ -17,18 +17,23 @@ from attesta.operators import inference as N
 from attesta.operators import routing as R
 from attesta.operators import schema_resolve as S
 from attesta.operators import scoring as L
+from attesta.operators import steps as O
 from attesta.settings import RunOptions, shared_folder, written
 
 
 @dataclass(frozen=True)
 class Extracted:
-    """The tables a job leaves behind."""
+    """The tables a job leaves behind: its results, and what it has to say about them."""
 
     schemas: DataFrame
     routing: DataFrame
-    candidates: DataFrame
+    candidates: DataFrame  # with their scores
     stats: DataFrame
     final: DataFrame
+    warnings: DataFrame  # of schema resolution
+    errors: DataFrame  # of model calls, by field
+    events: DataFrame  # of fields: heuristic, model
+    steps: DataFrame  # rows in and out by step
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
@@ -68,5 +73,10 @@ def extract_fields(runs: DataFrame, doc_index: DataFrame, pages: DataFrame, user
         G.check_evidence(N.response_candidates(settled)))
     scored = written(L.score_candidates(found, routing, as_of), "scored", folder)
     errors = None if settled is None else N.model_errors(settled)
-    final = L.select_final(fields, scored, routing, doc_index, errors, options)
-    return Extracted(schemas, routing, found, C.field_stats(routed, gate, found), final)
+    final = written(L.select_final(fields, scored, routing, doc_index, errors, options), "final", folder)
+    stats = C.field_stats(routed, gate, scored)
+    events = C.field_events(stats.join(routed.select("run_id", "field", "routed"), ["run_id", "field"]), errors)
+    steps = O.step_status(runs, doc_index=doc_index, pages=pages, schema_fields=fields, routing=routing, candidates=scored, final=final)
+    none = runs.sparkSession.createDataFrame([], "run_id string, field string, message string, kind string")
+    return Extracted(schemas, routing, scored, stats, final, S.schema_warnings(user_schemas, form_fields),
+                     none if errors is None else errors, events, steps)

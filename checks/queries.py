@@ -539,8 +539,10 @@ def artifact_faults(spark, sf):
 
 def step_status(spark, sf):
     b = Bundles(spark, sf, stored=True)
-    return O.step_status(b.runs, b.extractions.select("run_id"), b.doc_index, b.pages, b.schema_fields, b.routing,
-                         b.candidates, b.final)
+    root, final = J.fresh_folder(b.spark, "steps"), b.keep(b.final, "final")
+    store.write_artifact(L.final_map(b.schemas, final), "final", root)
+    return O.step_status(b.runs, uploads=b.extractions.select("run_id"), doc_index=b.doc_index, pages=b.pages, schema_fields=b.schema_fields,
+                         routing=b.routing, candidates=b.candidates, final=final, stored=store.read_artifact(b.spark, "final", root))
 
 
 def artifact_roundtrip(spark, sf):
@@ -565,6 +567,18 @@ def bundle_job(spark, sf):
     return _final_columns(out.final).drop("rationale")
 
 
+def job_reports(spark, sf):
+    """What that job says about itself: its steps, field events and warnings, counted per bundle."""
+    b = Bundles(spark, sf, stored=True)
+    out = J.extract_fields(b.runs, b.doc_index, b.pages, B.user_schemas(spark, sf), b.rendered("form_fields"),
+                           responses=b.rendered("responses"), as_of=AS_OF)
+    rows = lambda df, kind: df.select("run_id", kind.alias("kind"))
+    said = (rows(out.warnings, F.col("kind")).unionByName(rows(out.errors, F.col("kind")))
+            .unionByName(rows(out.events, F.concat(F.lit("event_"), F.col("status")))))
+    counts = said.groupBy("run_id", "kind").agg(F.count("*").alias("n"))
+    return counts.unionByName(out.steps.select("run_id", F.concat_ws("/", "step", "status").alias("kind"), F.col("rows_out").alias("n")))
+
+
 QUERIES = {f.__name__: f for f in [
     tokenize_docs, normalize_text, normalize_date, normalize_phone, score_docs, route_topk, route_documents, route_nested,
     route_labelled, readable_status,
@@ -573,5 +587,5 @@ QUERIES = {f.__name__: f for f in [
     parse_responses, retry_responses, response_candidates, model_job, schema_user, schema_forms, schema_resolved, schema_warnings,
     ingest_index, rejected_uploads, stored_files, doc_index, page_table, nested_layout, page_extract_job, page_text_hashes, new_files, stored_listing, file_uploads,
     doc_relevance, validators, confidence, contradictions, final_fields, final_unavailable, overrides, population_report, eval_metrics, final_map,
-    violations, json_violations, artifact_faults, step_status, artifact_roundtrip, bundle_job,
+    violations, json_violations, artifact_faults, step_status, artifact_roundtrip, bundle_job, job_reports,
 ]}

@@ -443,7 +443,7 @@ def test_uploads_in_nested_folders(spark, tmp_path):
         store.read_uploads(spark, "bundles")
 
 
-def test_whole_job_with_a_model(spark):
+def test_whole_job_with_a_model(spark, tmp_path):
     pages = spark.createDataFrame([("r", "d1", 1, 0, "Patient Name: Jane Doe\nDOB: 1990-05-15\nreach her on 555-123-4567"),
                                    ("r", "d2", 1, 0, "Name: Jane Doe")], PAGES)
     index = spark.createDataFrame([("r", d, "f", "application/pdf", 1, True, None, "0") for d in ("d1", "d2")], DOC_INDEX)
@@ -460,3 +460,8 @@ def test_whole_job_with_a_model(spark):
     assert final["address"] == ("missing", None)
     stats = {r.field: (r.heuristic_count, r.rejected_count) for r in out.stats.collect()}
     assert stats["full_name"] == (2, 0) and stats["address"] == (0, 1)
+    steps = {r.step: (r.status, r.rows_in, r.rows_out) for r in out.steps.collect()}
+    assert steps == {"resolve_schema": ("ok", 1, 7), "extract_text": ("ok", 2, 2), "route_docs": ("ok", 2, 14), "extract_candidates": ("ok", 14, 5), "score_select": ("ok", 5, 7)}
+    assert out.events.count() == 14 and out.warnings.count() == out.errors.count() == 0
+    assert {"base", "confidence"} <= set(out.candidates.columns)
+    assert store.write_artifact(out.candidates, "candidates", str(tmp_path))
