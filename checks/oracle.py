@@ -503,6 +503,21 @@ def _steps() -> str:
 
 RELATIONS["run_fields"] = ("SELECT run_id, key FROM runs CROSS JOIN fields", ["runs", "fields"])
 
+_WARNED = ("SELECT run_id, 'user_schema_invalid' AS kind, message FROM schema_checks WHERE message IS NOT NULL UNION ALL "
+           "SELECT h.run_id, 'acroform_ambiguous_field', 'Field ''' || h.field_name || ''' matches multiple keys: [' || list_aggregate([chr(39) || x || chr(39) for x in h.keys], 'string_agg', ', ') || ']' "
+           "FROM form_hits h LEFT JOIN form_first x ON x.run_id = h.run_id WHERE len(h.keys) > 1 AND h.run_id NOT IN (SELECT run_id FROM schema_checks WHERE message IS NULL) AND (x.low IS NULL OR lower(h.file_name) <= x.low)")
+
+
+def _job_reports() -> str:
+    bad = "FROM asked_s a JOIN settled s ON s.run_id = a.run_id AND s.field = a.field WHERE s.status = 'invalid_json'"
+    said = (f"SELECT run_id, kind FROM ({_WARNED}) UNION ALL SELECT a.run_id, 'llm_invalid_json' {bad} UNION ALL SELECT a.run_id, 'event_error' {bad} UNION ALL "
+            "SELECT run_id, 'event_ok' FROM asked_s UNION ALL SELECT run_id, 'event_ok' FROM asked_s a WHERE NOT EXISTS (SELECT 1 FROM settled s WHERE s.run_id = a.run_id AND s.field = a.field AND s.status = 'invalid_json')")
+    outs = {"resolve_schema": "asked_keys", "extract_text": "page_rows", "route_docs": "routing_s", "extract_candidates": "cands_s", "score_select": "asked_keys"}
+    steps = [f"SELECT r.run_id, '{step}/' || " + ("CASE WHEN r.run_id IN (SELECT run_id FROM readable) THEN 'ok' ELSE 'warn' END" if step == "route_docs" else "'ok'") +
+             f" AS kind, (SELECT count(*) FROM {rel} x WHERE x.run_id = r.run_id) AS n FROM runs r" for step, rel in outs.items()]
+    return f"SELECT run_id, kind, count(*) AS n FROM ({said}) GROUP BY ALL UNION ALL " + " UNION ALL ".join(steps)
+
+
 ORACLES = {
     "tokenize_docs": "SELECT doc_id, count(DISTINCT w) AS token_count, md5(coalesce(string_agg(DISTINCT w, ' ' ORDER BY w), '')) AS tokens_md5 FROM "
                      "(SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE ws END) AS w FROM (SELECT doc_id, [x for x in regexp_extract_all(lower(text), '[a-z0-9]+') if length(x) >= 2] AS ws FROM documents)) GROUP BY doc_id",
@@ -549,10 +564,7 @@ ORACLES = {
                                  "coalesce(CASE WHEN c.run_id IS NOT NULL THEN u.unknown END, '') AS unsupported FROM runs r LEFT JOIN (SELECT run_id FROM schema_checks WHERE message IS NULL) c ON c.run_id = r.run_id "
                                  "LEFT JOIN user_lists l ON l.run_id = r.run_id LEFT JOIN user_unknown u ON u.run_id = r.run_id LEFT JOIN form_lists f ON f.run_id = r.run_id",
                                  "runs", "fields", "schema_checks", "user_lists", "user_unknown", "form_lists"),
-    "schema_warnings": statement("SELECT run_id, 'user_schema_invalid' AS kind, message FROM schema_checks WHERE message IS NOT NULL UNION ALL "
-                                 "SELECT h.run_id, 'acroform_ambiguous_field', 'Field ''' || h.field_name || ''' matches multiple keys: [' || list_aggregate([chr(39) || x || chr(39) for x in h.keys], 'string_agg', ', ') || ']' "
-                                 "FROM form_hits h LEFT JOIN form_first x ON x.run_id = h.run_id WHERE len(h.keys) > 1 AND h.run_id NOT IN (SELECT run_id FROM schema_checks WHERE message IS NULL) AND (x.low IS NULL OR lower(h.file_name) <= x.low)",
-                                 "schema_checks", "form_hits", "form_first"),
+    "schema_warnings": statement(_WARNED, "schema_checks", "form_hits", "form_first"),
     "ingest_index": statement("SELECT run_id, doc_id, filename, mime AS mime_type, sha256(body) AS sha256 FROM indexed", "indexed"),
     "rejected_uploads": statement("SELECT run_id, CAST(upload_ord AS BIGINT) AS upload_ord, 'invalid_filename' AS reason FROM named WHERE safe IS NULL", "named"),
     "stored_files": statement("SELECT run_id, safe AS safe_name, CAST(stored_ord AS BIGINT) AS stored_ord, sha256(body) AS sha256 FROM stored", "stored"),
@@ -586,6 +598,7 @@ ORACLES = {
         "round(CAST(CASE WHEN o.action IN ('override', 'missing') THEN 0 ELSE f.confidence END AS DOUBLE), 6) AS confidence FROM final f "
         "LEFT JOIN (SELECT * FROM overrides QUALIFY row_number() OVER (PARTITION BY run_id, field ORDER BY ord DESC) = 1) o ON o.run_id = f.run_id AND o.field = f.field", "final", "overrides"),
     "bundle_job": statement(f"SELECT {_FINAL} FROM final_s", "final_s"),
+    "job_reports": statement(_job_reports(), "runs", "schema_checks", "form_hits", "form_first", "asked_s", "settled", "asked_keys", "page_rows", "routing_s", "cands_s", "readable"),
     "population_report": statement("SELECT f.run_id, f.field, f.status, coalesce(f.value, '') AS value, CAST(CASE WHEN coalesce(t.fillable, false) THEN 0 ELSE 1 END AS BIGINT) AS population_skipped, "
                                    "CASE WHEN t.fillable IS NULL THEN 'no_target' WHEN NOT t.fillable THEN 'target_not_fillable' ELSE '' END AS reason FROM final f LEFT JOIN targets t ON t.run_id = f.run_id", "final", "targets"),
     "eval_metrics": statement(_METRICS.format(who="run_id", group="GROUP BY run_id") + " UNION ALL " + _METRICS.format(who="'overall'", group=""), "judged"),
