@@ -396,6 +396,7 @@ RELATIONS["routed_c"] = (f"SELECT r.run_id, r.field, r.doc_rank, r.doc_id, 1 AS
 for _name, _needs in {"page_marks": ["routed_c", "alias"], "picked": ["page_marks_c"]}.items():
     RELATIONS[f"{_name}_c"] = (re.sub(r"\b(routed|page_marks|picked)\b", r"\1_c", RELATIONS[_name][0]), _needs)
 
+# What a prompt says about each type.
 HINTS = {"full_name": "Return the value as a string.", "dob": "Return the date in YYYY-MM-DD format.",
          "phone": "Return the phone number with digits only (include country code if present).",
          "address": "Return the value as a string.", "insurance_member_id": "Return the value as a string.",

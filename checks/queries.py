@@ -31,7 +31,6 @@ from checks import bundles as B
 AS_OF = datetime.date(2025, 1, 1)
 # Budgets small enough to bind on the rendered pages.
 TIGHT = RunOptions(excerpt_total_chars=150, excerpt_doc_chars=90, excerpt_doc_pages=2)
-MODEL_FIELDS = ["full_name", "dob", "phone", "allergies"]
 
 
 class Bundles:
