@@ -3,9 +3,11 @@
 A file holds a run of documents in ascending doc_id order. Its ids are replaced by
 their rank among the file's own ids (most frequent first), so a file explains itself:
 
-    magic "AVB1", then little-endian u32: distinct ids k, documents d, tokens n, data bytes b
+    magic "AVB2", then little-endian u32: distinct ids k, documents d, tokens n, data bytes b
     k x u32   ids by rank
     d x u32   tokens of each document
+    d x i64   doc_id of each document, 0 where it is null
+    d x u8    1 where the doc_id is null
     ceil(n/4) control bytes: two bits a token, its number of data bytes less one
     b         data bytes, little-endian, one to four a token
 
@@ -36,12 +38,12 @@ from pyspark.sql import functions as F
 from attesta.llm.common import table
 from attesta.settings import shared_folder, written
 
-MAGIC, END_ID, BLOCK = b"AVB1", 2, 4_000_000
+MAGIC, HEAD, END_ID, BLOCK = b"AVB2", 20, 2, 4_000_000
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
-def encode(ids: np.ndarray, counts: np.ndarray) -> bytes:
-    """One file: all ids of its documents, and how many each document has."""
+def encode(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None]) -> bytes:
+    """One file: all ids of its documents, how many each document has, and its doc_id."""
     often = np.bincount(ids)
     found = np.flatnonzero(often)
     order = np.argsort(-often[found], kind="stable")
@@ -56,26 +58,34 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> bytes:
     raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4) < size[:, None]]
     head = np.array([len(found), len(counts), len(values), len(data)], "<u4")
-    return MAGIC + head.tobytes() + found[order].astype("<u4").tobytes() + counts.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
+    named = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
+    return MAGIC + head.tobytes() + found[order].astype("<u4").tobytes() + counts.astype("<u4").tobytes() + named + control.tobytes() + data.tobytes()
 
 
-def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the documents' counts of one file."""
+def lengths(blob: bytes) -> list[int]:
+    """Distinct ids, documents, tokens and data bytes, from the first HEAD bytes of a file."""
     if blob[:4] != MAGIC:
         raise ValueError("not a token file")
-    k, d, n, b = np.frombuffer(blob, "<u4", 4, 4)
-    ids, at = np.frombuffer(blob, "<u4", k, 20), 20 + 4 * int(k)
-    counts, at = np.frombuffer(blob, "<u4", d, at), at + 4 * int(d)
-    control, at = np.frombuffer(blob, np.uint8, (int(n) + 3) // 4, at), at + (int(n) + 3) // 4
+    return np.frombuffer(blob, "<u4", 4, 4).tolist()
+
+
+def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ids, the documents' counts and their doc_ids of one file."""
+    k, d, n, b = lengths(blob)
+    ids, at = np.frombuffer(blob, "<u4", k, HEAD), HEAD + 4 * k
+    counts, at = np.frombuffer(blob, "<u4", d, at), at + 4 * d
+    named, at = np.frombuffer(blob, "<i8", d, at), at + 8 * d
+    doc_ids, at = pa.array(named, pa.int64(), mask=np.frombuffer(blob, np.bool_, d, at)), at + d
+    control, at = np.frombuffer(blob, np.uint8, (n + 3) // 4, at), at + (n + 3) // 4
     data = np.frombuffer(blob, np.uint8, b, at)
-    size = LENGTHS[control].reshape(-1)[: int(n)].astype(np.int64)
+    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
     start = np.cumsum(size) - size
-    values = np.zeros(int(n), np.uint32)
+    values = np.zeros(n, np.uint32)
     values |= data[start]
     for byte in range(1, int(size.max(initial=0))):
         has = np.flatnonzero(size > byte)
         values[has] |= data[start[has] + byte].astype(np.uint32) << (8 * byte)
-    return ids[values] if n else np.zeros(0, np.uint32), counts
+    return ids[values] if n else np.zeros(0, np.uint32), counts, doc_ids
 
 
 def _fs(path: str):
@@ -98,6 +108,8 @@ class Pieces:
 
     OTHER, ODD = r"[^\S \n]", r"\s{2}|^[^\S ]|\s$"
     NONE = {"": None, " ": None}
+    # It also parts a letter from these, so a new piece that ends in them is a known stem and a known tail more often than not.
+    TAIL = ".,;:!?%&#*$|<>()\""
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,8 +118,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes | None] = dict(self.NONE)
         self.most, self.other, self.odd = most, re.compile(self.OTHER), re.compile(self.ODD)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, new: list[str]) -> None:
         """Ids of new pieces, as bytes; None for those that show that their text must stay whole."""
@@ -115,9 +126,18 @@ class Pieces:
             odd = {p for p in new if p != "\n" and self.odd.search(p)}
             self.known.update(dict.fromkeys(odd))
             new = [p for p in new if p not in odd]
+        ends = {}
+        for p in new:
+            stem = p.rstrip(self.TAIL)
+            if len(stem) < len(p) and stem[-1:].isalpha():
+                ends[p] = stem, p[len(stem):]
+        if ends:
+            new = list({p for p in new if p not in ends}.union(*ends.values()).difference(self.known))
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        of = self.known.__getitem__
+        self.known.update([(p, of(stem) + of(tail)) for p, (stem, tail) in ends.items()])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id. The many short-lived lists hold no cycles, so the collector rests."""
@@ -132,7 +152,7 @@ class Pieces:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
             self.known = dict(self.NONE)
-        whole = [i for i, t in enumerate(texts) if "\x00" in t or self.added and self.added.search(t)]
+        whole = [i for i, t in enumerate(texts) if "\x00" in t or any(a in t for a in self.added)]
         split = [t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
         for i in whole:
             split[i] = [""]
@@ -158,7 +178,7 @@ def opened(path: str) -> Pieces:
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
-    """Writes the files and returns the manifest: part, block, path, tokens."""
+    """Writes the files and returns the manifest: part, block, path."""
     cols = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranged = cols.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
@@ -173,9 +193,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         def flush():
             name = f"{part:06d}-{block:06d}-{uuid.uuid4().hex}.avb"
             with fs.open_output_stream(f"{base}/{name}") as out:
-                out.write(encode(np.concatenate(held), np.array([len(x) for x in held], np.uint32)))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "path": [f"{folder}/{name}"],
-                                               "tokens": pa.array([n], pa.int64()), "doc_ids": pa.array([docs_held], pa.list_(pa.int64()))})
+                out.write(encode(np.concatenate(held), np.array([len(x) for x in held], np.uint32), docs_held))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "path": [f"{folder}/{name}"]})
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -189,29 +208,38 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    rows = ranged.mapInArrow(task, "part int, block int, path string, tokens long, doc_ids array<long>")
+    rows = ranged.mapInArrow(task, "part int, block int, path string")
     return written(rows, "token-manifest")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files the manifest names."""
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 fs, path = _fs(row["path"])
                 with fs.open_input_stream(path) as f:
-                    ids, counts = decode(f.read())
+                    ids, counts, doc_ids = decode(f.read())
                 stop = np.cumsum(counts.astype(np.int64))
                 raw = ids.astype("<u4")
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([row["part"]] * len(counts), pa.int32()), "block": pa.array([row["block"]] * len(counts), pa.int32()),
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "inner": pa.array(stop - counts, pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
+                    "doc_id": doc_ids, "inner": pa.array(stop - counts, pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(raw[b - c:b].tobytes()) for b, c in zip(stop.tolist(), counts.tolist())], pa.int64())})
 
-    spread = manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4, "path")
+    def heads(batches):
+        for batch in batches:
+            tokens = []
+            for at in batch.column(2).to_pylist():
+                fs, path = _fs(at)
+                with fs.open_input_stream(path) as f:
+                    tokens.append(lengths(f.read(HEAD))[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["p", "b", "tokens"])
+
+    spread = manifest.select("part", "block", "path").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4, "path")
     rows = spread.mapInArrow(task, "part int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long")
-    # One row a file of millions of tokens: what stands before each file.
-    before = manifest.select(F.col("part").alias("p"), F.col("block").alias("b"), (F.sum("tokens").over(Window.orderBy("part", "block")) - F.col("tokens")).alias("base"))
+    # One row a file of millions of tokens, in one task: what stands before each file.
+    before = spread.mapInArrow(heads, "p int, b int, tokens long").select("p", "b", (F.sum("tokens").over(Window.orderBy("p", "b")) - F.col("tokens")).alias("base"))
     return rows.join(before, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -154,8 +154,30 @@ def test_token_file_round_trip():
     for n in (0, 1, 5, 1000):
         ids = np.minimum(rng.zipf(1.2, n), 2 ** 31).astype(np.uint32)
         counts = np.array([n // 2, n - n // 2], np.uint32)
-        got, c = token_files.decode(token_files.encode(ids, counts))
-        assert (got == ids).all() and (c == counts).all()
+        got, c, d = token_files.decode(token_files.encode(ids, counts, [None, -2 ** 63]))
+        assert (got == ids).all() and (c == counts).all() and d.to_pylist() == [None, -2 ** 63]
+
+
+def test_stems_and_marks_encode_as_whole_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(2)
+    parts = ["a", "Onedshes", "it's", "é", "中文", "'", ".", "...", "!!", "(", ")", " ", " ", "\n", "&&&", "9", "½", "ª", "²", "ǅ", "\u0301", "\"", "'s", "\u00a0", "?!", "<|"]
+    rows = ["".join(rng.choice(parts, 12)) for _ in range(3000)]
+    tok = Tokenizer.from_file(path)
+    assert [x.tolist() for x in token_files.Pieces(path).encode(rows)] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in rows]
+
+
+def test_starts_come_from_the_files(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "BLOCK", 5)
+    rows = spark.createDataFrame([(i, "some words here, " * (i % 4)) for i in range(40)] + [(None, None), (7, "again")], "doc_id long, text string")
+    manifest = token_files.write_files(rows, public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/t")
+    got = sorted((r["start"], r["n_tokens"]) for r in token_files.read_files(manifest).collect())
+    assert manifest.columns == ["part", "block", "path"] and manifest.count() > 5 and len(got) == 42
+    assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:])) and got[0][0] == 0
 
 
 def test_warc(spark, tmp_path):
@@ -359,6 +381,21 @@ def test_pseudo_likelihood(rows):
     assert len(out) == rows.count() and all((r["n_words"] == 0) == (r["per_word"] is None) and r["log_prob"] <= 0 for r in out)
 
 
+def test_log_prob_against_plain_counts(docs):
+    counts = Counter(w for _, t in texts(docs) for w in (t or "").lower().split())
+    v = pseudo_likelihood.vocabulary(docs)
+    log = pseudo_likelihood.train(pseudo_likelihood.context_counts(docs, v))
+    total = Counter()
+    for w, n in counts.items():
+        total[v[w][0]] += n
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score(docs).collect()}
+    for i, t in texts(docs):
+        w = (t or "").lower().split()
+        c = [pseudo_likelihood.EDGE, *(v[x][0] for x in w), pseudo_likelihood.EDGE]
+        want = sum(log[c[k], c[k + 2], c[k + 1]] + np.log(counts[x] / (total[c[k + 1]] + 1)) for k, x in enumerate(w))
+        assert got[i]["n_words"] == len(w) and got[i]["log_prob"] == pytest.approx(want, rel=1e-5)
+
+
 def test_rare_words_have_their_own_share(docs, monkeypatch):
     want = listed(pseudo_likelihood.score(docs), "doc_id", "n_words", "log_prob")
     monkeypatch.setattr(pseudo_likelihood, "WORDS", 50)
