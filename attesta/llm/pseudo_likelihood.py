@@ -17,6 +17,7 @@ repeated rows are scored each; an empty table gives no rows. Only doc_id, text a
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from attesta.llm.common import table, words
 from attesta.settings import written
 
 OWN, ENDINGS, WORDS, HIDDEN, STEPS = 40, 23, 20_000, 24, 300
+ROWS = 64  # texts held as Python strings at once
 EDGE = OWN + ENDINGS  # what stands beyond the first and last word
 CLASSES = EDGE + 1
 UNIT = 1 << 32
@@ -43,7 +45,15 @@ def ending(word: str) -> int:
     return OWN + code % ENDINGS
 
 
-class Vocabulary:
+def lists(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Some rows at a time and their words, so that a batch is never held whole as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, part.column(column).to_pylist()
+
+
+class Vocabulary(dict):
     """Class and log p(word | class) of frequent words; of the others the class and what log of their count is to be added to."""
 
     def __init__(self, frequent: list[tuple[str, int]], others: dict[int, int]):
@@ -56,19 +66,25 @@ class Vocabulary:
         total += 1
         self.log = {w: float(np.log(n / total[self.of[w]])) for w, n in frequent}
         self.rest = -np.log(total)
-        self.memo: dict[str, tuple[int, float, bool]] = {}
-
-    def look(self, word: str) -> tuple[int, float, bool]:
-        """Its class, its log probability, and whether the log of its count is still to be added."""
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > 200_000:
-                self.memo = {}
-            c = self.of.get(word, -1)
-            c = ending(word) if c < 0 else c
-            got = self.memo[word] = (c, self.log[word], False) if word in self.log else (c, float(self.rest[c]), True)
+
+    def __missing__(self, word: str) -> tuple[int, float, bool]:
+        """Its class, its log probability, and whether the log of its count is still to be added; words seen lately are kept."""
+        if len(self) > 200_000:
+            self.clear()
+        c = self.of.get(word, -1)
+        c = ending(word) if c < 0 else c
+        got = self[word] = (c, self.log[word], False) if word in self.log else (c, float(self.rest[c]), True)
         return got
 
+    def __reduce__(self):
+        return _restored, (self.__dict__,)
+
+
+def _restored(state: dict) -> Vocabulary:
+    v = Vocabulary.__new__(Vocabulary)
+    v.__dict__.update(state)
+    return v
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.explode(lowered(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "lm-words")
@@ -96,9 +112,9 @@ def context_counts(docs: DataFrame, v: Vocabulary) -> np.ndarray:
     """Counts of (left, word, right) classes over all documents."""
     def task(batches):
         total = np.zeros(CLASSES ** 3, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                c = np.array([EDGE, *(v.look(w)[0] for w in text), EDGE], np.int64)
+        for _, texts in lists(batches, 0):
+            for text in texts:
+                c = np.array([EDGE, *(v[w][0] for w in text), EDGE], np.int64)
                 if len(c) > 2:
                     np.add.at(total, (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], 1)
         at = np.flatnonzero(total)
@@ -143,16 +159,16 @@ def score(docs: DataFrame) -> DataFrame:
     log = train(context_counts(docs, v)).astype(np.float32)
 
     def task(batches):
-        for batch in batches:
+        for part, texts in lists(batches, 1):
             n, total, others = [], [], []
-            for text in batch.column(1).to_pylist():
-                got = [v.look(w) for w in text]
+            for text in texts:
+                got = [v[w] for w in text]
                 c = np.array([EDGE, *(g[0] for g in got), EDGE], np.int64)
                 n.append(len(got))
                 total.append(float(log[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64)) + sum(g[1] for g in got))
-                others.append([*Counter(w for w, g in zip(text, got) if g[2]).items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([[w for w, _ in x] for x in others], pa.list_(pa.string())),
-                                              pa.array([[k for _, k in x] for x in others], pa.list_(pa.int64()))], ["doc_id", "n_words", "part", "others", "times"])
+                others.append(Counter(w for w, g in zip(text, got) if g[2]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([[*x] for x in others], pa.list_(pa.string())),
+                                              pa.array([[*x.values()] for x in others], pa.list_(pa.int64()))], ["doc_id", "n_words", "part", "others", "times"])
 
     rows = docs.select("doc_id", lowered(F.col("text")).alias("w")).mapInArrow(task, "doc_id long, n_words long, part double, others array<string>, times array<long>")
     rows = written(rows.withColumn("row_", F.monotonically_increasing_id()), "lm-rows")
