@@ -94,6 +94,13 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for each byte: itself if printable, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Pieces:
     """Encodes texts, keeping the ids of pieces seen before.
 
@@ -104,8 +111,14 @@ class Pieces:
     another kind that matches ``ODD``. Such texts are given to the tokenizer whole, and so
     are those that hold the content of an added token, such as the end of text, which
     the tokenizer takes as that token.
+
+    A new piece that is one word of letters, after a space or not, is one pre-token, and
+    goes to the tokenizer's model at once, its bytes as the vocabulary writes them. Letters
+    are those below ``LETTERS``, on which all versions of Unicode agree.
     """
 
+    LETTERS = "\u0530"
+
     OTHER, ODD = r"[^\S \n]", r"\s{2}|^[^\S ]|\s$"
     NONE = {"": None, " ": None}
     # It also parts a letter from these, so a new piece that ends in them is a known stem and a known tail more often than not.
@@ -113,9 +126,12 @@ class Pieces:
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
+        plain = t.normalizer is None and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and not t.pre_tokenizer.add_prefix_space
+        self.model = t.model if plain and isinstance(t.model, models.BPE) else None
+        self.letters = byte_letters()
         self.known: dict[str, bytes | None] = dict(self.NONE)
         self.most, self.other, self.odd = most, re.compile(self.OTHER), re.compile(self.ODD)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -129,16 +145,23 @@ class Pieces:
         ends = {}
         for p in new:
             stem = p.rstrip(self.TAIL)
-            if len(stem) < len(p) and stem[-1:].isalpha():
+            if len(stem) < len(p) and stem[-1:].isalpha() and stem[-1] < self.LETTERS:
                 ends[p] = stem, p[len(stem):]
         if ends:
             new = list({p for p in new if p not in ends}.union(*ends.values()).difference(self.known))
+        if self.model:
+            words = {p for p in new if p[p[0] == " ":].isalpha() and (p.isascii() or max(p) < self.LETTERS)}
+            self.known.update([(p, self.word(p)) for p in words])
+            new = [p for p in new if p not in words]
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             self.known.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         of = self.known.__getitem__
         self.known.update([(p, of(stem) + of(tail)) for p, (stem, tail) in ends.items()])
 
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id. The many short-lived lists hold no cycles, so the collector rests."""
         resting = gc.isenabled()
@@ -159,11 +182,14 @@ class Pieces:
         self.learn(list(set().union(*split).difference(self.known)))
         end, of, out = array("I", [END_ID]).tobytes(), self.known.__getitem__, []
         for t, s in zip(texts, split):
+            s.append("")
             ids = [*map(of, s)]
-            if None in ids:
-                ids = [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()]
-            ids.append(end)
-            out.append(np.frombuffer(b"".join(ids), np.uint32))
+            ids[-1] = end
+            try:
+                joined = b"".join(ids)
+            except TypeError:  # a piece without ids
+                joined = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() + end
+            out.append(np.frombuffer(joined, np.uint32))
         return out
 
 
