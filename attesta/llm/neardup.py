@@ -5,15 +5,19 @@ link at ``LEAST`` or more. The distance comes from alignment within a band that
 that similarity cannot leave. Classes are connected components of links.
 
 Equal texts form one class first. Of every distinct text, ``SKETCHES`` times, the
-``LENGTH`` smallest occurrence-labelled two-word shingles are sampled and kept in text
-order; their hash is a bucket key. Texts under ``SHORT`` words have as many keys of single
-words, and those under ``TINY`` a key for all that is left of them after as many deletions
-as a link allows, so no link between two of these is missed.
+``LENGTH`` smallest occurrence-labelled words are sampled and kept in text order; their
+hash is a bucket key. Five words in one order are rare in texts that only share words or a
+passage. Texts under ``SHORT`` words have keys of ``FEW`` two-word shingles and of ``FEW``
+words (those within a link's length of ``SHORT`` have both kinds), and those under ``TINY`` a
+key for all that is left of them after as many deletions as a link allows, so no link
+between two of these is missed.
 
 In a bucket all texts are compared with one of them, in rounds, while that joins texts.
-Then every pair of a bucket that is not in one component yet is compared, unless the
-lengths alone rule it out, so no link of a bucket is lost and a bucket of near copies
-costs about one comparison a text.
+Then every pair of a bucket that is not in one component yet is compared, unless a bound
+rules it out, so no link of a bucket is lost and a bucket of near copies costs about one
+comparison a text. The bounds are exact: lengths, then words of one text that the other
+lacks, first in a bitmap of ``BITS`` places and then word by word. A round's links join the
+components of the rounds before it.
 
 Defined cases: a null text is a class of its own; texts without words are equal only if
 the same; texts of one word have one shingle, the word; equal rows are copies;
@@ -22,20 +26,21 @@ an empty table gives no rows. Ids may repeat or be null: links join texts, not i
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.common import table, word_hashes
 from attesta.settings import written
 
-SHINGLE, LENGTH, SKETCHES, LEAST = 2, 3, 64, 0.8
-SHORT, TINY = 48, 15  # under so many words: sketches of single words too; all that one or two deletions leave
-MIX = np.random.default_rng(11).integers(1, 2 ** 63, (2 * SKETCHES, 2, 1), dtype=np.uint64) | np.uint64(1)
+SHINGLE, FEW, LENGTH, SKETCHES, LEAST = 2, 3, 5, 64, 0.8
+SHORT, TINY = 48, 15  # under so many words: sketches of FEW; all that one or two deletions leave
+BITS = 512
+MIX = np.random.default_rng(11).integers(1, 2 ** 63, (3 * SKETCHES, 2, 1), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -71,18 +76,25 @@ def folded(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     return key
 
 
-def drawn(s: np.ndarray, first: int) -> np.ndarray:
-    """SKETCHES hashes of the LENGTH smallest by a mix of their own, in text order; none of so few that all would be drawn."""
-    if len(s) <= LENGTH:
+def drawn(s: np.ndarray, first: int, length: int) -> np.ndarray:
+    """SKETCHES hashes of the ``length`` smallest by a mix of their own, in text order; none of so few that all would be drawn."""
+    if len(s) <= length:
         return s[:0]
-    keys, step = [], max(1, 1_000_000 // len(s))
+    # A place in the low bits of its mixed value comes along when values are partitioned.
+    place, low = np.arange(len(s), dtype=np.uint64), np.uint64(len(s).bit_length())
+    keys, step = [], max(1, (1 << 14) // len(s))
     for at in range(first, first + SKETCHES, step):
         mix = MIX[at:min(at + step, first + SKETCHES)]
-        v = (s ^ mix[:, 1]) * mix[:, 0]
+        v = s ^ mix[:, 1]
+        v *= mix[:, 0]
         v ^= v >> np.uint64(32)
         v *= mix[:, 0]
-        low = np.sort(np.argpartition(v, LENGTH, axis=1)[:, :LENGTH], axis=1)
-        keys.append(folded(s[low], np.arange(at + 1, at + 1 + len(mix), dtype=np.uint64)))
+        v >>= low
+        v <<= low
+        v |= place
+        v.partition(length - 1, axis=1)
+        least = np.sort(v[:, :length] & ((np.uint64(1) << low) - np.uint64(1)), axis=1).astype(np.int64)
+        keys.append(folded(s[least], np.arange(at + 1, at + 1 + len(mix), dtype=np.uint64)))
     return np.concatenate(keys)
 
 
@@ -94,18 +106,33 @@ def stays(n: int, gone: int) -> np.ndarray:
 def sketch(h: np.ndarray) -> np.ndarray:
     """The bucket keys of a text."""
     n = len(h)
-    keys = [drawn(labelled(shingle_hashes(h, SHINGLE)), 0)] if n else [h[:0]]
-    if 0 < n < SHORT:
-        keys.append(drawn(labelled(h), SKETCHES))
-    if 0 < n < TINY:
+    if not n:
+        return h.view(np.int64)
+    single, keys = labelled(h), []
+    if n >= LEAST * SHORT:
+        keys.append(drawn(single, 2 * SKETCHES, LENGTH))
+    if n < SHORT:
+        keys += [drawn(labelled(shingle_hashes(h, SHINGLE)), 0, FEW), drawn(single, SKETCHES, FEW)]
+    if n < TINY:
         # Texts d edits apart have a text in common that d deletions at most leave of each.
         most = int((1 - LEAST) * min(n / LEAST, TINY - 1) + 1e-9)
-        keys += [folded(h[stays(n, gone)], np.uint64(2 * SKETCHES + 1)) for gone in range(most + 1)]
+        keys += [folded(h[stays(n, gone)], np.uint64(3 * SKETCHES + 1)) for gone in range(most + 1)]
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """BITS places, those of the labelled words set: a place set in one text only stands for a word the other lacks."""
+    out = np.zeros(BITS, np.uint8)
+    if len(h):
+        out[(labelled(h) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(BITS)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+MARKS = [f"w{i}" for i in range(BITS // 64)]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, its words, bucket keys."""
+    """doc_id, key of the text, its words, bucket keys, bitmap."""
     rows = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("key"), word_hashes(F.col("text")).alias("h"))
 
     def task(batches):
@@ -114,82 +141,84 @@ def sketches(docs: DataFrame) -> DataFrame:
             col = batch.column(2)
             flat, off = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.asarray(col.offsets) - col.offsets[0].as_py()
             keys = [sketch(flat[a:b]) for a, b in zip(off[:-1], off[1:])]
+            bits = np.array([bitmap(flat[a:b]) for a, b in zip(off[:-1], off[1:])], np.int64).reshape(-1, len(MARKS))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off), pa.int32()), lists], ["doc_id", "key", "n", "buckets"])
-
-    return rows.mapInArrow(task, "doc_id long, key binary, n int, buckets array<long>")
-
-
-def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Edit distances of pairs, all at once, over diagonals -band..band; exact where <= band."""
-    n, width = len(pairs), 2 * band + 1
-    la, lb = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
-    rows, far = int(la.max(initial=0)), 1 << 29
-    a = np.zeros((n, rows), np.int64)
-    b = np.zeros((n, rows + 2 * width), np.int64)
-    for i, (x, y) in enumerate(pairs):
-        a[i, : len(x)] = x
-        y = y[: rows + width]
-        b[i, band: band + len(y)] = y
-    shift = np.arange(width, dtype=np.int32)
-    col = shift - band
-    cur = np.where(col >= 0, col, far).astype(np.int32)[None, :].repeat(n, 0)
-    cur = np.where(col[None, :] > lb[:, None], far, cur).astype(np.int32)
-    out = np.full(n, far)
-    pick = lb - la + band
-    inside = (pick >= 0) & (pick < width)
-    done = inside & (la == 0)
-    out[done] = cur[done, pick[done]]
-    for r in range(rows):
-        j = r + 1 + col  # column of each cell
-        same = a[:, r, None] == b[:, r: r + width]
-        step = cur + ~same
-        step[:, :-1] = np.minimum(step[:, :-1], cur[:, 1:] + 1)
-        step = np.where((j[None, :] < 0) | (j[None, :] > lb[:, None]), far, step)
-        if j[0] <= 0:
-            step[:, np.flatnonzero(j == 0)] = r + 1
-        cur = np.minimum(np.minimum.accumulate(step - shift, axis=1) + shift, far).astype(np.int32)
-        done = inside & (la == r + 1)
-        if done.any():
-            out[done] = cur[done, pick[done]]
-    return out
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off), pa.int32()), lists, *(pa.array(w) for w in bits.T)],
+                                             ["doc_id", "key", "n", "buckets", *MARKS])
+
+    return rows.mapInArrow(task, f"doc_id long, key binary, n int, buckets array<long>, {', '.join(f'{w} long' for w in MARKS)}")
+
+
+def lacking(left: str, right: str) -> Column:
+    """Places set in the bitmap ``left`` and not in ``right``."""
+    counts = [F.bit_count(F.col(f"{left}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{right}.{w}")))) for w in MARKS]
+    return reduce(lambda x, y: x + y, counts)
+
+
+def banded(long: list[int], short: list[int], band: int) -> int:
+    """Edit distance by way of diagonals -band..band: exact where it is <= band, else not below it.
+
+    The cells of one column within the band are bits of an integer, by the differences to
+    their neighbours; the band moves down one row a column. ``band`` is at least the
+    difference of the lengths.
+    """
+    width = 2 * band + 1
+    mask, middle = (1 << width) - 1, 1 << band
+    found: dict[int, int] = {w: 0 for w in short}
+    for i, w in enumerate(long):
+        if w in found:
+            found[w] |= 1 << i
+    # In the first column each row from 1 on is one more than the row before it.
+    up, down, distance = mask ^ (middle - 1), 0, 0
+    for j, w in enumerate(short):
+        same = found[w]
+        if same:
+            same = (same >> (j - band) if j >= band else same << (band - j)) & mask
+        diagonal = ((((same & up) + up) ^ up) | same | down) & mask
+        right = down | (mask ^ (diagonal | up))
+        left = diagonal & up
+        if not diagonal & middle:
+            distance += 1
+        diagonal >>= 1
+        up = left | (mask ^ (diagonal | right))
+        down = diagonal & right
+    last = ((1 << (len(long) - len(short))) - 1) << band
+    return distance + (up & last).bit_count() - (down & last).bit_count()
+
+
+def bag_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Words one text has more of than the other, the larger of both ways: never above the edit distance."""
+    both = np.concatenate([x, y])
+    order = np.argsort(both, kind="stable")
+    v = both[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    more = np.add.reduceat(np.where(order < len(x), 1, -1), first)
+    return max(int(more[more > 0].sum()), -int(more[more < 0].sum()))
 
 
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = LEAST) -> np.ndarray:
     """Which pairs of word-hash arrays have an edit similarity of ``least`` or more."""
-    verdict, todo = np.zeros(len(pairs), bool), []
+    verdict = np.zeros(len(pairs), bool)
     for i, (x, y) in enumerate(pairs):
-        longest = max(len(x), len(y))
-        most = int((1 - least) * longest + 1e-9)
-        n = min(len(x), len(y))
-        if abs(len(x) - len(y)) > most:
+        if len(x) < len(y):
+            x, y = y, x
+        most = int((1 - least) * len(x) + 1e-9)
+        if len(x) - len(y) > most:
             continue
-        diff = np.flatnonzero(x[:n] != y[:n])
+        n = len(y)
+        diff = np.flatnonzero(x[:n] != y)
         head = int(diff[0]) if len(diff) else n
         x, y = x[head:], y[head:]
-        n = min(len(x), len(y))
-        diff = np.flatnonzero(x[len(x) - n:][::-1] != y[len(y) - n:][::-1])
+        n = len(y)
+        diff = np.flatnonzero(x[len(x) - n:][::-1] != y[::-1])
         tail = int(diff[0]) if len(diff) else n
         x, y = x[: len(x) - tail], y[: len(y) - tail]
-        if max(len(x), len(y)) <= most:
+        if len(x) <= most:
             verdict[i] = True
-        else:
-            todo.append((i, x, y, most))
-    band = 16
-    while todo:
-        todo.sort(key=lambda t: len(t[1]))
-        again = []
-        at = 0
-        while at < len(todo):
-            size = max(1, min(64, 4_000_000 // (len(todo[min(at + 63, len(todo) - 1)][1]) + 4 * band + 1)))
-            part = todo[at:at + size]
-            at += size
-            for (i, x, y, most), d in zip(part, banded([(x, y) for _, x, y, _ in part], band)):
-                if d <= most:
-                    verdict[i] = True
-                elif band < most:
-                    again.append((i, x, y, most))
-        todo, band = again, band * 2
+        elif bag_distance(x, y) <= most:
+            x, y = x.tolist(), y.tolist()
+            # A narrow band finds most links; the one of width ``most`` decides.
+            verdict[i] = any(banded(x, y, band) <= most for band in sorted({max(len(x) - len(y), min(256, most)), most}))
     return verdict
 
 
@@ -209,8 +238,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "a binary, b binary")
 
 
-def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Links between different texts: pairs of keys."""
+def joined(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """key, label of its component, for keys of texts with links to different texts."""
     rows = sketched.groupBy("key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")).select("key", "n", F.explode("buckets").alias("bucket"))
     often = rows.groupBy(F.col("bucket").alias("shared")).agg(F.count("*").alias("n")).where("n > 1")
     left = written(rows.join(often, F.col("bucket") == F.col("shared"), "left_semi"), "near-buckets")
@@ -225,12 +254,14 @@ def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
 
     texts = written(hashed.dropDuplicates(["key"]).select("key", word_hashes(F.col("text")).alias("h")).mapInArrow(pack, "key binary, h binary"), "near-texts")
     longest = F.greatest("n", "n2")
-    fits = longest - F.least("n", "n2") <= F.floor((1 - LEAST) * longest + 1e-9)
-    found = tried = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    most = F.floor((1 - LEAST) * longest + 1e-9)
+    fits = longest - F.least("n", "n2") <= most
+    bits = sketched.groupBy(F.col("key").alias("of")).agg(*(F.first(w).alias(w) for w in MARKS)).select("of", F.struct(*MARKS).alias("bits"))
+    tried = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    label = docs.sparkSession.createDataFrame([], "key binary, label binary")
     rounds, more = 0, True
     while True:
-        label = components(found).select(F.col("key").alias("of"), "label") if rounds else None
-        rows = left.join(label, F.col("key") == F.col("of"), "left").drop("of") if rounds else left.withColumn("label", F.col("key"))
+        rows = left.join(label.select(F.col("key").alias("of"), "label"), F.col("key") == F.col("of"), "left").drop("of")
         rows = rows.withColumn("label", F.coalesce("label", "key"))
         kinds = rows.groupBy(F.col("bucket").alias("in")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         left = written(rows.join(kinds, F.col("bucket") == F.col("in"), "left_semi"), "near-left")
@@ -242,16 +273,18 @@ def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
             # Those outside the bucket's largest component with all that aren't in theirs.
             size = left.groupBy(F.col("bucket").alias("in"), "label").agg(F.count("*").alias("c"))
             main = size.groupBy("in").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-            apart = left.join(main, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("main"))).select(
-                "in", "main", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            met = left.join(apart, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("label2")) & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("key2"))) & fits)
+            marked = left.join(bits, F.col("key") == F.col("of")).drop("of")
+            apart = marked.join(main, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("main"))).select(
+                "in", "main", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("bits").alias("bits2"))
+            near = (lacking("bits", "bits2") <= most) & (lacking("bits2", "bits") <= most)
+            met = marked.join(apart, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("label2")) & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("key2"))) & fits & near)
         met = met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         met = written(met.join(tried, ["a", "b"], "left_anti"), "near-met")
         ok = written(verified(met, texts), "near-links")
-        found, tried, rounds = found.unionByName(ok), tried.unionByName(met), rounds + 1
+        label, tried, rounds = hooked(label, ok), tried.unionByName(met), rounds + 1
         left = left.drop("label")
         if not more:
-            return found
+            return label
         # A round that joins few is followed by the last one, of all that is left.
         more = 10 * ok.count() > met.count()
 
@@ -272,11 +305,22 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def hooked(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``label`` (key, label) with new links (a, b): only the labels that these join are worked on."""
+    for end in "ab":
+        links = links.join(label.select(F.col("key").alias("of"), F.col("label").alias(f"root_{end}")), F.col(end) == F.col("of"), "left").drop("of")
+    edges = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    new = components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    moved = label.join(new.select(F.col("key").alias("was"), F.col("label").alias("now")), F.col("label") == F.col("was"), "left")
+    fresh = new.join(label.select(F.col("key").alias("of")), F.col("key") == F.col("of"), "left_anti")
+    return written(moved.select("key", F.coalesce("now", "label").alias("label")).unionByName(fresh), "near-joined")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, label) of rows with a text, label being that of the class; (label, class_id, n_docs)."""
     docs = docs.select("doc_id", "text")
     sketched = written(sketches(docs), "near-sketches")
-    label = components(links(docs, sketched)).select(F.col("key").alias("of"), "label")
+    label = joined(docs, sketched).select(F.col("key").alias("of"), "label")
     rows = sketched.select("doc_id", "key").join(label, F.col("key") == F.col("of"), "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
     rows = written(rows, "near-rows")
     return rows, rows.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count("*").alias("n_docs"))

@@ -274,6 +274,30 @@ def test_alignment():
     assert neardup.similar(pairs).tolist() == want and any(want) and not all(want)
 
 
+def test_bounds_are_below_the_distance():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = (rng.integers(0, int(rng.integers(2, 40)), rng.integers(0, 60)).astype(np.uint64) for _ in "ab")
+        x, y = (set(np.flatnonzero(np.unpackbits(neardup.bitmap(t).view(np.uint8))).tolist()) for t in (a, b))
+        bag = max(len(a), len(b)) - sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        assert max(len(x - y), len(y - x)) <= neardup.bag_distance(a, b) == bag <= edit_distance(a.tolist(), b.tolist())
+
+
+def test_new_links_join_earlier_components(spark):
+    rng, edges = np.random.default_rng(8), []
+    label = spark.createDataFrame([], "key binary, label binary")
+    for _ in range(4):
+        new = [(int(i), int(j)) for i, j in rng.integers(0, 60, (12, 2)) if i < j]
+        edges += new
+        label = neardup.hooked(label, spark.createDataFrame([(bytes([i]), bytes([j])) for i, j in new], "a binary, b binary"))
+        root = list(range(60))
+        for _ in root:
+            for i, j in edges:
+                root[i] = root[j] = min(root[i], root[j])
+        linked = {k for e in edges for k in e}
+        assert {r["key"][0]: r["label"][0] for r in label.collect()} == {k: root[k] for k in linked}
+
+
 def shingles(t):
     w = WORD.findall(t)
     return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
@@ -313,8 +337,8 @@ def test_chains_in_one_bucket(spark):
         label = [min(label[j] for j in range(len(made)) if near[i][j]) for i in range(len(made))]
     want = sorted(sorted(" ".join(made[i]) for i in range(len(made)) if label[i] == c) for c in set(label))
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
-    sketched = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.size(F.split("text", " ")).alias("n"), F.array(F.lit(1).cast("long")).alias("buckets"))
-    at, groups = {r["key"]: r["label"] for r in neardup.components(neardup.links(docs, sketched)).collect()}, defaultdict(list)
+    sketched = neardup.sketches(docs).withColumn("buckets", F.array(F.lit(1).cast("long")))
+    at, groups = {r["key"]: r["label"] for r in neardup.joined(docs, sketched).collect()}, defaultdict(list)
     for w in made:
         key = bytearray(hashlib.md5(" ".join(w).encode()).digest())
         groups[bytes(at.get(bytes(key), key))].append(" ".join(w))
