@@ -4,10 +4,10 @@ The one measure is word-level edit similarity, 1 - distance / longer length: a p
 link at ``LEAST`` or more. The distance comes from alignment within a band that a pair of
 that similarity cannot leave. Classes are connected components of links.
 
-Equal texts form one class first. Of every distinct text, ``SKETCHES`` times, the
+Equal texts form one class first. Of every distinct text, ``DRAWS`` times, the
 ``LENGTH`` smallest occurrence-labelled words are sampled and kept in text order; their
-hash is a bucket key. Five words in one order are rare in texts that only share words or a
-passage. Texts under ``SHORT`` words have keys of ``FEW`` two-word shingles and of ``FEW``
+hash is a bucket key. Six words in one order are rare in texts that only share words or a
+passage. Texts under ``SHORT`` words have ``SKETCHES`` keys each of ``FEW`` two-word shingles and of ``FEW``
 words (those within a link's length of ``SHORT`` have both kinds), and those under ``TINY`` a
 key for all that is left of them after as many deletions as a link allows, so no link
 between two of these is missed.
@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from attesta.llm.common import table, word_hashes
 from attesta.settings import written
 
-SHINGLE, FEW, LENGTH, SKETCHES, LEAST = 2, 3, 5, 64, 0.8
+SHINGLE, FEW, LENGTH, LEAST = 2, 3, 6, 0.8
+SKETCHES, DRAWS = 64, 72  # samples of FEW, of LENGTH
 SHORT, TINY = 48, 15  # under so many words: sketches of FEW; all that one or two deletions leave
 BITS = 512
-MIX = np.random.default_rng(11).integers(1, 2 ** 63, (3 * SKETCHES, 2, 1), dtype=np.uint64) | np.uint64(1)
+MIX = np.random.default_rng(11).integers(1, 2 ** 63, (2 * SKETCHES + DRAWS, 2, 1), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -76,15 +77,15 @@ def folded(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     return key
 
 
-def drawn(s: np.ndarray, first: int, length: int) -> np.ndarray:
-    """SKETCHES hashes of the ``length`` smallest by a mix of their own, in text order; none of so few that all would be drawn."""
+def drawn(s: np.ndarray, first: int, count: int, length: int) -> np.ndarray:
+    """``count`` hashes of the ``length`` smallest by a mix of their own, in text order; none of so few that all would be drawn."""
     if len(s) <= length:
         return s[:0]
     # A place in the low bits of its mixed value comes along when values are partitioned.
     place, low = np.arange(len(s), dtype=np.uint64), np.uint64(len(s).bit_length())
     keys, step = [], max(1, (1 << 14) // len(s))
-    for at in range(first, first + SKETCHES, step):
-        mix = MIX[at:min(at + step, first + SKETCHES)]
+    for at in range(first, first + count, step):
+        mix = MIX[at:min(at + step, first + count)]
         v = s ^ mix[:, 1]
         v *= mix[:, 0]
         v ^= v >> np.uint64(32)
@@ -110,13 +111,13 @@ def sketch(h: np.ndarray) -> np.ndarray:
         return h.view(np.int64)
     single, keys = labelled(h), []
     if n >= LEAST * SHORT:
-        keys.append(drawn(single, 2 * SKETCHES, LENGTH))
+        keys.append(drawn(single, 2 * SKETCHES, DRAWS, LENGTH))
     if n < SHORT:
-        keys += [drawn(labelled(shingle_hashes(h, SHINGLE)), 0, FEW), drawn(single, SKETCHES, FEW)]
+        keys += [drawn(labelled(shingle_hashes(h, SHINGLE)), 0, SKETCHES, FEW), drawn(single, SKETCHES, SKETCHES, FEW)]
     if n < TINY:
         # Texts d edits apart have a text in common that d deletions at most leave of each.
         most = int((1 - LEAST) * min(n / LEAST, TINY - 1) + 1e-9)
-        keys += [folded(h[stays(n, gone)], np.uint64(3 * SKETCHES + 1)) for gone in range(most + 1)]
+        keys += [folded(h[stays(n, gone)], np.uint64(2 * SKETCHES + DRAWS + 1)) for gone in range(most + 1)]
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
